@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, word_count
+from .common import cut_lineage, fresh, word_count
 
 # The weights that sources take in turn, in code-point order.
 WEIGHTS = (5, 2, 1)
@@ -131,11 +131,9 @@ def mix_rows(docs: DataFrame, seed: int = 42, max_epochs: float = 3.0) -> DataFr
     pick = F.xxhash64(F.lit(seed), F.col("doc_id"))
     sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), pick.alias("pick"))
     plan = mix_plan(cut_lineage(sizes), seed, max_epochs)
-    plan = plan.select(F.col("source").alias("_s"), "whole", "cut")
-    extra = F.coalesce((unsigned_order(pick) <= plan["cut"]).cast("int"), F.lit(0))
-    times = (plan["whole"] + extra).cast("int")
-    return (
-        docs.join(plan, docs["source"].eqNullSafe(plan["_s"]))
-        .select(*[docs[c] for c in columns], F.explode(F.array_repeat(F.lit(0), times)).alias("_copy"))
-        .select(*columns)
-    )
+    source, copy = fresh(docs, "mixed_source"), fresh(docs, "copy")
+    plan = plan.select(F.col("source").alias(source), F.struct("whole", "cut").alias(copy))
+    extra = F.coalesce((unsigned_order(pick) <= F.col(copy)["cut"]).cast("int"), F.lit(0))
+    times = (F.col(copy)["whole"] + extra).cast("int")
+    joined = docs.join(plan, F.col("source").eqNullSafe(F.col(source)))
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(0), times))).select(*columns)

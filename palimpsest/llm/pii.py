@@ -88,7 +88,8 @@ def account(text: str, start: int) -> tuple[int, int] | None:
         m = _SSN.match(text, at)
         if m and m.group()[:3] not in ("000", "666") and m.group()[0] != "9" and m.group()[4:6] != "00" and m.group()[7:] != "0000":
             stop = m.end()
-    if stop is None and sign:  # a bare number needs the sign of an assignment
+    # A bare number needs the sign of an assignment, and is no misspelt IBAN.
+    if stop is None and sign and not _IBAN.match(text, at):
         m = _NUMBER.match(text, at)
         stop = m.end() if m else None
     return None if stop is None else (at, stop)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE_CHARS, append_by_block, words_of
+from .common import SPACE_CHARS, append_by_block, fresh, words_of
 
 # Fixed value: characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -162,6 +163,7 @@ def quality(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``quality`` keeps, with the columns of ``docs``."""
-    verdict = T.StructType([T.StructField("_kept", T.BooleanType())])
-    judged = append_by_block(docs, "text", lambda texts: {"_kept": measure(texts)["kept"]}, verdict, block_chars=2_000_000)
-    return judged.where("_kept").drop("_kept")
+    name = fresh(docs, "kept")
+    verdict = T.StructType([T.StructField(name, T.BooleanType())])
+    judged = append_by_block(docs, "text", lambda texts: {name: measure(texts)["kept"]}, verdict, block_chars=2_000_000)
+    return judged.where(F.col(name)).drop(name)

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 # The base patterns.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -97,25 +99,23 @@ def linked(parts: Column, scope: int = SCOPE) -> Column:
     return F.filter(parts, complete)
 
 
-def secret_spans(docs: DataFrame) -> DataFrame:
+def secret_spans(docs: DataFrame, base: str = "base", spans: str = "spans") -> DataFrame:
     """Append ``base`` and ``spans`` to ``docs(text, ...)``: the base spans, and
     all spans, as arrays of ``(start, rank, end)`` in order of start and then of
     kind, ``rank`` pointing into KINDS, in code points, ends exclusive.
 
     One pass over the text, no shuffle: the scope of a credential is a stretch
-    of one document, so the interval join stays inside the row. Columns named
-    ``base`` or ``spans`` are replaced. Defined results: null and empty texts
-    have no spans; rows are independent of each other, so repeated rows and
-    null ids each give their own spans; an empty table gives no rows.
+    of one document, so the interval join stays inside the row. Columns with the
+    new columns' names are replaced. Defined results: null and empty texts have no spans;
+    rows are independent of each other, so repeated rows and null ids each give
+    their own spans; an empty table gives no rows.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = F.concat(*[kind_spans(text, k) for k in BASE_KINDS])
-    docs = docs.drop("base", "spans", "_weak")
-    docs = docs.withColumn("base", F.sort_array(base))
-    weak = F.concat(*[kind_spans(text, k) for k in WEAK_KINDS])
-    docs = docs.withColumn("_weak", weak)
-    spans = F.when(F.size("_weak") == 0, F.col("base")).otherwise(linked(F.sort_array(F.concat("base", "_weak"))))
-    return docs.withColumn("spans", spans).drop("_weak")
+    text, weak = F.coalesce(F.col("text"), F.lit("")), fresh(docs, "weak")
+    strong = F.concat(*[kind_spans(text, k) for k in BASE_KINDS])
+    docs = docs.drop(base, spans).withColumn(base, F.sort_array(strong))
+    docs = docs.withColumn(weak, F.concat(*[kind_spans(text, k) for k in WEAK_KINDS]))
+    every = F.when(F.size(weak) == 0, F.col(base)).otherwise(linked(F.sort_array(F.concat(base, weak))))
+    return docs.withColumn(spans, every).drop(weak)
 
 
 def span_text(spans: Column, kinds: tuple = KINDS) -> Column:
@@ -131,8 +131,9 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     become one mask. Rows without a secret keep their text as it is, null too.
     """
     columns = docs.columns
-    found_in = secret_spans(docs)
-    hide = F.filter("spans", lambda s: s["rank"] <= KINDS.index("weak_secret"))
+    base, spans = fresh(docs, "base"), fresh(docs, "spans")
+    found_in = secret_spans(docs, base, spans)
+    hide = F.filter(spans, lambda s: s["rank"] <= KINDS.index("weak_secret"))
     start = F.expr("struct(0L as at, '' as made)")
 
     def step(state: Column, s: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_by_block, cut_lineage, words_of
+from .common import append_by_block, cut_lineage, fresh, words_of
 from .components import connected_components
 
 SHINGLE = 3
@@ -45,10 +45,10 @@ def simhash(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.uint64(fingerprint).astype(np.int64))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """Append ``fp``, a long, to ``docs(text, ...)`` without a shuffle."""
-    fields = T.StructType([T.StructField("fp", T.LongType())])
-    return append_by_block(docs, "text", lambda texts: {"fp": [simhash(t) for t in texts]}, fields)
+def fingerprints(docs: DataFrame, name: str = "fp") -> DataFrame:
+    """Append ``name``, a long, to ``docs(text, ...)`` without a shuffle."""
+    fields = T.StructType([T.StructField(name, T.LongType())])
+    return append_by_block(docs, "text", lambda texts: {name: [simhash(t) for t in texts]}, fields)
 
 
 # Byte positions that make up an index key. Two fingerprints at most DISTANCE =
@@ -141,6 +141,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     _, classes = near_duplicate_classes(docs)
     kept = classes.where("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct()
     named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*columns)
-    nameless = classes.where("component_id is null").select("fp", F.col("root").alias("_root"))
-    alone = fingerprints(docs.where("doc_id is null")).join(nameless, "fp").dropDuplicates(["_root"])
+    fp, root = fresh(docs, "fp"), fresh(docs, "root")
+    nameless = classes.where("component_id is null").select(F.col("fp").alias(fp), F.col("root").alias(root))
+    alone = fingerprints(docs.where("doc_id is null"), fp).join(nameless, fp).dropDuplicates([root])
     return named.unionByName(alone.select(*columns))
