@@ -6,25 +6,30 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NAN, INF = F.lit(float("nan")), F.lit(float("inf"))
+def nan() -> Column:
+    return F.lit(float("nan"))
+
+
+def infinity(sign: int = 1) -> Column:
+    return F.lit(sign * float("inf"))
 
 
 def divide(x: Column, y: Column) -> Column:
-    return F.when(y != 0, x / y).when((x == 0) | F.isnan(x), NAN).otherwise(F.signum(x) * INF)
+    return F.when(y != 0, x / y).when((x == 0) | F.isnan(x), nan()).otherwise(F.signum(x) * infinity())
 
 
 def remainder(x: Column, y: Column) -> Column:
     """Remainder with the sign of ``x``; NaN for ``y`` 0."""
-    return F.when(y == 0, NAN).otherwise(x % y)
+    return F.when(y == 0, nan()).otherwise(x % y)
 
 
 def natural_log(x: Column) -> Column:
-    return F.when(x > 0, F.log(x)).when(x == 0, -INF).otherwise(NAN)
+    return F.when(x > 0, F.log(x)).when(x == 0, infinity(-1)).otherwise(nan())
 
 
 def log_ten(x: Column) -> Column:
     """``log`` of the settings language: to base 10."""
-    return F.when(x > 0, F.log10(x)).when(x == 0, -INF).otherwise(NAN)
+    return F.when(x > 0, F.log10(x)).when(x == 0, infinity(-1)).otherwise(nan())
 
 
 def whole(x: Column, rounded: Column) -> Column:
@@ -44,7 +49,7 @@ def factorial(x: Column) -> Column:
     n = floor(x).cast("int")
     steps = F.sequence(F.lit(1), F.greatest(F.least(n, F.lit(170)), F.lit(1)))
     product = F.aggregate(steps, F.lit(1.0), lambda acc, k: acc * k)
-    return F.when((x < 0) | F.isnan(x), NAN).when(n > 170, INF).otherwise(product)
+    return F.when((x < 0) | F.isnan(x), nan()).when(n > 170, infinity()).otherwise(product)
 
 
 def combinations(n: Column, r: Column) -> Column:
@@ -52,7 +57,7 @@ def combinations(n: Column, r: Column) -> Column:
     small = F.least(r, n - r).cast("int")
     steps = F.sequence(F.lit(1), F.greatest(small, F.lit(1)))
     product = F.aggregate(steps, F.lit(1.0), lambda acc, k: acc * (n.cast("int") - small + k) / k)
-    return F.when((n < 0) | (r < 0) | (n < r), NAN).when(small == 0, F.lit(1.0)).otherwise(F.round(product))
+    return F.when((n < 0) | (r < 0) | (n < r), nan()).when(small == 0, F.lit(1.0)).otherwise(F.round(product))
 
 
 def permutations(n: Column, r: Column) -> Column:
