@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -14,9 +15,10 @@ from .common import word_count, words_of
 
 ORDER = 3
 BACKOFF = 0.4
-DOCS_PER_BLOCK = 250
-CHARS_PER_BLOCK = 2_000_000
+DOCS_PER_BLOCK = 1000
+CHARS_PER_BLOCK = 4_000_000
 GRAMS_PER_BUCKET = 1_000_000
+SPARE_BITS = 20
 
 
 def spread(x: np.ndarray) -> np.ndarray:
@@ -26,79 +28,96 @@ def spread(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Block:
-    """The n-grams of some documents laid end to end.
+class WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        made = self[word] = xxhash.xxh64_intdigest(word)
+        return made
 
-    ``grams`` are the distinct 64-bit hashes of all orders in ascending order,
-    ``counts`` how often each occurs here, ``place[n][p]`` the index of the
-    n-gram that ends at position p, and ``own[n][p]`` how often it occurs in the
-    document of p. ``at[p]`` is p's place in its document.
-    """
 
-    def __init__(self, texts: list, order: int):
-        hashes: dict[bytes, int] = {}
-        ids, lengths = [], []
+class Block:
+    """The n-grams of some documents laid end to end: ``flat`` are the hashes of
+    all orders, one order after the other; ``real[k]`` tells the positions at
+    which an n-gram of k + 1 words ends, which is not at the start of a
+    document."""
+
+    def __init__(self, texts: list, order: int, width: int):
+        hashes, ids, lengths = WordHashes(), [], []
         for text in texts:
             words = words_of(text)
             lengths.append(len(words))
-            for w in words:
-                h = hashes.get(w)
-                if h is None:
-                    h = hashes[w] = xxhash.xxh64_intdigest(w)
-                ids.append(h)
+            ids.extend(map(hashes.__getitem__, words))
         self.lengths = np.array(lengths, np.int64)
         word = np.array(ids, np.uint64)
-        n = len(word)
-        self.doc = np.repeat(np.arange(len(texts)), self.lengths)
-        self.at = np.arange(n) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), self.lengths)
+        self.at = np.arange(len(word)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+        self.real = [self.at >= k for k in range(order)]
         gram = spread(word + np.uint64(1))
-        by_order = [gram]
+        parts = [gram]
         for k in range(1, order):
             longer = gram.copy()
             longer[1:] = spread(gram[:-1] * np.uint64(3) + word[1:] + np.uint64(k + 1))
             gram = longer
-            by_order.append(gram)
-        # N-grams that would cross a document's start do not exist.
-        real = [self.at >= k for k in range(order)]
-        flat = np.concatenate([g[r] for g, r in zip(by_order, real, strict=True)])
-        self.grams, inverse, self.counts = np.unique(flat, return_inverse=True, return_counts=True)
-        docs = np.concatenate([self.doc[r] for r in real]).astype(np.int64)
-        _, pair, own = np.unique(inverse * max(1, len(texts)) + docs, return_inverse=True, return_counts=True)
-        self.place, self.own, start = [], [], 0
-        for r in real:
-            m = int(r.sum())
-            place, count = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            place[r] = inverse[start : start + m]
-            count[r] = own[pair[start : start + m]]
-            self.place.append(place)
-            self.own.append(count)
-            start += m
+            parts.append(gram[self.real[k]])
+        self.flat = np.concatenate(parts) >> np.uint64(64 - width)
+
+    def grams(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct hashes in ascending order, and how often each occurs."""
+        ordered = np.sort(self.flat)
+        first = np.flatnonzero(run_starts(ordered))
+        return ordered[first], np.diff(np.r_[first, len(ordered)])
 
     def scores(self, totals: np.ndarray, n_words: int, backoff: float) -> np.ndarray:
         """Summed log score of each document under the counts of all others;
-        ``totals`` are the corpus counts of ``grams``."""
-        others = [np.maximum(totals[p] - o, 0) for p, o in zip(self.place, self.own, strict=True)]
-        rest = np.maximum(n_words - self.lengths, 1)[self.doc]
-        score = np.log(np.maximum(others[0], 1) / rest)
-        for k in range(1, len(others)):
-            has = self.at >= k
-            context = np.ones(len(has), np.int64)
-            context[1:] = others[k - 1][:-1]
-            seen = has & (others[k] > 0)
-            higher = np.log(np.maximum(others[k], 1) / np.maximum(context, 1))
-            score = np.where(seen, higher, np.where(has, score + math.log(backoff), score))
+        ``totals`` are the corpus counts of the distinct n-grams. Sorting by hash
+        keeps a document's n-grams together, so one order serves both the corpus
+        count of a position's n-gram and its count in the document."""
+        if not len(self.flat):
+            return np.zeros(len(self.lengths))
+        docs = np.concatenate([self.doc[r] for r in self.real])
+        by = np.argsort(self.flat, kind="stable")
+        hashes, docs = self.flat[by], docs[by]
+        new_gram = run_starts(hashes)
+        own_run = np.flatnonzero(new_gram | run_starts(docs))
+        own = np.repeat(np.diff(np.r_[own_run, len(by)]), np.diff(np.r_[own_run, len(by)]))
+        others = np.empty(len(by), np.int64)
+        others[by] = totals[np.cumsum(new_gram) - 1] - own
+        score, lower, start = None, None, 0
+        for k, real in enumerate(self.real):
+            n = int(np.count_nonzero(real))
+            count = others[start : start + n]
+            start += n
+            if k == 0:
+                rest = np.maximum(n_words - self.lengths, 1)[self.doc]
+                score, lower = np.log(np.maximum(count, 1) / rest), count
+                continue
+            here = np.flatnonzero(real)
+            context = lower[here - 1]
+            seen = count > 0
+            score[here] += math.log(backoff)
+            score[here[seen]] = np.log(count[seen] / context[seen])
+            lower = np.zeros(len(real), np.int64)
+            lower[here] = count
         return np.bincount(self.doc, weights=score, minlength=len(self.lengths))
 
 
+def run_starts(values: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before."""
+    return np.r_[np.ones(min(1, len(values)), bool), values[1:] != values[:-1]]
+
+
 def pack(values: np.ndarray) -> bytes:
-    """Numbers as planes of bytes, the high ones last: where these are zero,
-    shuffle compression removes them."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Numbers as planes of bytes without the highest planes that are all zero,
+    compressed."""
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    used = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    return bytes((used,)) + zlib.compress(planes[:used].tobytes(), 1)
 
 
 def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
+    planes = np.frombuffer(zlib.decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    whole = np.zeros((planes.shape[1], 8), np.uint8)
+    whole[:, : data[0]] = planes.T
+    return whole.view("<u8").reshape(-1)
 
 
 def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
@@ -110,8 +129,9 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) ->
     n-grams of a block of documents, exploded by hash range; grouped by bucket
     they give the corpus counts, which are joined to each block's n-grams and go
     back to their block, where they are summed by document. A block's n-grams
-    travel as one sorted array per bucket, at about six bytes each, instead of a
-    row for each occurrence. Blocks hold DOCS_PER_BLOCK rows or CHARS_PER_BLOCK
+    travel as one sorted array per bucket, at about four bytes each, instead of a
+    row for each occurrence; hashes have SPARE_BITS bits more than it takes to
+    number all n-grams, so that one in a million shares its hash, at every size. Blocks hold DOCS_PER_BLOCK rows or CHARS_PER_BLOCK
     characters on average and buckets GRAMS_PER_BUCKET n-grams, at every size of
     the input; a frequent n-gram adds one number for each block, so no key is
     hot. Counts cover all rows.
@@ -127,6 +147,8 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) ->
     ).first()
     n_words = size["words"] or 0
     n_blocks = max(1, math.ceil(size["n"] / DOCS_PER_BLOCK), math.ceil((size["chars"] or 0) / CHARS_PER_BLOCK))
+    numbering = math.ceil(math.log2(max(2, order * n_words)))
+    width = min(64, numbering + SPARE_BITS)
     bits = max(0, math.ceil(math.log2(max(1, order * n_words / GRAMS_PER_BUCKET))))
     # One projection serves both uses below, so that texts are shuffled once.
     keyed = docs.select(
@@ -134,33 +156,36 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) ->
     )
 
     def explode(pdf: pd.DataFrame) -> pd.DataFrame:
-        block = Block(pdf["text"].tolist(), order)
-        edges = [np.uint64(b << (64 - bits)) for b in range(1, 1 << bits)] if bits else []
-        cuts = [0, *np.searchsorted(block.grams, np.array(edges, np.uint64)).tolist(), len(block.grams)]
+        grams, counts = Block(pdf["text"].tolist(), order, width).grams()
+        edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(width - bits)
+        cuts = [0, *np.searchsorted(grams, edges).tolist(), len(grams)]
         rows = []
         for bucket, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
             if j > i:
-                gaps = np.diff(block.grams[i:j], prepend=np.uint64(0))
-                rows.append((bucket, pdf["block"].iloc[0], pack(gaps), pack(block.counts[i:j])))
+                gaps = np.diff(grams[i:j], prepend=np.uint64(bucket) << np.uint64(width - bits))
+                rows.append((bucket, pdf["block"].iloc[0], pack(gaps), pack(counts[i:j])))
         return pd.DataFrame(rows, columns=["bucket", "block", "grams", "counts"])
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        # Gaps count from the bucket's lower end, which is the same for all rows.
         parts = [np.cumsum(unpack(g), dtype=np.uint64) for g in pdf["grams"]]
-        _, inverse = np.unique(np.concatenate(parts), return_inverse=True)
+        flat = np.concatenate(parts)
+        by = np.argsort(flat, kind="stable")
+        first = run_starts(flat[by])
         counts = np.concatenate([unpack(c) for c in pdf["counts"]]).astype(np.int64)
-        sums = np.zeros(int(inverse.max()) + 1, np.int64)
-        np.add.at(sums, inverse, counts)
+        sums = np.add.reduceat(counts[by], np.flatnonzero(first))
+        totals = np.empty(len(flat), np.int64)
+        totals[by] = sums[np.cumsum(first) - 1]
         ends = np.cumsum([len(p) for p in parts])[:-1]
-        totals = [pack(t) for t in np.split(sums[inverse], ends)]
-        return pd.DataFrame({"bucket": pdf["bucket"], "block": pdf["block"], "totals": totals})
+        packed = [pack(t) for t in np.split(totals, ends)]
+        return pd.DataFrame({"bucket": pdf["bucket"], "block": pdf["block"], "totals": packed})
 
     def score(pdf: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
-        block = Block(pdf["text"].tolist(), order)
+        block = Block(pdf["text"].tolist(), order, width)
         parts = [unpack(t) for t in totals.sort_values("bucket")["totals"]]
         joined = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
-        sums = block.scores(joined, n_words, backoff) if len(block.doc) else np.zeros(len(pdf))
-        # Ids stay as they came: pandas would turn a column with nulls into floats.
-        return pd.DataFrame({"key": pdf["key"], "n_words": block.lengths, "score": sums})
+        # Ids travel as text: pandas would turn a column with nulls into floats.
+        return pd.DataFrame({"key": pdf["key"], "n_words": block.lengths, "score": block.scores(joined, n_words, backoff)})
 
     grams = keyed.groupBy("block").applyInPandas(explode, "bucket int, block long, grams binary, counts binary")
     totals = grams.groupBy("bucket").applyInPandas(count, "bucket int, block long, totals binary")
