@@ -16,12 +16,15 @@ from pyspark.sql import types as T
 from .common import append_by_block
 
 FIELDS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-MOST_STATES = 300_000
+MOST_STATES = 250_000
+MOST_HEADS = 100_000
 MOST_PAIRS = 500_000
-MOST_KEPT = 300_000  # in each of two generations
+MOST_KEPT = 200_000  # in each of two generations
 EMIT_AFTER = 64  # bytes; shorter pre-tokens are emitted at their end
 HEAD = 6  # bytes of a pre-token whose walk is kept
 DECODE_STEP = 65_536
+TOKEN_BITS = 24
+TOKEN_MASK = (1 << TOKEN_BITS) - 1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -69,10 +72,12 @@ class Transducer:
         self.reset()
 
     def reset(self) -> None:
-        start = ((0, -1),)
+        # A live position is one number: its trie node and its last token plus 1.
+        start = (0,)
         self.states: dict[tuple, int] = {start: 0}
         self.lives: list[tuple] = [start]
-        self.moves: list[dict[int, tuple[int, int]]] = [{}]
+        # State and byte in one number, to the new state and the token in one.
+        self.moves: dict[int, int] = {}
         self.heads: dict[bytes, tuple[int, list[int]]] = {}
 
     def merge(self, piece: bytes) -> list[bytes]:
@@ -142,26 +147,25 @@ class Transducer:
             self.pairs[a << 32 | b] = known
         return known
 
-    def make(self, state: int, byte: int) -> tuple[int, int]:
+    def make(self, state: int, byte: int) -> int:
         """The transition of ``state`` on ``byte``: the new state, and the last
         token of the prefix that ends with it."""
         lives, last = [], -1
-        for node, before in self.lives[state]:  # the longest first
-            below = self.children[node].get(byte)
+        for live in self.lives[state]:  # the longest first
+            below = self.children[live >> TOKEN_BITS].get(byte)
             if below is not None:
                 token = self.token_at[below]
-                if last < 0 <= token and self.compatible(before, token):
+                if last < 0 <= token and self.compatible((live & TOKEN_MASK) - 1, token):
                     last = token
                 if self.children[below]:
-                    lives.append((below, before))
-        lives.append((0, last))
+                    lives.append(below << TOKEN_BITS | live & TOKEN_MASK)
+        lives.append(last + 1)
         key = tuple(lives)
         to = self.states.get(key)
         if to is None:
             to = self.states[key] = len(self.lives)
             self.lives.append(key)
-            self.moves.append({})
-        move = self.moves[state][byte] = (to, last)
+        move = self.moves[state << 8 | byte] = to << TOKEN_BITS | last
         return move
 
     def encode(self, piece: bytes) -> list[int]:
@@ -175,7 +179,7 @@ class Transducer:
         head = piece[:HEAD]
         known = self.heads.get(head)
         if known is None:
-            if len(self.heads) >= MOST_STATES:
+            if len(self.heads) >= MOST_HEADS:
                 self.heads.clear()
             known = self.heads[head] = self.walk(0, head)
         if len(piece) <= HEAD:
@@ -194,11 +198,13 @@ class Transducer:
 
     def walk(self, state: int, piece: bytes) -> tuple[int, list[int]]:
         """The state after ``piece``, and the last token of each prefix."""
-        moves, last = self.moves, []
+        get, last = self.moves.get, []
         for byte in piece:
-            move = moves[state].get(byte) or self.make(state, byte)
-            state = move[0]
-            last.append(move[1])
+            move = get(state << 8 | byte)
+            if move is None:
+                move = self.make(state, byte)
+            state = move >> TOKEN_BITS
+            last.append(move & TOKEN_MASK)
         return state, last
 
     def emit(self, last: list[int]) -> list[int]:

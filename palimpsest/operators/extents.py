@@ -2,14 +2,16 @@
 
 ``writes`` have ``seq, gfid, svr_rank, app_id, cli_id, file_pos, length,
 log_pos``; extents have ``gfid, start, end, svr_rank, app_id, cli_id, log_pos``
-with both ends included, and those of a file are disjoint."""
+with both ends included, and those of a file are disjoint. ``seq`` is the order
+of commits; no two writes to a file share one."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .intervals import above, blocks, levels_of, overlap_join, with_neighbour
+from ..session import materialize
+from .intervals import above, blocks, overlap_join, with_neighbours
 
 OWNER = ["svr_rank", "app_id", "cli_id"]
 EXTENT = ["gfid", "start", "end", *OWNER, "log_pos"]
@@ -25,17 +27,17 @@ def pieces(writes: DataFrame) -> DataFrame:
     blocks over it. No write is compared with another.
     """
     writes = writes.where("length > 0").withColumn("end", F.col("file_pos") + F.col("length") - 1)
-    highest = levels_of(writes, "file_pos", "end")
-    top = F.struct("seq", "file_pos", "log_pos", *OWNER)
-    painted = writes.withColumn("b", F.explode(blocks(F.col("file_pos"), F.col("end"))))
-    painted = painted.groupBy("gfid", F.col("b.level").alias("level"), F.col("b.block").alias("block")).agg(F.max(top).alias("w"))
+    painted = writes.select("gfid", "seq", F.explode(blocks(F.col("file_pos"), F.col("end"))).alias("b"))
+    painted = materialize(painted.groupBy("gfid", F.col("b.level").alias("level"), F.col("b.block").alias("block")).agg(F.max("seq").alias("seq")))
+    levels = sorted(r[0] for r in painted.select("level").distinct().collect())  # fewer than 64
     points = writes.select("gfid", F.explode(F.array(F.col("file_pos"), F.col("end") + 1)).alias("start")).distinct()
-    points = with_neighbour(points, ["gfid"], "start", F.col("start"), "next", 1).where("next is not null")
-    points = points.withColumn("b", F.explode(above(F.col("start"), highest)))
+    points = with_neighbours(points, ["gfid"], "start", {"next": (F.col("start"), 1)}).where("next is not null")
+    points = points.select("gfid", "start", "next", F.explode(above(F.col("start"), levels or [0])).alias("b"))
     points = points.select("gfid", "start", "next", F.col("b.level").alias("level"), F.col("b.block").alias("block"))
-    over = points.join(painted, ["gfid", "level", "block"]).groupBy("gfid", "start", "next").agg(F.max("w").alias("w"))
-    log_pos = F.col("w.log_pos") + F.col("start") - F.col("w.file_pos")
-    return over.select("gfid", "start", (F.col("next") - 1).alias("end"), "w.seq", *[f"w.{c}" for c in OWNER], log_pos.alias("log_pos"))
+    over = points.join(painted, ["gfid", "level", "block"]).groupBy("gfid", "start", "next").agg(F.max("seq").alias("seq"))
+    log_pos = F.col("log_pos") + F.col("start") - F.col("file_pos")
+    held = over.join(writes.select("gfid", "seq", *OWNER, "file_pos", "log_pos"), ["gfid", "seq"])
+    return materialize(held.select("gfid", "start", (F.col("next") - 1).alias("end"), "seq", *OWNER, log_pos.alias("log_pos")))
 
 
 def join_up(ranges: DataFrame, same: list[str]) -> DataFrame:
@@ -50,11 +52,10 @@ def join_up(ranges: DataFrame, same: list[str]) -> DataFrame:
         return F.coalesce(on, F.lit(False))
 
     here = F.struct("end", "log_pos", "start", *same)
-    both = with_neighbour(ranges, ["gfid"], "start", facts, "prev", -1)
-    both = with_neighbour(both, ["gfid"], "start", facts, "next", 1)
+    both = with_neighbours(ranges, ["gfid"], "start", {"prev": (facts, -1), "next": (facts, 1)})
     both = both.withColumn("begins", ~fits(F.col("prev"), here)).withColumn("ends", ~fits(here, F.col("next")))
     edges = both.where("begins or ends").drop("prev", "next")
-    edges = with_neighbour(edges, ["gfid"], "start", F.col("end"), "last", 1)
+    edges = with_neighbours(edges, ["gfid"], "start", {"last": (F.col("end"), 1)})
     end = F.when(F.col("ends"), F.col("end")).otherwise(F.col("last"))
     return edges.where("begins").withColumn("end", end).drop("begins", "ends", "last")
 

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 REGION = 1 << 20  # width of the stretches in which neighbours are looked up
 
 
@@ -33,54 +35,59 @@ def blocks(start: Column, end: Column) -> Column:
     return F.when(end >= start, found)
 
 
-def levels_of(ranges: DataFrame, start: str, end: str) -> int:
-    """The highest level that a range of the table can have, a number below 64."""
-    longest = ranges.agg(F.max(F.col(end) - F.col(start) + 1)).first()[0]
-    return max(0, int(longest or 1).bit_length() - 1)
+def above(point: Column, levels: list[int]) -> Column:
+    """The blocks that hold ``point``, one for each of ``levels``."""
+    return F.array(*[F.struct(F.lit(level).alias("level"), F.shiftright(point, level).alias("block")) for level in levels])
 
 
-def above(point: Column, highest: int) -> Column:
-    """The blocks that hold ``point``, one for each level."""
-    return F.array(
-        *[F.struct(F.lit(level).alias("level"), F.shiftright(point, level).alias("block")) for level in range(highest + 1)]
-    )
+def in_blocks(ranges: DataFrame, start: str, end: str) -> tuple[DataFrame, list[int]]:
+    """``ranges`` with ``_level`` and ``_block``, a row for each dyadic block,
+    written once; and the levels that occur, which are fewer than 64."""
+    cut = ranges.withColumn("_b", F.explode(blocks(F.col(start), F.col(end))))
+    cut = materialize(cut.withColumn("_level", F.col("_b.level")).withColumn("_block", F.col("_b.block")).drop("_b"))
+    return cut, sorted(r[0] for r in cut.select("_level").distinct().collect())
 
 
-def stab_join(points: DataFrame, point: str, ranges: DataFrame, start: str, end: str, keys: list[str], highest: int) -> DataFrame:
+def stab_join(points: DataFrame, point: str, ranges: DataFrame, start: str, end: str, keys: list[str]) -> DataFrame:
     """Rows of ``points`` with each range of ``ranges`` that holds their point and
     has equal ``keys``. Other columns must have different names."""
-    left = points.withColumn("_b", F.explode(above(F.col(point), highest)))
-    right = ranges.withColumn("_b", F.explode(blocks(F.col(start), F.col(end))))
-    by = [*keys, "_level", "_block"]
-    open_up = lambda df: df.withColumn("_level", F.col("_b.level")).withColumn("_block", F.col("_b.block")).drop("_b")
-    return open_up(left).join(open_up(right), by).drop("_level", "_block")
+    right, levels = in_blocks(ranges, start, end)
+    if not levels:
+        return points.join(ranges, keys).limit(0)
+    left = points.withColumn("_b", F.explode(above(F.col(point), levels)))
+    left = left.withColumn("_level", F.col("_b.level")).withColumn("_block", F.col("_b.block")).drop("_b")
+    return left.join(right, [*keys, "_level", "_block"]).drop("_level", "_block")
 
 
 def overlap_join(a: DataFrame, a_start: str, a_end: str, b: DataFrame, b_start: str, b_end: str, keys: list[str]) -> DataFrame:
     """Pairs of rows of ``a`` and ``b`` with equal ``keys`` whose ranges share a
     point, each pair once: either b starts inside a, or a starts inside b after
-    b's start."""
-    inside_a = stab_join(b, b_start, a, a_start, a_end, keys, levels_of(a, a_start, a_end))
-    inside_b = stab_join(a, a_start, b, b_start, b_end, keys, levels_of(b, b_start, b_end)).where(F.col(b_start) < F.col(a_start))
+    b's start. Both tables are used twice; give tables that are written."""
+    inside_a = stab_join(b.where(F.col(b_start) <= F.col(b_end)), b_start, a, a_start, a_end, keys)
+    inside_b = stab_join(a.where(F.col(a_start) <= F.col(a_end)), a_start, b, b_start, b_end, keys).where(F.col(b_start) < F.col(a_start))
     return inside_a.unionByName(inside_b)
 
 
-def with_neighbour(df: DataFrame, keys: list[str], order: str, value: Column, name: str, step: int, region: int = REGION) -> DataFrame:
-    """Append ``name``: ``value`` of the row before (``step`` -1) or after (1) in
-    ``order`` among rows with equal ``keys``; null if there is none.
+def with_neighbours(df: DataFrame, keys: list[str], order: str, values: dict[str, tuple[Column, int]], region: int | None = None) -> DataFrame:
+    """Append for each ``name: (value, step)`` of ``values`` the value of the row
+    before (``step`` -1) or after (1) in ``order`` among rows with equal ``keys``;
+    null if there is none.
 
     Only the rows of one stretch of ``order`` meet in a task. A stretch's first
-    (last) row takes its neighbour from a table of stretches, one row each.
+    and last rows take their neighbours from a table of stretches, one row each.
     """
-    df = df.withColumn("_v", value).withColumn("_region", F.floor(F.col(order) / region).cast("long"))
-    edge = (F.max_by if step < 0 else F.min_by)("_v", order)
-    stretches = df.groupBy(*keys, "_region").agg(edge.alias("_edge"))
+    held = {name: f"_{name}" for name in values}
+    df = df.withColumns({held[name]: value for name, (value, _) in values.items()})
+    df = df.withColumn("_region", F.floor(F.col(order) / (region or REGION)).cast("long"))
+    edges = [(F.max_by if step < 0 else F.min_by)(held[name], order).alias(held[name]) for name, (_, step) in values.items()]
     across = W.partitionBy(*keys).orderBy("_region")
-    beside = F.lag if step < 0 else F.lead
-    stretches = stretches.withColumn("_over", beside("_edge").over(across)).drop("_edge")
+    beside = lambda step: F.lag if step < 0 else F.lead
+    over = [beside(step)(held[name]).over(across).alias(f"{held[name]}_over") for name, (_, step) in values.items()]
+    stretches = df.groupBy(*keys, "_region").agg(*edges).select(*keys, "_region", *over)
     within = W.partitionBy(*keys, "_region").orderBy(order)
-    alone, inner = beside(F.lit(True)).over(within).isNull(), beside("_v").over(within)
-    df = df.withColumn("_inner", inner).withColumn("_alone", alone)
-    joined = df.join(stretches, [*keys, "_region"])
-    picked = F.when(F.col("_alone"), F.col("_over")).otherwise(F.col("_inner"))
-    return joined.withColumn(name, picked).drop("_v", "_region", "_inner", "_alone", "_over")
+    inner = {f"{held[name]}_in": beside(step)(held[name]).over(within) for name, (_, step) in values.items()}
+    alone = {f"{held[name]}_alone": beside(step)(F.lit(True)).over(within).isNull() for name, (_, step) in values.items()}
+    joined = df.withColumns(inner | alone).join(stretches, [*keys, "_region"])
+    pick = lambda h: F.when(F.col(f"{h}_alone"), F.col(f"{h}_over")).otherwise(F.col(f"{h}_in"))
+    columns = [c for c in df.columns if c not in (*held.values(), "_region")]
+    return joined.select(*columns, *[pick(h).alias(name) for name, h in held.items()])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import evaluator as ev
 from ..functions import identity as ident
 from ..operators import cluster, extents as ex, files as fl, logs, reads, transfers as tr, workloads
+from ..session import materialize
 from ..sources import tables as src
 
 SERVERS = 4
@@ -26,6 +27,10 @@ def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
+def _extents(spark: SparkSession, d: str) -> DataFrame:
+    return materialize(ex.extents(src.write_log(spark, d)))
+
+
 # Extents
 
 
@@ -48,35 +53,35 @@ def extent_coalesce_any_client(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def extent_find(spark: SparkSession, d: str) -> DataFrame:
-    table = ex.extents(src.write_log(spark, d))
+    table = _extents(spark, d)
     asked = src.read_requests(spark, d).select("req_id", "gfid", F.col("offset").alias("lo"), (F.col("offset") + F.col("length") - 1).alias("hi"))
     return ex.find(table, asked)
 
 
 @query
 def extent_truncate(spark: SparkSession, d: str) -> DataFrame:
-    table = ex.extents(src.write_log(spark, d))
+    table = _extents(spark, d)
     sizes = spark.range(5).select(F.col("id").cast("int").alias("gfid"), (F.col("id") * 1000).alias("size"))
     return ex.truncate(table, sizes).select("gfid", "start", "end", "cli_id", "log_pos")
 
 
 @query
 def extent_remove_range(spark: SparkSession, d: str) -> DataFrame:
-    table = ex.extents(src.write_log(spark, d))
+    table = _extents(spark, d)
     ranges = spark.range(7).select(F.col("id").cast("int").alias("gfid"), (F.col("id") * 500 + 33).alias("lo"), (F.col("id") * 500 + 777).alias("hi"))
     return ex.remove_range(table, ranges).select("gfid", "start", "end", "cli_id", "log_pos")
 
 
 @query
 def extent_stats(spark: SparkSession, d: str) -> DataFrame:
-    return ex.stats(ex.extents(src.write_log(spark, d)))
+    return ex.stats(_extents(spark, d))
 
 
 @query
 def extent_in_order(spark: SparkSession, d: str) -> DataFrame:
     """Each extent with the start of the one after it."""
-    table = ex.extents(src.write_log(spark, d))
-    return ex.with_neighbour(table, ["gfid"], "start", F.col("start"), "next_start", 1).select("gfid", "start", "end", "next_start")
+    table = _extents(spark, d)
+    return ex.with_neighbours(table, ["gfid"], "start", {"next_start": (F.col("start"), 1)}).select("gfid", "start", "end", "next_start")
 
 
 @query
@@ -105,35 +110,35 @@ def slice_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def chunk_plan(spark: SparkSession, d: str) -> DataFrame:
-    return ex.chunks(ex.extents(src.write_log(spark, d)), src.read_requests(spark, d))
+    return ex.chunks(_extents(spark, d), src.read_requests(spark, d))
 
 
 @query
 def read_coverage(spark: SparkSession, d: str) -> DataFrame:
     asked = src.read_requests(spark, d)
-    return ex.coverage(ex.chunks(ex.extents(src.write_log(spark, d)), asked), asked)
+    return ex.coverage(ex.chunks(_extents(spark, d), asked), asked)
 
 
 @query
 def server_fanout(spark: SparkSession, d: str) -> DataFrame:
-    return reads.server_plan(ex.chunks(ex.extents(src.write_log(spark, d)), src.read_requests(spark, d)))
+    return reads.server_plan(ex.chunks(_extents(spark, d), src.read_requests(spark, d)))
 
 
 @query
 def read_submit(spark: SparkSession, d: str) -> DataFrame:
     asked = src.read_requests(spark, d).withColumn("offset", F.when(F.col("req_id") % 300 == 0, F.lit(10**9)).otherwise(F.col("offset")).cast("long"))
-    return reads.submit(ex.chunks(ex.extents(src.write_log(spark, d)), asked), asked)
+    return reads.submit(ex.chunks(_extents(spark, d), asked), asked)
 
 
 @query
 def local_vs_forwarded(spark: SparkSession, d: str) -> DataFrame:
-    return reads.split_local(ex.extents(src.write_log(spark, d)), src.read_requests(spark, d))
+    return reads.split_local(_extents(spark, d), src.read_requests(spark, d))
 
 
 @query
 def extent_locate(spark: SparkSession, d: str) -> DataFrame:
     asked = src.read_requests(spark, d)
-    local = reads.split_local(ex.extents(src.write_log(spark, d)), asked).select("req_id", "local")
+    local = reads.split_local(_extents(spark, d), asked).select("req_id", "local")
     joined = asked.join(local, "req_id")
     source = reads.extent_source((F.col("cli_id") % SERVERS).cast("int"), F.col("gfid"), F.col("gfid") % 3 == 0, F.col("gfid") % 2 == 0, F.col("local"), SERVERS)
     return joined.select("req_id", source.alias("source"))
@@ -141,12 +146,12 @@ def extent_locate(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def response_split(spark: SparkSession, d: str) -> DataFrame:
-    return reads.responses(ex.chunks(ex.extents(src.write_log(spark, d)), src.read_requests(spark, d)), 100)
+    return reads.responses(ex.chunks(_extents(spark, d), src.read_requests(spark, d)), 100)
 
 
 @query
 def read_complete(spark: SparkSession, d: str) -> DataFrame:
-    parts = ex.chunks(ex.extents(src.write_log(spark, d)), src.read_requests(spark, d))
+    parts = ex.chunks(_extents(spark, d), src.read_requests(spark, d))
     replies = reads.server_plan(parts).select("req_id", "svr_rank", (F.col("n_bytes") % 7 != 0).alias("done"), (-(F.col("n_chunks") % 2)).alias("rc"))
     return reads.complete(replies)
 
@@ -226,7 +231,7 @@ def meta_source(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def file_size(spark: SparkSession, d: str) -> DataFrame:
-    got = ex.stats(ex.extents(src.write_log(spark, d)))
+    got = ex.stats(_extents(spark, d))
     known = spark.range(12).select(F.col("id").cast("int").alias("gfid"), (F.col("id") * 3000).alias("size"))
     return known.join(got, "gfid", "left").select("gfid", fl.grown_size(F.col("size"), F.col("max_offset")).alias("size"))
 
@@ -248,7 +253,7 @@ def laminate_rule(spark: SparkSession, d: str) -> DataFrame:
 def laminate_extents(spark: SparkSession, d: str) -> DataFrame:
     table = spark.range(10).select(F.col("id").cast("int").alias("gfid"), F.lit(0o644).alias("mode"), (F.col("id") % 2 == 0).alias("is_shared"), F.lit(False).alias("is_laminated"))
     changes = spark.range(0, 10, 3).select(F.col("id").cast("int").alias("gfid"), F.lit(0o444).alias("new_mode"))
-    _, snapshot = fl.publish(table, ex.extents(src.write_log(spark, d)), changes)
+    _, snapshot = fl.publish(table, _extents(spark, d), changes)
     return snapshot.select("gfid", "start", "end", "cli_id", "log_pos")
 
 
@@ -288,14 +293,14 @@ def dir_empty(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def unlink_live_files(spark: SparkSession, d: str) -> DataFrame:
-    table = ex.extents(src.write_log(spark, d))
+    table = _extents(spark, d)
     gone = spark.range(0, 10, 4).select(F.col("id").cast("int").alias("gfid"))
     return fl.unlink(spark.range(10).select(F.col("id").cast("int").alias("gfid")), table, gone)[1].groupBy("gfid").agg(F.count("*").alias("n_extents"))
 
 
 @query
 def unlink_callbacks(spark: SparkSession, d: str) -> DataFrame:
-    table = ex.extents(src.write_log(spark, d))
+    table = _extents(spark, d)
     gone = spark.range(0, 10, 4).select(F.col("id").cast("int").alias("gfid"))
     return fl.unlink(spark.range(10).select(F.col("id").cast("int").alias("gfid")), table, gone)[2]
 
@@ -413,12 +418,12 @@ def transfer_validate(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def transfer_plan(spark: SparkSession, d: str) -> DataFrame:
-    return tr.server_transfers(ex.extents(src.write_log(spark, d)), spark.range(0, 10, 2).select(F.col("id").cast("int").alias("gfid")))
+    return tr.server_transfers(_extents(spark, d), spark.range(0, 10, 2).select(F.col("id").cast("int").alias("gfid")))
 
 
 @query
 def transfer_batches(spark: SparkSession, d: str) -> DataFrame:
-    return tr.copy_batches(ex.extents(src.write_log(spark, d)), 1000)
+    return tr.copy_batches(_extents(spark, d), 1000)
 
 
 def _sizes(spark: SparkSession, d: str) -> DataFrame:

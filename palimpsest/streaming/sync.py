@@ -16,9 +16,11 @@ def read_log(spark: SparkSession, folder: str, files_per_batch: int = 1) -> Data
     return spark.readStream.schema(LOG).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def as_writes(table: DataFrame, seq: int) -> DataFrame:
-    """An extent table as writes that are older than any of the log."""
-    return table.select(F.lit(seq).cast("long").alias("seq"), "gfid", *OWNER, F.col("start").alias("file_pos"), (F.col("end") - F.col("start") + 1).alias("length"), "log_pos")
+def as_writes(table: DataFrame) -> DataFrame:
+    """An extent table as writes that are older than any of a log, whose numbers
+    are not negative. Extents are disjoint, so their own order does not matter;
+    the start, taken negative, tells those of a file apart."""
+    return table.select((-F.col("start") - 1).alias("seq"), "gfid", *OWNER, F.col("start").alias("file_pos"), (F.col("end") - F.col("start") + 1).alias("length"), "log_pos")
 
 
 def commit(before: DataFrame | None, batch: DataFrame) -> DataFrame:
@@ -28,7 +30,7 @@ def commit(before: DataFrame | None, batch: DataFrame) -> DataFrame:
         return extents(batch)
     touched = batch.select("gfid").distinct()
     old = before.join(touched, "gfid", "left_semi")
-    return extents(as_writes(old, -1).unionByName(batch)).unionByName(before.join(touched, "gfid", "left_anti"))
+    return extents(as_writes(old).unionByName(batch)).unionByName(before.join(touched, "gfid", "left_anti"))
 
 
 def maintain(log: DataFrame, table: str, checkpoint: str) -> StreamingQuery:

@@ -65,7 +65,7 @@ def test_golden_find_and_remove(spark):
 
 @pytest.mark.parametrize("region", [4, 1 << 20])
 def test_random_logs_against_a_byte_map(spark, monkeypatch, region):
-    monkeypatch.setattr(intervals.with_neighbour, "__defaults__", (region,))
+    monkeypatch.setattr(intervals, "REGION", region)
     rng = random.Random(region)
     writes = []
     for gfid in range(40):
