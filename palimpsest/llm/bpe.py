@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import codecs
 import hashlib
+import sys
 from array import array
 from collections.abc import Callable
 from functools import lru_cache
@@ -16,10 +17,10 @@ from pyspark.sql import types as T
 from .common import append_by_block
 
 FIELDS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-MOST_STATES = 250_000
+MOST_STATES = 700_000
 MOST_HEADS = 100_000
-MOST_PAIRS = 500_000
-MOST_KEPT = 200_000  # in each of two generations
+MOST_PAIRS = 1_000_000
+MOST_KEPT = 300_000  # in each of two generations
 EMIT_AFTER = 64  # bytes; shorter pre-tokens are emitted at their end
 HEAD = 6  # bytes of a pre-token whose walk is kept
 DECODE_STEP = 65_536
@@ -136,14 +137,18 @@ class Transducer:
             lefts = self.edge_parts(b)[0]
             known = bool(lefts)
             if a >= 0 and known:
-                get = self.ranks.get
-                rights = self.edge_parts(a)[1]
-                for x, x_from, x_to in rights:
-                    for y, y_from, y_to in lefts:
-                        if x_to > y_from and y_to > x_from:
-                            rank = get(x + y)
-                            if rank is not None and x_from < rank < x_to and y_from < rank <= y_to:
-                                known = False
+                # At each rank one part stands on either side of the seam, so the
+                # pairs that stand together are met by going along both lists.
+                rights, get, i, j = self.edge_parts(a)[1], self.ranks.get, 0, 0
+                while i < len(rights) and j < len(lefts):
+                    x, x_from, x_to = rights[i]
+                    y, y_from, y_to = lefts[j]
+                    rank = get(x + y)
+                    if rank is not None and x_from < rank < x_to and y_from < rank <= y_to:
+                        known = False
+                        break
+                    i += x_to <= y_to
+                    j += y_to <= x_to
             self.pairs[a << 32 | b] = known
         return known
 
@@ -246,12 +251,18 @@ class Codec:
         self.find = regex.compile(pattern).findall
         self.odd_space = regex.compile(r"\s\x20|\x20\s|^\x20|\x20\Z").search
         self.pieces = Memory(lambda piece: little(array("I", self.machine.encode(piece.encode()))))
-        self.spaced = Memory(lambda chunk: self.encode_exact(" " + chunk))
+        self.spaced = Memory(self.encode_spaced)
         self.plain = Memory(self.encode_exact)
 
     def encode_exact(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.find(text)))
 
+    def encode_spaced(self, chunk: str) -> bytes:
+        """A space and a stretch without one; ASCII letters alone are one match."""
+        if chunk.isascii() and chunk.isalpha():
+            return little(array("I", self.machine.encode(b" " + chunk.encode())))
+        return self.encode_exact(" " + chunk)
+
     def encode(self, text: str) -> bytes:
         """A single space between two non-spaces always starts a match of the
         pattern, so such a text is cut there and each stretch looked up; a text
@@ -281,7 +292,7 @@ class Codec:
 
 
 def little(ids: array) -> bytes:
-    if array("I", [1]).tobytes()[0] != 1:
+    if sys.byteorder == "big":
         ids = array("I", ids)
         ids.byteswap()
     return ids.tobytes()
