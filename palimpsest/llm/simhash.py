@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_by_block, cut_lineage, fresh, words_of
+from .common import append_by_block, cut_lineage, words_of
 from .components import connected_components
+from .sketch import sketch, sketch_links
 
 SHINGLE = 3
+STAGE_SHINGLE = 5
 SEED = 42
 DISTANCE = 2
 LARGE_POSTING = 64
@@ -22,29 +24,38 @@ LARGE_POSTING = 64
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def simhash(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """Fingerprint of one text as a signed long. A bit is 1 if it is set in
-    over half of the hashes of the word shingles, repeats included. No words:
-    zero. Sums run over slices of the hashes, so memory is bounded."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Hashes of the word shingles of one text in order, repeats included; fewer
+    words than a shingle has are one. No words: none."""
     words = words_of(text)
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words).translate(_LOWER)
-    ends = list(itertools.accumulate(map(len, words), lambda at, n: at + 1 + n))
+    digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, seed)]
-    else:
-        starts = [0] + [e + 1 for e in ends[: -shingle]]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[s:e], seed) for s, e in zip(starts, ends[shingle - 1 :], strict=True)]
+        return np.array([digest(joined, seed)], np.uint64)
+    ends = list(itertools.accumulate(map(len, words), lambda at, n: at + 1 + n))
+    starts = [0] + [e + 1 for e in ends[:-shingle]]
+    hashes = (digest(joined[s:e], seed) for s, e in zip(starts, ends[shingle - 1 :], strict=True))
+    return np.fromiter(hashes, np.uint64, len(starts))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint, as a signed long: a bit is 1 if it is set in over half of
+    the hashes. Sums run over slices, so memory is bounded. No hashes: zero."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 65_536):
-        bits = np.array(hashes[i : i + 65_536], dtype=">u8").view(np.uint8).reshape(-1, 8)
+        bits = hashes[i : i + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(bits, axis=1).sum(0, dtype=np.int64)
     fingerprint = np.packbits(2 * ones > len(hashes)).view(">u8")[0]
     return int(np.uint64(fingerprint).astype(np.int64))
 
 
+def simhash(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """Fingerprint of one text."""
+    return majority(shingle_hashes(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, name: str = "fp") -> DataFrame:
     """Append ``name``, a long, to ``docs(text, ...)`` without a shuffle."""
     fields = T.StructType([T.StructField(name, T.LongType())])
@@ -133,15 +144,51 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def marked(docs: DataFrame, shingle: int) -> DataFrame:
+    """``docs(doc_id, text, ...)`` without the text, with both fingerprints, ``fp``
+    and ``sketch``, and ``node``, a number for the two together."""
+    fields = T.StructType([T.StructField("fp", T.LongType()), T.StructField("sketch", T.BinaryType())])
+
+    def marks(texts: list) -> dict[str, list]:
+        hashes = [shingle_hashes(t, shingle) for t in texts]
+        return {"fp": [majority(h) for h in hashes], "sketch": [sketch(h) for h in hashes]}
+
+    found = append_by_block(docs, "text", marks, fields)
+    return found.drop("text").withColumn("node", F.xxhash64("fp", "sketch"))
+
+
+def similar_classes(marks: DataFrame) -> DataFrame:
+    """``node, root, component_id`` of every node of ``marks``. Nodes link if their
+    SimHash fingerprints differ in at most DISTANCE bits, or if they share as many
+    positional bytes of the sketch as a similarity of 0.8 guarantees."""
+    nodes = cut_lineage(marks.groupBy("node", "fp", "sketch").agg(F.min("doc_id").alias("least")))
+    prints = nodes.groupBy("fp").agg(F.min("node").alias("first"))
+    near = links(prints.select("fp"))
+    near = near.join(prints.withColumnRenamed("fp", "a").withColumnRenamed("first", "from"), "a")
+    near = near.join(prints.withColumnRenamed("fp", "b").withColumnRenamed("first", "to"), "b")
+    same = nodes.join(prints, "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    edges = sketch_links(nodes.select("node", "sketch")).unionAll(same).unionAll(near.select("from", "to"))
+    roots = connected_components(edges)
+    classes = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ids = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    return cut_lineage(classes.join(ids, "root").select("node", "root", "component_id"))
+
+
+def keep_one(docs: DataFrame, shingle: int = STAGE_SHINGLE) -> DataFrame:
     """One row of ``docs`` for each near-duplicate group, that with the least
     doc_id; of repeated rows with that id one stays. A group without any doc_id
-    keeps one of its rows too. Columns are those of ``docs``."""
+    keeps one of its rows too. Columns are those of ``docs``.
+
+    Shingles have five words. At a similarity of 0.8 SimHash fingerprints differ
+    in about nine of 64 bits, far beyond DISTANCE, so links by SimHash are joined
+    by those of ``sketch_links``, from the same pass over the text. Texts are not
+    shuffled but for the rows that stay.
+    """
     columns = docs.columns
-    _, classes = near_duplicate_classes(docs)
+    classes = similar_classes(cut_lineage(marked(docs.select("doc_id", "text"), shingle)))
     kept = classes.where("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct()
     named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*columns)
-    fp, root = fresh(docs, "fp"), fresh(docs, "root")
-    nameless = classes.where("component_id is null").select(F.col("fp").alias(fp), F.col("root").alias(root))
-    alone = fingerprints(docs.where("doc_id is null"), fp).join(nameless, fp).dropDuplicates([root])
-    return named.unionByName(alone.select(*columns))
+    nameless = classes.where("component_id is null").select("node", "root")
+    packed = docs.where("doc_id is null").select("doc_id", "text", F.struct(*columns).alias("row"))
+    alone = marked(packed, shingle).join(nameless, "node").dropDuplicates(["root"])
+    return named.unionByName(alone.select("row.*").select(*columns))

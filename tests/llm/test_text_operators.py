@@ -9,7 +9,7 @@ import pytest
 import tiktoken
 import xxhash
 
-from palimpsest.llm import bpe, pii, quality, secret_scan, simhash
+from palimpsest.llm import bpe, pii, quality, secret_scan, simhash, sketch
 
 from .cases import documents, prose, texts
 
@@ -186,10 +186,48 @@ def test_near_duplicates_and_keep_one(spark):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     ids = [r["doc_id"] for r in kept.collect()]
-    assert len(ids) == len(want) and {i for i in ids if i is not None} == {i for i in least.values() if i is not None}
+    groups = {}
+    for r in docs.collect():
+        hashes = simhash.shingle_hashes(r["text"], 5)
+        groups.setdefault((simhash.majority(hashes), sketch.sketch(hashes)), []).append(r["doc_id"])
+    want = components(list(groups), lambda a, b: bin((a[0] ^ b[0]) & ((1 << 64) - 1)).count("1") <= 2 or sum(x == y for x, y in zip(a[1], b[1])) >= sketch.least_shared())
+    least = [min((i for x in group for i in groups[x] if i is not None), default=None) for group in want]
+    assert sorted(map(str, ids)) == sorted(map(str, least))
     assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def test_sketches_estimate_similarity_and_links_equal_all_pairs(spark, monkeypatch):
+    from palimpsest.llm.components import connected_components
+
+    monkeypatch.setattr(sketch, "TILE", 16)
+    rng = random.Random(11)
+    made = []
+    for _ in range(25):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(20, 400))]
+        for share in (0, 0.01, 0.02, 0.05, 0.3):
+            made.append(" ".join(w if rng.random() >= share else f"v{rng.randrange(10**6)}" for w in words))
+    words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    made += [" ".join(w if i != k else "x" for i, w in enumerate(words)) for k in range(90)]
+    prints = [sketch.sketch(simhash.shingle_hashes(t, 5)) for t in made]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in made]
+    agree = lambda x, y: sum(a == b for a, b in zip(x, y))
+    for i in range(len(made)):
+        for j in range(i):
+            similarity = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            if similarity >= 0.9:
+                assert agree(prints[i], prints[j]) >= sketch.least_shared()
+            if similarity < 0.5:
+                assert agree(prints[i], prints[j]) < sketch.least_shared()
+    want = components(prints, lambda x, y: agree(x, y) >= sketch.least_shared())
+    table = spark.createDataFrame(list(enumerate(prints)), "node long, sketch binary")
+    for small in (4, 10_000):
+        got = {}
+        for r in connected_components(sketch.sketch_links(table, small=small)).collect():
+            got.setdefault(r["root"], set()).add(prints[r["node"]])
+        alone = [[p] for p in set(prints) - set().union(*got.values())]
+        assert sorted([*map(sorted, got.values()), *alone]) == want
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
