@@ -41,7 +41,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text, and the digests of ids and of the decoded bytes."""
-    return tokens(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, with_ids=True).drop("text")
+    return tokens(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, with_ids=True, small=True).drop("text")
 
 
 STAGES = [

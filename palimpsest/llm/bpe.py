@@ -21,6 +21,7 @@ MOST_STATES = 700_000
 MOST_HEADS = 100_000
 MOST_PAIRS = 1_000_000
 MOST_KEPT = 300_000  # in each of two generations
+SMALL_TABLES = 0.4  # of these bounds, where other work shares the memory
 EMIT_AFTER = 64  # bytes; shorter pre-tokens are emitted at their end
 HEAD = 6  # bytes of a pre-token whose walk is kept
 DECODE_STEP = 65_536
@@ -52,8 +53,9 @@ class Transducer:
     between pre-tokens, which changes no result.
     """
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], share: float = 1.0):
         self.ranks = ranks
+        self.most_states, self.most_heads, self.most_pairs = (int(n * share) for n in (MOST_STATES, MOST_HEADS, MOST_PAIRS))
         self.tokens = {i: t for t, i in ranks.items()}
         self.length = {i: len(t) for t, i in ranks.items()}
         self.children: list[dict[int, int]] = [{}]
@@ -132,7 +134,7 @@ class Transducer:
         leftmost first."""
         known = self.pairs.get(a << 32 | b)
         if known is None:
-            if len(self.pairs) >= MOST_PAIRS:
+            if len(self.pairs) >= self.most_pairs:
                 self.pairs.clear()
             lefts = self.edge_parts(b)[0]
             known = bool(lefts)
@@ -178,13 +180,13 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.lives) > MOST_STATES:
+        if len(self.lives) > self.most_states:
             self.reset()
         # The start of a word is often known: begin with the state behind it.
         head = piece[:HEAD]
         known = self.heads.get(head)
         if known is None:
-            if len(self.heads) >= MOST_HEADS:
+            if len(self.heads) >= self.most_heads:
                 self.heads.clear()
             known = self.heads[head] = self.walk(0, head)
         if len(piece) <= HEAD:
@@ -227,16 +229,16 @@ class Memory(dict):
     """Results of ``make`` for stretches of text already met. Of two generations
     the older is dropped when the newer is full."""
 
-    def __init__(self, make: Callable[[str], bytes]):
+    def __init__(self, make: Callable[[str], bytes], most: int):
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, text: str) -> bytes:
         made = self.older.get(text)
         if made is None:
             made = self.make(text)
         if len(text) < 64:
-            if len(self) >= MOST_KEPT:
+            if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
             self[text] = made
@@ -246,13 +248,21 @@ class Memory(dict):
 class Codec:
     """Text to ids, as little-endian unsigned 32-bit integers, and back."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.machine = Transducer(ranks)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, share: float = 1.0):
+        self.machine, most = Transducer(ranks, share), int(MOST_KEPT * share)
         self.find = regex.compile(pattern).findall
         self.odd_space = regex.compile(r"\s\x20|\x20\s|^\x20|\x20\Z").search
-        self.pieces = Memory(lambda piece: little(array("I", self.machine.encode(piece.encode()))))
-        self.spaced = Memory(self.encode_spaced)
-        self.plain = Memory(self.encode_exact)
+        self.pieces = Memory(lambda piece: little(array("I", self.machine.encode(piece.encode()))), most)
+        self.spaced = Memory(self.encode_spaced, most)
+        self.plain = Memory(self.encode_exact, most)
+
+    def forget(self) -> None:
+        """Empty all tables that grow with the text."""
+        self.machine.reset()
+        self.machine.pairs.clear()
+        for memory in (self.pieces, self.spaced, self.plain):
+            memory.older = {}
+            memory.clear()
 
     def encode_exact(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.find(text)))
@@ -299,26 +309,30 @@ def little(ids: array) -> bytes:
 
 
 @lru_cache(4)
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, share: float) -> Codec:
     """One codec for each worker and vocabulary."""
-    return Codec(read_ranks(path), pattern)
+    return Codec(read_ranks(path), pattern, share)
 
 
-def tokens(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+def tokens(docs: DataFrame, path: str, pattern: str, with_ids: bool = False, small: bool = False) -> DataFrame:
     """Append FIELDS, and ``token_ids`` (binary) if ``with_ids``, to every row of
     ``docs(text, ...)``: each match of ``pattern`` is encoded separately with the
     ranks in the file at ``path``, then the ids are decoded again.
 
     The vocabulary must be at ``path`` on each executor; nothing is shuffled and
-    the tables of a worker are bounded. Defined results: null and empty texts
+    the tables of a worker are bounded. With ``small`` they have SMALL_TABLES of
+    their bounds and are emptied after each task, for jobs whose other stages need
+    the workers' memory; results are the same, and take longer. Defined results: null and empty texts
     have no tokens, and the digests of nothing; rows do not affect each other;
     input columns with a new column's name are replaced; an empty table gives no
     rows. A text whose decoding differs from it raises ValueError.
     """
     fields = T.StructType(FIELDS.fields + [T.StructField("token_ids", T.BinaryType())] * with_ids)
 
+    share = SMALL_TABLES if small else 1.0
+
     def run(texts: list) -> dict[str, list]:
-        coder = codec(path, pattern)
+        coder = codec(path, pattern, share)
         out: dict[str, list] = {f.name: [] for f in fields}
         for text in texts:
             ids = coder.encode(text or "")
@@ -332,4 +346,4 @@ def tokens(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) ->
                 out["token_ids"].append(ids)
         return out
 
-    return append_by_block(docs, "text", run, fields)
+    return append_by_block(docs, "text", run, fields, at_end=lambda: codec(path, pattern, share).forget() if small else None)

@@ -57,6 +57,7 @@ def append_by_block(
     compute: Callable[[list], dict[str, list]],
     fields: T.StructType,
     block_chars: int = 4_000_000,
+    at_end: Callable[[], None] | None = None,
 ) -> DataFrame:
     """Append ``fields`` to every row of ``df`` through ``compute``, a function
     from a block of texts to one list for each field.
@@ -64,6 +65,7 @@ def append_by_block(
     Arrow batches are cut into blocks of about ``block_chars`` characters, which
     bounds the memory of a task whatever the texts' lengths. There is no
     shuffle. Columns of ``df`` that bear a new field's name are replaced.
+    ``at_end`` is called after the last block of a task.
     """
     clash = {f.name.lower() for f in fields} - {text.lower()}
     df = df.drop(*[c for c in df.columns if c.lower() in clash])
@@ -80,6 +82,8 @@ def append_by_block(
                 yield pa.RecordBatch.from_arrays(
                     block.columns + arrays, names=block.schema.names + names
                 )
+        if at_end is not None:
+            at_end()
 
     return df.mapInArrow(run, schema)
 
