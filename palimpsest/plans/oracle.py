@@ -249,6 +249,43 @@ SELECT phase, sum(b)::BIGINT AS n_bytes, round(sum(b / s::DOUBLE), 3) AS aggrega
 FROM t GROUP BY 1""",
     "conflict_pairs": f"""WITH {LOG} SELECT a.gfid, count(*) FILTER (a.cli_id = b.cli_id) AS same_client, count(*) FILTER (a.cli_id <> b.cli_id) AS different_clients
 FROM write_log a JOIN write_log b ON a.gfid = b.gfid AND a.seq < b.seq AND a.file_pos < b.file_pos + b.length AND b.file_pos < a.file_pos + a.length GROUP BY 1""",
+    "list_io": """WITH r AS (SELECT event_id // 6 AS batch, event_id % 6 AS pos, CASE WHEN event_id % 5 = 0 THEN 'WRITE' WHEN event_id % 11 = 0 THEN 'NOP' ELSE 'READ' END AS op,
+  (user_id % 12)::INT AS gfid, event_id * 31 % 9000 AS o, event_id % 512 AS n FROM events)
+SELECT batch, pos, op, gfid, (CASE WHEN op = 'NOP' OR gfid >= 10 THEN NULL WHEN op = 'WRITE' THEN n ELSE greatest(0, least(n, gfid * 1000 - o)) END)::BIGINT AS ret,
+  (CASE WHEN op <> 'NOP' THEN CASE WHEN gfid < 10 THEN 0 ELSE 22 END END)::INT AS err FROM r""",
+    "path_exists": """WITH f AS (SELECT '/work/' || (user_id % 20) || '/' || event_id AS p FROM events),
+q AS (SELECT range AS req_id, CASE WHEN range % 2 = 0 THEN '/work/' || range ELSE '/work/' || (range % 20) || '/' || range END AS path FROM range(40))
+SELECT req_id, path, CASE WHEN EXISTS (SELECT 1 FROM f WHERE p = path OR starts_with(p, path || '/')) THEN 'OK' ELSE 'ENOENT' END AS rc FROM q""",
+    "directory_changes": """WITH o AS (SELECT event_id AS seq, CASE WHEN event_id * 7 % 5 < 3 THEN 'MKDIR' ELSE 'RMDIR' END AS op, user_id % 40 AS n FROM events),
+p AS (SELECT *, n < 12 AND n % 3 = 0 AS filled, lag(op) OVER (PARTITION BY n ORDER BY seq) AS before FROM o),
+t AS (SELECT *, filled OR coalesce(before = 'MKDIR', n < 12) AS there FROM p)
+SELECT seq, op, '/work/' || n AS path, CASE WHEN op = 'MKDIR' THEN CASE WHEN there THEN 'EEXIST' ELSE 'OK' END WHEN NOT there THEN 'ENOENT' WHEN filled THEN 'ENOTEMPTY' ELSE 'OK' END AS rc FROM t""",
+    "file_holes": f"""WITH {EXTENTS}, k AS (SELECT range::INT AS gfid, range * 1000 AS size FROM range(12)),
+e AS (SELECT gfid, start, "end" FROM extents WHERE gfid < 12 UNION ALL SELECT gfid, -1, -1 FROM k),
+g AS (SELECT gfid, "end" + 1 AS start, lead(start) OVER (PARTITION BY gfid ORDER BY start) AS nxt FROM e)
+SELECT g.gfid, start::BIGINT AS start, (least(coalesce(nxt, size), size) - 1)::BIGINT AS "end" FROM g JOIN k USING (gfid) WHERE start < least(coalesce(nxt, size), size)""",
+    "node_local_chunks": f"""WITH {EXTENTS} SELECT gfid::BIGINT AS req_id, start AS "offset", "end" - start + 1 AS length, log_pos AS log_offset, svr_rank, cli_id
+FROM extents WHERE gfid % 3 = 0""",
+    "file_system_row": """SELECT 16914836::BIGINT AS f_type, 4194304::BIGINT AS f_bsize, 128::BIGINT AS f_files, count(*) AS f_used, 1024::BIGINT AS f_namelen FROM pages""",
+    "formatted_scan": """WITH p AS (SELECT p_partkey, p_partkey % 4 AS k, p_partkey AS n FROM part)
+SELECT p_partkey, CASE k WHEN 0 THEN n WHEN 1 THEN -n WHEN 3 THEN n END AS whole, CASE k WHEN 0 THEN n % 90 * 10 + 5 WHEN 3 THEN 70 END AS tenths,
+  CASE k WHEN 0 THEN 'tail' WHEN 3 THEN substr(printf('%x', n), 1, 4) END AS word, (CASE k WHEN 0 THEN 3 WHEN 1 THEN 1 WHEN 3 THEN 3 ELSE 0 END)::INT AS n_fields FROM p""",
+    "formatted_print": """SELECT p_partkey, p_name || ': ' || p_size AS text, strlen(p_name || ': ' || p_size)::BIGINT AS ret FROM part""",
+    "line_reads": r"""WITH t AS (SELECT page_id AS gfid, regexp_replace(coalesce(html, ''), '[^\x0A\x20-\x7E]', '?', 'g') AS t FROM pages),
+l AS (SELECT gfid, generate_subscripts(a, 1) - 1 AS line_no, unnest(a) AS line, len(a) AS n FROM (SELECT gfid, string_split(t, chr(10)) AS a FROM t)),
+s AS (SELECT gfid, line_no, length(line) + CASE WHEN line_no < n - 1 THEN 1 ELSE 0 END AS c FROM l)
+SELECT gfid, sum((c + 78) // 79)::BIGINT AS n_pieces, max(line_no)::BIGINT AS last_line, sum(c)::BIGINT AS n_chars FROM s WHERE c > 0 GROUP BY 1""",
+    "typed_ranges": """SELECT p_partkey AS line_no, CASE WHEN p_partkey % 3 < 2 THEN p_partkey END AS "offset",
+  CASE p_partkey % 3 WHEN 0 THEN p_partkey * 2 WHEN 1 THEN p_partkey END AS length FROM part WHERE p_partkey < 900""",
+    "error_codes": """SELECT (1000 + row_number() OVER (ORDER BY name))::INT AS code, name, text FROM (VALUES
+  ('BADCONFIG', 'Configuration has invalid setting'), ('GOTCHA', 'Gotcha operation error'), ('KEYVAL', 'Key-value store operation error'),
+  ('MARGO', 'Mercury/Argobots operation error'), ('NYI', 'Not yet implemented'), ('PMI', 'PMI2/PMIx error'),
+  ('SHMEM', 'Shared memory region init/access error'), ('THREAD', 'POSIX thread operation failed'), ('TIMEOUT', 'Timed out')) AS e(name, text)""",
+    "small_operations": """WITH k AS (SELECT ['open', 'close', 'file stat', 'lseek', 'read', 'write', 'chdir', 'directory stat', 'statfs', 'readdir', 'mkdir', 'rmdir',
+    'unlink', 'rename', 'creat', 'truncate', 'symlink', 'readlink', 'link to one file', 'link to a file per process', 'fcntl locking'] AS a),
+n AS (SELECT generate_subscripts(a, 1) - 1 AS i, unnest(a) AS op FROM k)
+SELECT r.range * 84 + n.i * 4 + c.range AS seq, c.range::INT AS rank, op, '/simul_' || replace(op, ' ', '_') || '.' || c.range AS path FROM n, range(3) r, range(4) c""",
+    "stream_sync": f'WITH {EXTENTS} SELECT gfid, start, "end", svr_rank, 1 AS app_id, cli_id, log_pos FROM extents',
 }
 
 

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import evaluator as ev
 from ..functions import identity as ident
-from ..operators import cluster, extents as ex, files as fl, logs, reads, transfers as tr, workloads
+from ..operators import calls, cluster, extents as ex, files as fl, logs, reads, transfers as tr, workloads
 from ..session import materialize
 from ..sources import tables as src
+from ..streaming import sync
 
 SERVERS = 4
 Query = Callable[[SparkSession, str], DataFrame]
@@ -569,3 +570,101 @@ def bandwidth_summary(spark: SparkSession, d: str) -> DataFrame:
 @query
 def conflict_pairs(spark: SparkSession, d: str) -> DataFrame:
     return workloads.conflicts(src.write_log(spark, d))
+
+
+# Calls
+
+
+@query
+def descriptor_cursors(spark: SparkSession, d: str) -> DataFrame:
+    """A run of calls on one descriptor for each user."""
+    names = F.array(*[F.lit(x) for x in ("WRITE", "READ", "SEEK_SET", "APPEND", "SEEK_CUR", "PREAD", "SEEK_END", "TELL", "SEEK_DATA", "SEEK_HOLE", "PWRITE", "REWIND", "TRUNCATE")])
+    n = F.col("event_id")
+    ops = src.read(spark, d, "events").select(F.col("user_id").alias("fd"), n.alias("seq"), F.get(names, (n * 31 % 13).cast("int")).alias("op"), (n * 7919 % 500 - 40).alias("n"))
+    return calls.cursors(ops)
+
+
+@query
+def list_io(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("event_id")
+    op = F.when(n % 5 == 0, "WRITE").when(n % 11 == 0, "NOP").otherwise("READ")
+    asked = src.read(spark, d, "events").select(F.floor(n / 6).cast("long").alias("batch"), (n % 6).alias("pos"), op.alias("op"), (F.col("user_id") % 12).cast("int").alias("gfid"), (n * 31 % 9000).alias("offset"), (n % 512).alias("nbytes"))
+    return calls.list_io(asked, spark.range(10).select(F.col("id").cast("int").alias("gfid"), (F.col("id") * 1000).alias("size")))
+
+
+@query
+def path_exists(spark: SparkSession, d: str) -> DataFrame:
+    files = src.read(spark, d, "events").select(F.format_string("/work/%d/%d", F.col("user_id") % 20, F.col("event_id")).alias("path"))
+    asked = spark.range(40).select(F.col("id").alias("req_id"), F.when(F.col("id") % 2 == 0, F.format_string("/work/%d", "id")).otherwise(F.format_string("/work/%d/%d", F.col("id") % 20, "id")).alias("path"))
+    return calls.exists(asked, files)
+
+
+@query
+def directory_changes(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("event_id")
+    ops = src.read(spark, d, "events").select(n.alias("seq"), F.when(n * 7 % 5 < 3, "MKDIR").otherwise("RMDIR").alias("op"), F.format_string("/work/%d", F.col("user_id") % 40).alias("path"))
+    there = spark.range(12).select(F.format_string("/work/%d", "id").alias("path"), (F.col("id") % 3 != 0).alias("is_empty"))
+    return calls.change_directories(ops, there)
+
+
+@query
+def file_holes(spark: SparkSession, d: str) -> DataFrame:
+    return calls.holes(_extents(spark, d), spark.range(12).select(F.col("id").cast("int").alias("gfid"), (F.col("id") * 1000).alias("size")))
+
+
+@query
+def node_local_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of whole published files."""
+    table = _extents(spark, d)
+    whole = ex.stats(table).where("gfid % 3 = 0").select(F.col("gfid").cast("long").alias("req_id"), "gfid", F.lit(0).cast("long").alias("offset"), (F.col("max_offset") + 1).alias("length"))
+    return ex.chunks(table, materialize(whole)).select("req_id", "offset", "length", "log_offset", "svr_rank", "cli_id")
+
+
+@query
+def file_system_row(spark: SparkSession, d: str) -> DataFrame:
+    return calls.file_system(src.files(spark, d), 128)
+
+
+@query
+def formatted_scan(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("p_partkey")
+    line = F.when(n % 4 == 0, F.format_string("id=%d  %d.5 tail", n, n % 90)).when(n % 4 == 1, F.format_string("id=-%d x", n)).when(n % 4 == 2, F.lit("no fields")).otherwise(F.format_string("id= %d 7 %x", n, n))
+    got = calls.scanned(F.col("line"), "id=%d %f %4s")
+    rows = src.read(spark, d, "part").select("p_partkey", line.alias("line")).withColumn("f", got)
+    at = lambda i: F.get("f", F.lit(i))
+    return rows.select("p_partkey", at(0).cast("long").alias("whole"), (at(1).cast("double") * 10).cast("long").alias("tenths"), at(2).alias("word"), F.size(F.filter("f", lambda x: x.isNotNull())).alias("n_fields"))
+
+
+@query
+def formatted_print(spark: SparkSession, d: str) -> DataFrame:
+    return src.read(spark, d, "part").select("p_partkey", calls.printed("%s: %d", F.col("p_name"), F.col("p_size")).alias("p")).select("p_partkey", "p.text", "p.ret")
+
+
+@query
+def line_reads(spark: SparkSession, d: str) -> DataFrame:
+    text = F.regexp_replace(F.coalesce("html", F.lit("")), r"[^\x0A\x20-\x7E]", "?")
+    got = calls.text_lines(src.read(spark, d, "pages").select(F.col("page_id").alias("gfid"), text.alias("text")), 80)
+    return got.groupBy("gfid").agg(F.count("*").alias("n_pieces"), F.max("line_no").cast("long").alias("last_line"), F.sum(F.length("piece")).alias("n_chars"))
+
+
+@query
+def typed_ranges(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("p_partkey")
+    line = F.when(n == 900, "quit").when(n % 3 == 0, F.format_string("0x%x,%d", n, n * 2)).when(n % 3 == 1, F.format_string("%d,0%o", n, n)).otherwise(F.lit("?"))
+    return calls.range_requests(src.read(spark, d, "part").select(n.alias("line_no"), line.alias("line")))
+
+
+@query
+def error_codes(spark: SparkSession, d: str) -> DataFrame:
+    return calls.errors(spark)
+
+
+@query
+def small_operations(spark: SparkSession, d: str) -> DataFrame:
+    return calls.small_operations(spark, 4, 3, False)
+
+
+@query
+def stream_sync(spark: SparkSession, d: str) -> DataFrame:
+    """The extent table after the write log has come as a stream of commits."""
+    return sync.replay(src.write_log(spark, d), 4)

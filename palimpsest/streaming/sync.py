@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.extents import OWNER, extents
+from ..session import materialize
 
 LOG = "seq long, gfid int, svr_rank int, app_id int, cli_id int, file_pos long, length long, log_pos long"
 
@@ -51,3 +54,22 @@ def maintain(log: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
 def size_changes(log: DataFrame) -> DataFrame:
     """Running size of each file and number of writes, as an update stream."""
     return log.groupBy("gfid").agg(F.max(F.col("file_pos") + F.col("length")).alias("size"), F.count("*").alias("n_writes"))
+
+
+def replay(writes: DataFrame, epochs: int) -> DataFrame:
+    """The extent table after ``writes`` have come in ``epochs`` commits, by order of
+    ``seq``, through a stream; files are kept in the shared checkpoint folder. An
+    empty log gives an empty table."""
+    spark = writes.sparkSession
+    writes = materialize(writes.select([c.split(" ")[0] for c in LOG.split(", ")]))
+    folder = f"{spark.sparkContext.getCheckpointDir()}/replay-{uuid.uuid4().hex}"
+    last = writes.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).first()
+    if last["lo"] is None:
+        return extents(writes)
+    width = (last["hi"] - last["lo"]) // epochs + 1
+    for k in range(epochs):
+        lo = last["lo"] + k * width
+        part = writes.where((F.col("seq") >= lo) & (F.col("seq") < lo + width)).coalesce(1)
+        part.write.mode("append").parquet(f"{folder}/log")
+    maintain(read_log(spark, f"{folder}/log"), f"{folder}/table", f"{folder}/progress").awaitTermination()
+    return spark.read.parquet(f"{folder}/table/epoch={epochs - 1}")
