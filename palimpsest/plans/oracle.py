@@ -224,7 +224,7 @@ v AS (SELECT s_suppkey,
   CASE WHEN y <> 0 THEN x / y WHEN x = 0 THEN 'nan'::DOUBLE ELSE sign(x) * 'inf'::DOUBLE END AS c,
   CASE WHEN y <> 0 THEN fmod(x, y) ELSE 'nan'::DOUBLE END AS d,
   CASE WHEN y < 0 THEN 'nan'::DOUBLE ELSE factorial(y::INT)::DOUBLE END AS e,
-  CASE WHEN x < 0 OR y < 0 OR x < y THEN 'nan'::DOUBLE ELSE (factorial(x::INT) / (factorial(y::INT)::DOUBLE * factorial((x - y)::INT))) END AS f,
+  CASE WHEN x < 0 OR y < 0 OR x < y THEN 'nan'::DOUBLE ELSE coalesce(list_product(list_transform(range(0, y::BIGINT), lambda i: x - i)), 1) / factorial(y::INT) END AS f,
   atan2(x, y + 1) AS g, floor(x / 3) AS h, ceil(x / 3) AS i FROM t WHERE x < 30 OR true)
 SELECT s_suppkey, {_NUM.format("a")} AS ln, {_NUM.format("b")} AS log, {_NUM.format("c")} AS quotient, {_NUM.format("d")} AS remainder,
   {_NUM.format("e")} AS factorial, {_NUM.format("f")} AS ncr, {_NUM.format("g")} AS atan2, {_NUM.format("h")} AS floor, {_NUM.format("i")} AS ceil FROM v""",
