@@ -18,7 +18,8 @@ BACKOFF = 0.4
 DOCS_PER_BLOCK = 1000
 CHARS_PER_BLOCK = 4_000_000
 GRAMS_PER_BUCKET = 1_000_000
-SPARE_BITS = 20
+# Fixed value: bits of an n-gram's hash.
+WIDTH = 64
 
 
 def spread(x: np.ndarray) -> np.ndarray:
@@ -40,7 +41,7 @@ class Block:
     which an n-gram of k + 1 words ends, which is not at the start of a
     document."""
 
-    def __init__(self, texts: list, order: int, width: int):
+    def __init__(self, texts: list, order: int, width: int = WIDTH):
         hashes, ids, lengths = WordHashes(), [], []
         for text in texts:
             words = words_of(text)
@@ -92,7 +93,8 @@ class Block:
                 continue
             here = np.flatnonzero(real)
             context = lower[here - 1]
-            seen = count > 0
+            # A context without a count, where its n-gram has one, is a clash of hashes.
+            seen = (count > 0) & (context > 0)
             score[here] += math.log(backoff)
             score[here[seen]] = np.log(count[seen] / context[seen])
             lower = np.zeros(len(real), np.int64)
@@ -129,9 +131,11 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) ->
     n-grams of a block of documents, exploded by hash range; grouped by bucket
     they give the corpus counts, which are joined to each block's n-grams and go
     back to their block, where they are summed by document. A block's n-grams
-    travel as one sorted array per bucket, at about four bytes each, instead of a
-    row for each occurrence; hashes have SPARE_BITS bits more than it takes to
-    number all n-grams, so that one in a million shares its hash, at every size. Blocks hold DOCS_PER_BLOCK rows or CHARS_PER_BLOCK
+    travel as one sorted array per bucket, at about six bytes each, instead of a
+    row for each occurrence. Hashes have all 64 bits: n different n-grams make
+    n * n / 2**65 clashing pairs on average, which is six among 1.5e10. A clash
+    adds the counts of two n-grams, and where it leaves a context without a count
+    the score backs off. Blocks hold DOCS_PER_BLOCK rows or CHARS_PER_BLOCK
     characters on average and buckets GRAMS_PER_BUCKET n-grams, at every size of
     the input; a frequent n-gram adds one number for each block, so no key is
     hot. Counts cover all rows.
@@ -147,8 +151,6 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) ->
     ).first()
     n_words = size["words"] or 0
     n_blocks = max(1, math.ceil(size["n"] / DOCS_PER_BLOCK), math.ceil((size["chars"] or 0) / CHARS_PER_BLOCK))
-    numbering = math.ceil(math.log2(max(2, order * n_words)))
-    width = min(64, numbering + SPARE_BITS)
     bits = max(0, math.ceil(math.log2(max(1, order * n_words / GRAMS_PER_BUCKET))))
     # One projection serves both uses below, so that texts are shuffled once.
     keyed = docs.select(
@@ -156,13 +158,13 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) ->
     )
 
     def explode(pdf: pd.DataFrame) -> pd.DataFrame:
-        grams, counts = Block(pdf["text"].tolist(), order, width).grams()
-        edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(width - bits)
+        grams, counts = Block(pdf["text"].tolist(), order).grams()
+        edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(WIDTH - bits)
         cuts = [0, *np.searchsorted(grams, edges).tolist(), len(grams)]
         rows = []
         for bucket, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
             if j > i:
-                gaps = np.diff(grams[i:j], prepend=np.uint64(bucket) << np.uint64(width - bits))
+                gaps = np.diff(grams[i:j], prepend=np.uint64(bucket) << np.uint64(WIDTH - bits))
                 rows.append((bucket, pdf["block"].iloc[0], pack(gaps), pack(counts[i:j])))
         return pd.DataFrame(rows, columns=["bucket", "block", "grams", "counts"])
 
@@ -181,7 +183,7 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) ->
         return pd.DataFrame({"bucket": pdf["bucket"], "block": pdf["block"], "totals": packed})
 
     def score(pdf: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
-        block = Block(pdf["text"].tolist(), order, width)
+        block = Block(pdf["text"].tolist(), order)
         parts = [unpack(t) for t in totals.sort_values("bucket")["totals"]]
         joined = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
         # Ids travel as text: pandas would turn a column with nulls into floats.

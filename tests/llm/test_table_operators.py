@@ -54,6 +54,30 @@ def test_language_model_scores(spark, monkeypatch, per_block, per_bucket):
     assert lm_score.lm_scores(docs.limit(0)).count() == 0
 
 
+def test_words_whose_hashes_begin_alike_keep_their_own_counts(spark):
+    seen, pair = {}, None
+    for i in range(200_000):
+        word = f"w{i}"
+        start = int(lm_score.spread(np.array([lm_score.xxhash.xxh64_intdigest(word.encode())], np.uint64) + np.uint64(1))[0]) >> 36
+        pair = pair or ((seen[start], word) if start in seen else None)
+        if pair:
+            break
+        seen[start] = word
+    one, other = pair
+    made = [f"a {one} b", *[f"c{i} {other} d" for i in range(12)]]
+    want = naive_scores(made)
+    for r in lm_score.lm_scores(documents(spark, [(i, t, "", "", 0) for i, t in enumerate(made)])).collect():
+        assert r["score"] == pytest.approx(want[r["doc_id"]][1], abs=1e-6)
+
+
+def test_an_ngram_that_clashes_backs_off_where_its_context_has_no_count():
+    block = lm_score.Block(["a b c d"], 3, 64)
+    grams, own = block.grams()
+    for clash in block.flat:
+        totals = own + 5 * (grams == clash)
+        assert np.isfinite(block.scores(totals, 100, 0.4)).all()
+
+
 def test_packed_numbers_come_back():
     for values in ([], [0], [1, 2**40, 5], list(range(3000))):
         assert lm_score.unpack(lm_score.pack(np.array(values, np.uint64))).tolist() == values
