@@ -144,30 +144,51 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def node_of(hashes: np.ndarray, fp: int) -> tuple[int, bytes]:
+    """A number for a fingerprint and a set of shingles together, as a signed
+    long, and the set as its sorted hashes."""
+    shingles = np.unique(hashes).astype("<u8").tobytes()
+    number = xxhash.xxh64_intdigest(shingles, fp & (1 << 64) - 1)
+    return number - (1 << 64) if number >> 63 else number, shingles
+
+
 def marked(docs: DataFrame, shingle: int) -> DataFrame:
     """``docs(doc_id, text, ...)`` without the text, with both fingerprints, ``fp``
-    and ``sketch``, and ``node``, a number for the two together."""
-    fields = T.StructType([T.StructField("fp", T.LongType()), T.StructField("sketch", T.BinaryType())])
+    and ``sketch``, and ``node``, a number for ``fp`` and the set of shingles."""
+    fields = T.StructType([T.StructField("fp", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("node", T.LongType())])
 
     def marks(texts: list) -> dict[str, list]:
         hashes = [shingle_hashes(t, shingle) for t in texts]
-        return {"fp": [majority(h) for h in hashes], "sketch": [sketch(h) for h in hashes]}
+        fps = [majority(h) for h in hashes]
+        nodes = [node_of(h, fp)[0] for h, fp in zip(hashes, fps, strict=True)]
+        return {"fp": fps, "sketch": [sketch(h) for h in hashes], "node": nodes}
+
+    return append_by_block(docs, "text", marks, fields).drop("text")
+
+
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """``node, shingles`` of every row of ``docs(text, ...)``, nodes as in ``marked``."""
+    fields = T.StructType([T.StructField("node", T.LongType()), T.StructField("shingles", T.BinaryType())])
+
+    def sets(texts: list) -> dict[str, list]:
+        hashes = [shingle_hashes(t, shingle) for t in texts]
+        made = [node_of(h, majority(h)) for h in hashes]
+        return {"node": [m[0] for m in made], "shingles": [m[1] for m in made]}
 
-    found = append_by_block(docs, "text", marks, fields)
-    return found.drop("text").withColumn("node", F.xxhash64("fp", "sketch"))
+    return append_by_block(docs.select("text"), "text", sets, fields).drop("text")
 
 
-def similar_classes(marks: DataFrame) -> DataFrame:
+def similar_classes(marks: DataFrame, sets: DataFrame) -> DataFrame:
     """``node, root, component_id`` of every node of ``marks``. Nodes link if their
-    SimHash fingerprints differ in at most DISTANCE bits, or if they share as many
-    positional bytes of the sketch as a similarity of 0.8 guarantees."""
+    SimHash fingerprints differ in at most DISTANCE bits, or if the sketches
+    propose them and their ``sets`` have a Jaccard similarity of 0.8 or more."""
     nodes = cut_lineage(marks.groupBy("node", "fp", "sketch").agg(F.min("doc_id").alias("least")))
     prints = nodes.groupBy("fp").agg(F.min("node").alias("first"))
     near = links(prints.select("fp"))
     near = near.join(prints.withColumnRenamed("fp", "a").withColumnRenamed("first", "from"), "a")
     near = near.join(prints.withColumnRenamed("fp", "b").withColumnRenamed("first", "to"), "b")
     same = nodes.join(prints, "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    edges = sketch_links(nodes.select("node", "sketch")).unionAll(same).unionAll(near.select("from", "to"))
+    edges = sketch_links(nodes.select("node", "sketch"), sets=sets).unionAll(same).unionAll(near.select("from", "to"))
     roots = connected_components(edges)
     classes = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = classes.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -181,11 +202,12 @@ def keep_one(docs: DataFrame, shingle: int = STAGE_SHINGLE) -> DataFrame:
 
     Shingles have five words. At a similarity of 0.8 SimHash fingerprints differ
     in about nine of 64 bits, far beyond DISTANCE, so links by SimHash are joined
-    by those of ``sketch_links``, from the same pass over the text. Texts are not
-    shuffled but for the rows that stay.
+    by those of ``sketch_links``. A second pass over the texts gives the sets of
+    shingles of the nodes that the sketches propose, which are compared exactly.
+    Texts are not shuffled but for the rows that stay.
     """
     columns = docs.columns
-    classes = similar_classes(cut_lineage(marked(docs.select("doc_id", "text"), shingle)))
+    classes = similar_classes(cut_lineage(marked(docs.select("doc_id", "text"), shingle)), shingle_sets(docs, shingle))
     kept = classes.where("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct()
     named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*columns)
     nameless = classes.where("component_id is null").select("node", "root")

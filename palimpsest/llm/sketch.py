@@ -4,20 +4,26 @@ a byte-position inverted index over fingerprints of minwise bytes.
 Two texts whose sets of shingles have Jaccard similarity s agree at a position of
 a SimHash fingerprint's bytes with a probability that is about 0.3 for s = 0.8,
 so that no number of shared bytes is guaranteed. A byte of a minwise fingerprint
-agrees with probability s. The index, the count of shared positional bytes and
-the verification are those of the SimHash operator."""
+agrees with probability s. The index and the count of shared positional bytes are
+those of the SimHash operator; they propose pairs, and the texts' sets of shingles
+decide."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut_lineage
+
 POSITIONS = 128  # bytes of a fingerprint
-KEYS, KEY_BYTES = 16, 4  # a pair of similarity 0.8 meets under some key with probability 0.9998
+KEYS, KEY_BYTES = 32, 4  # a pair of similarity 0.8 meets under some key with probability 1 - 5e-8
 SIMILARITY = 0.8
 SLACK = 2.0  # standard deviations of the count of shared bytes
+LOOSE = 4.0  # the same, where sets of shingles decide: a pair of 0.8 is proposed with probability 0.9999
 SMALL_POSTING = 32
 TILE = 1024
 
@@ -50,9 +56,29 @@ def shared(x: Column, y: Column) -> Column:
     return F.size(F.filter(F.zip_with(x, y, lambda a, b: a == b), lambda same: same))
 
 
-def sketch_links(nodes: DataFrame, least: int | None = None, small: int = SMALL_POSTING) -> DataFrame:
+def overlaps(one: np.ndarray, others: list) -> np.ndarray:
+    """How many elements each of ``others`` shares with ``one``; all are sorted sets."""
+    flat = np.concatenate([np.zeros(0, np.uint64), *others])
+    if not len(one):
+        return np.zeros(len(others), np.int64)
+    hits = np.r_[0, np.cumsum(one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat)]
+    ends = np.cumsum([len(o) for o in others], dtype=np.int64)
+    return hits[ends] - hits[np.r_[0, ends[:-1]]] if len(ends) else ends
+
+
+def similar(one: np.ndarray, others: list) -> np.ndarray:
+    """Which of ``others`` have a Jaccard similarity of SIMILARITY or more with
+    ``one``, in whole numbers."""
+    both = overlaps(one, others)
+    either = len(one) + np.array([len(o) for o in others], np.int64) - both
+    return 100 * both >= round(100 * SIMILARITY) * either
+
+
+def sketch_links(nodes: DataFrame, least: int | None = None, small: int = SMALL_POSTING, sets: DataFrame | None = None) -> DataFrame:
     """Edges ``a, b`` whose components are those of the graph that links the rows
     of ``nodes(node, sketch)`` which meet under a key and share ``least`` bytes.
+    With ``sets(node, shingles)``, the sorted hashes of every node's shingles, such
+    a pair is linked if the Jaccard similarity of its sets is SIMILARITY or more.
 
     A posting lists the nodes that hold the same four bytes at a key's positions.
     In one of up to ``small`` nodes each pair is tallied. A larger one, as a group
@@ -61,7 +87,8 @@ def sketch_links(nodes: DataFrame, least: int | None = None, small: int = SMALL_
     not yet reached, so that a group costs little more than its size, and returns
     a spanning forest, never its pairs. Nodes are distinct; there is no cap.
     """
-    least = least_shared() if least is None else least
+    if least is None:
+        least = least_shared() if sets is None else least_shared(slack=LOOSE)
     keys = F.array(*[F.xxhash64(F.lit(k), F.substring("sketch", k * POSITIONS // KEYS + 1, KEY_BYTES)) for k in range(KEYS)])
     index = nodes.select("node", F.explode(keys).alias("key"))
     sizes = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -78,29 +105,55 @@ def sketch_links(nodes: DataFrame, least: int | None = None, small: int = SMALL_
     many = index.where(F.col("n") > small).withColumn("parts", F.ceil(F.col("n") / TILE).cast("int"))
     many = many.withColumn("p", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int"))
     many = many.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    many = many.select("key", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "node").join(nodes.select("node", "sketch"), "node")
+    many = many.select("key", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "node")
+    marks = nodes.select("node", "sketch")
+    if sets is not None:
+        # Sets travel only for the nodes that need them.
+        pairs = cut_lineage(pairs)
+        wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).unionAll(index.where(F.col("n") > small).select("node")).distinct()
+        sets = cut_lineage(sets.select("node", "shingles").join(wanted, "node").dropDuplicates(["node"]))
+        pairs = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+        pairs = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+        pairs = pairs.mapInPandas(verified, "a long, b long")
+        marks = marks.join(sets, "node")
+    many = many.join(marks, "node")
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = pdf["node"].to_numpy()
         bytes_ = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(ids), POSITIONS)
-        a, b = forest(bytes_, least)
+        a, b = forest(bytes_, least, [set_of(x) for x in pdf["shingles"]] if "shingles" in pdf else None)
         return pd.DataFrame({"a": ids[a], "b": ids[b]})
 
     tiles = many.groupBy("key", "i", "j").applyInPandas(tile, "a long, b long")
     return pairs.unionAll(tiles).distinct()
 
 
-def forest(bytes_: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the rows that share ``least`` bytes."""
+def set_of(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<u8")
+
+
+def verified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The pairs ``a, b`` of rows ``a, b, x, y`` whose sets are similar."""
+    for pdf in frames:
+        keep = [bool(similar(set_of(x), [set_of(y)])[0]) for x, y in zip(pdf["x"], pdf["y"], strict=True)]
+        yield pdf.loc[np.array(keep, bool), ["a", "b"]]
+
+
+def forest(bytes_: np.ndarray, least: int, sets: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the rows that share ``least`` bytes and, if
+    ``sets`` are given, have similar sets; each edge is a pair that was compared."""
     unseen, ends, starts = np.arange(len(bytes_)), [], []
     while len(unseen):
         start, unseen = unseen[0], unseen[1:]
         todo = [start]
         while todo and len(unseen):
-            near = (bytes_[unseen] == bytes_[todo.pop()]).sum(1) >= least
+            at = todo.pop()
+            near = (bytes_[unseen] == bytes_[at]).sum(1) >= least
+            if sets is not None:
+                near[near] = similar(sets[at], [sets[i] for i in unseen[near]])
             found = unseen[near]
             ends.append(found)
-            starts.append(np.full(len(found), start))
+            starts.append(np.full(len(found), at))
             todo.extend(found.tolist())
             unseen = unseen[~near]
     none = np.zeros(0, np.int64)

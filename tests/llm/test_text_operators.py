@@ -359,3 +359,47 @@ def test_bpe_rows(spark, vocabulary):
         assert (r["n_tokens"], r["ids_sha256"], bytes(r["token_ids"])) == (len(ids), hashlib.sha256(data).hexdigest(), data)
         assert r["decoded_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest()
     assert bpe.tokens(docs.limit(0), path, public_tokenizers.PATTERN).count() == 0
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def similar_texts():
+    """Bases of 100 different words and copies whose last k words are new, which
+    leaves a similarity of (96 - k) / (96 + k), near 0.8 for k = 10 or 11."""
+    out = []
+    for base in range(25):
+        words = [f"b{base}w{i}" for i in range(100)]
+        out.append(" ".join(words))
+        out += [" ".join(words[: 100 - k] + [f"n{base}k{k}i{i}" for i in range(k)]) for k in (10, 11, 13, 15)]
+    return out
+
+
+def test_keep_one_against_exact_similarity(spark):
+    made = similar_texts()
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in made]
+    prints = [simhash.simhash(t, 5) for t in made]
+    link = lambda a, b: jaccard(sets[a], sets[b]) >= 0.8 or bin((prints[a] ^ prints[b]) & ((1 << 64) - 1)).count("1") <= 2
+    want = components(range(len(made)), link)
+    docs = documents(spark, [(i, t, "", "", 0) for i, t in enumerate(made)])
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == sorted(min(g) for g in want)
+
+
+def test_tiles_link_by_exact_similarity(spark, monkeypatch):
+    from palimpsest.llm.components import connected_components
+
+    monkeypatch.setattr(sketch, "TILE", 4)
+    made = similar_texts()
+    hashes = [simhash.shingle_hashes(t, 5) for t in made]
+    sets = [set(h.tolist()) for h in hashes]
+    want = components(range(len(made)), lambda a, b: jaccard(sets[a], sets[b]) >= 0.8)
+    rows = [(i, sketch.sketch(h), simhash.node_of(h, 0)[1]) for i, h in enumerate(hashes)]
+    table = spark.createDataFrame(rows, "node long, sketch binary, shingles binary")
+    edges = sketch.sketch_links(table, small=2, sets=table.select("node", "shingles"))
+    assert all(jaccard(sets[r["a"]], sets[r["b"]]) >= 0.8 for r in edges.collect())
+    got = {}
+    for r in connected_components(edges).collect():
+        got.setdefault(r["root"], set()).add(r["node"])
+    alone = [[f] for f in set(range(len(made))) - set().union(*got.values())]
+    assert sorted([*map(sorted, got.values()), *alone]) == want
