@@ -43,7 +43,7 @@ _NUMBER = re.compile(r"[A-Z]{0,3}[0-9](?:[\x20-]?[0-9]){5,17}(?![0-9A-Za-z])")
 
 @lru_cache(1)
 def automaton() -> ahocorasick.Automaton:
-    """Anchors and what they stand for. Digits anchor numbers and dotted quads,
+    """Anchors, in small letters, and what they stand for. Digits anchor numbers and dotted quads,
     as their cue is the character itself."""
     found = ahocorasick.Automaton()
     found.add_word("@", ("at", 1))
@@ -51,15 +51,19 @@ def automaton() -> ahocorasick.Automaton:
         found.add_word(d, ("digit", 1))
         found.add_word("+" + d, ("plus", 2))
     for scheme in PERSON_SCHEMES + WEB_SCHEMES:
-        for form in {scheme, scheme.upper(), scheme.capitalize()}:
-            found.add_word(form, ("person" if scheme in PERSON_SCHEMES else "web", len(form)))
+        found.add_word(scheme, ("person" if scheme in PERSON_SCHEMES else "web", len(scheme)))
     for cue in CUES:
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            found.add_word(form, ("cue", len(form)))
+        found.add_word(cue, ("cue", len(cue)))
     found.make_automaton()
     return found
 
 
+def small_letters(text: str) -> str:
+    """The text with small letters for its ASCII capitals; all others keep their
+    place, which str.lower does not grant."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def luhn(digits: str) -> bool:
     values = [int(d) for d in reversed(digits)]
     return sum(values[::2] + [sum(divmod(2 * d, 10)) for d in values[1::2]]) % 10 == 0
@@ -103,7 +107,7 @@ def spans_of(text: str | None) -> list[tuple[int, int, int]]:
     if not text:
         return spans
     mail_end = number_end = quad_end = phone_end = account_end = 0
-    for last, (kind, length) in automaton().iter(text):
+    for last, (kind, length) in automaton().iter(small_letters(text)):
         if kind == "digit":
             if last >= number_end:
                 m = _CARD.match(text, last)

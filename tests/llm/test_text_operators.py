@@ -66,6 +66,25 @@ def test_personal_added_spans(text, kinds):
     assert found == kinds
 
 
+@pytest.mark.parametrize(
+    "text, kind",
+    [
+        ("Social Security Number: 123-45-6789", "account"),
+        ("Tax ID: 12345678", "account"),
+        ("Sort Code: 12-34-56", "account"),
+        ("Customer No: 12345678", "account"),
+        ("Steuer-ID: 12345678901", "account"),
+        ("İ Tax ID: 12345678", "account"),
+        ("see MailTo:jane.roe now", "address"),
+        ("see HttpS://jane:pw@example.org/x", "address"),
+    ],
+)
+def test_personal_cues_and_schemes_in_any_case(text, kind):
+    spans = [s for s in pii.spans_of(text) if pii.KINDS[s[1]] == kind]
+    start = text.index(":") + 2 if kind == "account" else text.index("see ") + 4
+    assert [s[0] for s in spans] == [start]
+
+
 def test_personal_data_rows(spark):
     docs = documents(spark)
     rows = pii.personal_data(docs).collect()
