@@ -18,7 +18,7 @@ BASE_KINDS = ("assign", "access", "hex")
 # Parts of a credential that say little alone. A secret part is a run of 32 or
 # more characters of base64 that is no word; an identifier part is an assigned
 # user, client or account name; an endpoint is an address that takes both.
-WEAK_SECRET = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,31}[0-9])(?=[A-Z0-9+/_=-]{0,31}[a-z])(?=[a-z0-9+/_=-]{0,31}[A-Z])[A-Za-z0-9+/_=-]{32,}+"
+WEAK_SECRET = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[A-Z0-9+/_=-]*+[a-z])(?=[a-z0-9+/_=-]*+[A-Z])[A-Za-z0-9+/_=-]{32,}+"
 WEAK_ID = r"""(?i)(?<![a-z0-9_])(?:user(?:name)?|login|(?:access|client|account)[_-]?(?:key[_-]?)?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,}+"""
 ENDPOINT = r"(?i)(?:https?|jdbc:[a-z0-9]+|mongodb|postgres(?:ql)?|mysql|redis|amqps?|ftps?|sftp|s3)://[A-Za-z0-9._~%:@/?#&=+-]{4,}+"
 WEAK_KINDS = ("weak_secret", "weak_id", "endpoint")

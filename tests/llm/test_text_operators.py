@@ -422,3 +422,10 @@ def test_tiles_link_by_exact_similarity(spark, monkeypatch):
         got.setdefault(r["root"], set()).add(r["node"])
     alone = [[f] for f in set(range(len(made))) - set().union(*got.values())]
     assert sorted([*map(sorted, got.values()), *alone]) == want
+
+
+def test_a_secret_whose_first_digit_is_late_is_linked(spark):
+    key = "abcdEFGH" * 5
+    rows = [(0, f"username=somebody {key}7", "", "", 0), (1, f"username=somebody {key}", "", "", 0)]
+    got = {r["doc_id"]: {secret_scan.KINDS[s["rank"]] for s in r["spans"]} for r in secret_scan.secret_spans(documents(spark, rows)).collect()}
+    assert got == {0: {"weak_secret", "weak_id"}, 1: set()}
