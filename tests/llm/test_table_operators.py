@@ -259,3 +259,24 @@ def test_quotes_are_linked_and_taken_out(spark):
     twice = table.unionAll(table)
     assert quotes.link_quotes(twice).count() == 2 * len(TALK)
     assert quotes.link_quotes(table.limit(0)).count() == 0
+
+
+def test_mix_meets_its_targets_with_null_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANKED", 100)  # rounds go on into the ties
+    rng = random.Random(13)
+    rows = [(None, " ".join(["w"] * rng.choice([1, 7, 20])), "", "a", 0) for _ in range(300)]
+    rows += [(None, "one two three four", "", "b", 0)] * 200 + [(5, "x y z", "", "c", 0)] * 300 + [(None, None, "", "b", 0)] * 5
+    rows += [(i, " ".join(["w"] * rng.choice([1, 7, 20])), "", "d", 0) for i in range(400)]
+    docs = documents(spark, rows)
+    sizes = Counter()
+    for _, t, _, s, _ in rows:
+        sizes[s] += len((t or "").split())
+    want = naive_targets(dict(sizes))
+    taken, words = Counter(), Counter()
+    for r in mixing.mix(docs).collect():
+        assert r["taken"] <= 3 * r["size"]
+        taken[r["source"]] += r["taken"]
+    for r in mixing.mix_rows(docs).collect():
+        words[r["source"]] += len((r["text"] or "").split())
+    for s in sizes:
+        assert abs(taken[s] - want[s]) <= 20 and abs(words[s] - want[s]) <= 20, s
