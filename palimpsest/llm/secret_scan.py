@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,11 +22,35 @@ ENDPOINT = r"(?i)(?:https?|jdbc:[a-z0-9]+|mongodb|postgres(?:ql)?|mysql|redis|am
 WEAK_KINDS = ("weak_secret", "weak_id", "endpoint")
 KINDS = BASE_KINDS + WEAK_KINDS
 SCOPE = 200  # code points between the parts of one credential
-LEAST_PART = 8  # no part is shorter
+STRETCH = 256  # elements that one step of a scan goes over
+PIECE = 4096  # code points of the pieces into which a text with secrets is cut
 
 SPAN = "struct<start:bigint,rank:int,end:bigint>"
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
+def scanned(values: Column, add) -> Column:
+    """For each of the longs ``values``, none negative, what ``add`` makes of all
+    before it, 0 for the first. Stretches are folded by themselves and then moved
+    by what stands before them, so that no long array is copied at each step."""
+
+    def fold(stretch: Column, value) -> Column:
+        start = F.expr("struct(0L as at, cast(array() as array<bigint>) as before)")
+        return F.aggregate(stretch, start, lambda s, x: F.struct(add(s["at"], value(x)).alias("at"), F.concat(s["before"], F.array(s["at"])).alias("before")))
+
+    def parts(v: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1)), F.lit(STRETCH))
+        inner = F.transform(starts, lambda i: fold(F.slice(v, i, F.lit(STRETCH)), lambda x: x))
+        shift = lambda p: F.zip_with(p, fold(p, lambda x: x["at"])["before"], lambda x, by: F.transform(x["before"], lambda y: add(by, y)))
+        return F.flatten(bound(inner, shift))
+
+    return bound(values, parts)
+
+
 def found(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches of ``pattern`` as an array of
     ``(start, end, value)`` in code points: the gaps between matches come from
@@ -36,17 +58,18 @@ def found(text: Column, pattern: str) -> Column:
     to end."""
     gaps = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"))
-    nothing = F.expr("struct(0L as at, cast(array() as array<struct<start:bigint,end:bigint,value:string>>) as spans)")
+    pairs = F.filter(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), lambda p: p["hit"].isNotNull())
+
+    def placed(pairs: Column) -> Column:
+        before = scanned(F.transform(pairs, lambda p: (F.length(p["gap"]) + F.length(p["hit"])).cast("long")), lambda x, y: x + y)
 
-    def add(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["gap"])
-        end = start + F.coalesce(F.length(pair["hit"]), F.lit(0))
-        span = F.struct(start.alias("start"), end.alias("end"), pair["hit"].alias("value"))
-        more = F.when(pair["hit"].isNull(), state["spans"]).otherwise(F.concat(state["spans"], F.array(span)))
-        return F.struct(end.alias("at"), more.alias("spans"))
+        def span(pair: Column, at: Column) -> Column:
+            start = at + F.length(pair["gap"])
+            return F.struct(start.alias("start"), (start + F.length(pair["hit"])).alias("end"), pair["hit"].alias("value"))
 
-    return F.aggregate(pairs, nothing, add, lambda state: state["spans"])
+        return F.zip_with(pairs, before, span)
+
+    return bound(pairs, placed)
 
 
 def kind_spans(text: Column, kind: str) -> Column:
@@ -68,35 +91,65 @@ def kind_spans(text: Column, kind: str) -> Column:
     return F.when(F.rlike(text, F.lit(pattern)), spans.cast(f"array<{SPAN}>")).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
 
 
+def extremes(points: Column, last: Column, scope: int) -> Column:
+    """``(least, most)`` of the longs ``points`` in each stretch of ``scope``
+    numbers from 0 to the stretch of ``last``, and beyond it one that is empty;
+    nulls where a stretch has none."""
+    stretches = F.sequence(F.lit(0).cast("long"), F.floor(last / scope) + 1)
+
+    def firsts(sign: int) -> Column:
+        # Sorted with an end mark for each stretch, the first of a stretch is its extreme.
+        entries = F.concat(
+            F.transform(points, lambda x: F.struct(F.floor(x / scope).alias("in"), (sign * x).alias("at"))),
+            F.transform(stretches, lambda k: F.struct(k.alias("in"), F.lit((1 << 63) - 1).alias("at"))),
+        )
+        first = lambda e: F.filter(e, lambda x, i: (i == 0) | (F.get(e, i - 1)["in"] < x["in"]))
+        value = lambda x: F.when(x["at"] != (1 << 63) - 1, sign * x["at"])
+        return F.transform(bound(F.sort_array(entries), first), value)
+
+    return F.arrays_zip(firsts(1).alias("least"), firsts(-1).alias("most"))
+
+
 def linked(parts: Column, scope: int = SCOPE) -> Column:
     """The weak spans among ``parts`` that have a complement within ``scope``.
 
-    An interval join inside the document: in order of start, a part can only
-    meet parts at most ``reach`` places away, as parts of a kind do not overlap
-    and none is shorter than LEAST_PART; so each looks at a slice of fixed
-    length. Complements: a secret part needs an identifier (weak, or an access
-    key), an identifier needs a secret (weak, or any base kind but access), and
-    an endpoint needs both.
+    An interval join inside the document, by position. A complement after a part
+    starts in the stretch of ``scope`` numbers of the part's end or in the next:
+    there is one exactly if the highest start in the former is not before that
+    end, or the lowest in the latter is within ``scope`` of it; likewise ends for
+    one before a part. So two looks into a table of stretches decide, whatever the
+    length or number of parts. Complements: a secret part needs an identifier
+    (weak, or an access key), an identifier needs a secret (weak, or any base kind
+    but access), and an endpoint needs both.
     """
-    reach = len(KINDS) * (math.ceil(scope / LEAST_PART) + 2)
     rank = {k: i for i, k in enumerate(KINDS)}
     ids = [rank["weak_id"], rank["access"]]
     secrets = [rank["weak_secret"], rank["assign"], rank["hex"]]
 
-    def complete(p: Column, i: Column) -> Column:
-        near = F.slice(parts, F.greatest(i + 1 - reach, F.lit(1)), F.lit(2 * reach + 1))
-        close = lambda q, kinds: q["rank"].isin(kinds) & (q["start"] - p["end"] <= scope) & (p["start"] - q["end"] <= scope)
-        apart = lambda q: (q["start"] >= p["end"]) | (q["end"] <= p["start"])
-        some_id = F.exists(near, lambda q: close(q, ids) & apart(q))
-        some_secret = F.exists(near, lambda q: close(q, secrets) & apart(q))
+    def tables(parts: Column) -> Column:
+        last = F.coalesce(F.array_max(F.transform(parts, lambda p: p["end"])), F.lit(0).cast("long"))
+        of = lambda kinds, side: extremes(F.transform(F.filter(parts, lambda p: p["rank"].isin(kinds)), lambda p: p[side]), last, scope)
+        made = {f"{name}_{side}": of(kinds, side) for name, kinds in (("id", ids), ("secret", secrets)) for side in ("start", "end")}
+        return F.struct(parts.alias("parts"), *[table.alias(name) for name, table in made.items()])
+
+    def near(t: Column, p: Column, name: str) -> Column:
+        stretch = lambda x: F.floor(x / scope).cast("int")
+        look = lambda side, k: F.get(t[f"{name}_{side}"], k)
+        after, before = stretch(p["end"]), stretch(p["start"])
         return (
-            F.when(p["rank"] == rank["weak_secret"], some_id)
-            .when(p["rank"] == rank["weak_id"], some_secret)
-            .when(p["rank"] == rank["endpoint"], some_id & some_secret)
+            F.coalesce(look("start", after)["most"] >= p["end"], F.lit(False)) | F.coalesce(look("start", after + 1)["least"] <= p["end"] + scope, F.lit(False))
+            | F.coalesce(look("end", before)["least"] <= p["start"], F.lit(False)) | F.coalesce((before > 0) & (look("end", before - 1)["most"] >= p["start"] - scope), F.lit(False))
+        )
+
+    def complete(t: Column, p: Column) -> Column:
+        return (
+            F.when(p["rank"] == rank["weak_secret"], near(t, p, "id"))
+            .when(p["rank"] == rank["weak_id"], near(t, p, "secret"))
+            .when(p["rank"] == rank["endpoint"], near(t, p, "id") & near(t, p, "secret"))
             .otherwise(F.lit(True))
         )
 
-    return F.filter(parts, complete)
+    return bound(bound(parts, tables), lambda t: F.filter(t["parts"], lambda p: complete(t, p)))
 
 
 def secret_spans(docs: DataFrame, base: str = "base", spans: str = "spans") -> DataFrame:
@@ -129,20 +182,32 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
 
     Identifiers and endpoints stay: alone they open nothing. Overlapping spans
     become one mask. Rows without a secret keep their text as it is, null too.
+    Spans that meet are made one by a running maximum of their ends, and the text
+    between them is taken from equal pieces of it, so that the work grows with the
+    text and with the number of spans, and not with their product.
     """
     columns = docs.columns
     base, spans = fresh(docs, "base"), fresh(docs, "spans")
     found_in = secret_spans(docs, base, spans)
+    text = F.col("text")
+
+    def hidden(spans: Column) -> Column:
+        reach = scanned(F.transform(spans, lambda s: s["end"]), F.greatest)
+        both = F.arrays_zip(spans.alias("s"), reach.alias("reach"))
+        opening = lambda both: F.filter(both, lambda b, i: (i == 0) | (b["s"]["start"] >= b["reach"]))
+        # Before each mask stands the text from the end of the last one.
+        gaps = F.transform(bound(both, opening), lambda b: F.struct(b["reach"].alias("from"), b["s"]["start"].alias("to")))
+        rest = F.struct(F.array_max(F.transform(spans, lambda s: s["end"])).alias("from"), F.length(text).cast("long").alias("to"))
+        pieces = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))
+        return F.array_join(bound(pieces, lambda p: F.transform(F.concat(gaps, F.array(rest)), lambda g: between(p, g))), mask)
+
     hide = F.filter(spans, lambda s: s["rank"] <= KINDS.index("weak_secret"))
-    start = F.expr("struct(0L as at, '' as made)")
+    new = F.when(F.size(hide) == 0, text).otherwise(bound(hide, hidden))
+    return found_in.withColumn("text", new).select(*columns)
 
-    def step(state: Column, s: Column) -> Column:
-        gap = F.when(
-            s["start"] >= state["at"],
-            F.concat(state["made"], F.substring(F.col("text"), (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int")), F.lit(mask)),
-        ).otherwise(state["made"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), gap.alias("made"))
 
-    rest = lambda state: F.concat(state["made"], F.substring(F.col("text"), (state["at"] + 1).cast("int"), F.lit(2**31 - 1)))
-    new = F.when(F.size(hide) == 0, F.col("text")).otherwise(F.aggregate(hide, start, step, rest))
-    return found_in.withColumn("text", new).select(*columns)
+def between(pieces: Column, gap: Column) -> Column:
+    """The text from one place to another, out of equal ``pieces`` of it."""
+    first, last = F.floor(gap["from"] / PIECE).cast("int"), F.floor(gap["to"] / PIECE).cast("int")
+    joined = F.array_join(F.slice(pieces, first + 1, last - first + 1), "")
+    return F.substring(joined, (gap["from"] - first * PIECE + 1).cast("int"), (gap["to"] - gap["from"]).cast("int"))
