@@ -192,7 +192,8 @@ def naive_links(rows, cosine=0.98):
 
 
 def test_vectors_against_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "PER_LIST", 40)
+    monkeypatch.setattr(vectors, "PER_LIST", 8)
+    monkeypatch.setattr(vectors, "CENTRES", 6)  # so that there are two levels
     monkeypatch.setattr(vectors, "TILE_MEMBERS", 16)
     monkeypatch.setattr(vectors, "TILE_QUERIES", 32)
     rng = np.random.default_rng(4)
@@ -280,3 +281,13 @@ def test_mix_meets_its_targets_with_null_and_repeated_ids(spark, monkeypatch):
         words[r["source"]] += len((r["text"] or "").split())
     for s in sizes:
         assert abs(taken[s] - want[s]) <= 20 and abs(words[s] - want[s]) <= 20, s
+
+
+@pytest.mark.parametrize("width", [2, 2048])
+def test_vectors_of_very_large_and_very_small_components(spark, monkeypatch, width):
+    monkeypatch.setattr(vectors, "MOST_WIDTH", width)
+    near = [[1.0, 0.01 * i, 0.0, 0.0] for i in range(4)]
+    rows = [(i, v, 1) for i, v in enumerate(near)]
+    rows += [(10, [1e-200, 0.0, 0.0, 0.0], 1), (11, [1e200, 1e198, 0.0, 0.0], 1), (12, [0.0, 0.0, 0.0, 5e-324], 1), (13, [0.0, 0.0, 1e308, 1e308], 1), (14, [0.0, 0.0, 2.0, 2.0], 1)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {i: (5, 0) for i in (0, 1, 2, 3, 10, 11)} | {12: (0, 12), 13: (1, 13), 14: (1, 13)}
