@@ -43,6 +43,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sent(table: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """A written table of few numbers a row, to be sent to all tasks if it has
+    ``most`` rows or fewer; otherwise joins shuffle both sides."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that no column of ``df`` has."""
     taken = {c.lower() for c in df.columns}

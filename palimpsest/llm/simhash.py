@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 import numpy as np
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_by_block, cut_lineage, words_of
+from .common import append_by_block, cut_lineage, fresh, sent, words_of
 from .components import connected_components
 from .sketch import sketch, sketch_links
 
@@ -125,7 +127,9 @@ def near_duplicate_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connected_components(links(classes.select("fp"))).withColumnRenamed("node", "fp")
     classes = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Both are written, so that a root that very many share is a plain join, which Spark can split.
+    classes = cut_lineage(classes)
+    ids = cut_lineage(classes.groupBy("root").agg(F.min("least").alias("component_id")))
     return prints, classes.join(ids, "root").select("fp", "root", "component_id")
 
 
@@ -144,73 +148,87 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def node_of(hashes: np.ndarray, fp: int) -> tuple[int, bytes]:
-    """A number for a fingerprint and a set of shingles together, as a signed
-    long, and the set as its sorted hashes."""
-    shingles = np.unique(hashes).astype("<u8").tobytes()
-    number = xxhash.xxh64_intdigest(shingles, fp & (1 << 64) - 1)
-    return number - (1 << 64) if number >> 63 else number, shingles
+def node_of(hashes: np.ndarray, fp: int) -> int:
+    """A number for a fingerprint and a set of shingles together, as a signed long."""
+    number = xxhash.xxh64_intdigest(np.unique(hashes).astype("<u8").tobytes(), fp & (1 << 64) - 1)
+    return number - (1 << 64) if number >> 63 else number
 
 
 def marked(docs: DataFrame, shingle: int) -> DataFrame:
-    """``docs(doc_id, text, ...)`` without the text, with both fingerprints, ``fp``
-    and ``sketch``, and ``node``, a number for ``fp`` and the set of shingles."""
-    fields = T.StructType([T.StructField("fp", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("node", T.LongType())])
+    """``docs(text, ...)`` without the text, with both fingerprints, ``fp`` and
+    ``sketch``, ``node``, a number for ``fp`` and the set of shingles, and ``chars``."""
+    fields = T.StructType(
+        [T.StructField("fp", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("node", T.LongType()), T.StructField("chars", T.LongType())]
+    )
 
     def marks(texts: list) -> dict[str, list]:
         hashes = [shingle_hashes(t, shingle) for t in texts]
         fps = [majority(h) for h in hashes]
-        nodes = [node_of(h, fp)[0] for h, fp in zip(hashes, fps, strict=True)]
-        return {"fp": fps, "sketch": [sketch(h) for h in hashes], "node": nodes}
+        nodes = [node_of(h, fp) for h, fp in zip(hashes, fps, strict=True)]
+        return {"fp": fps, "sketch": [sketch(h) for h in hashes], "node": nodes, "chars": [len(t or "") for t in texts]}
 
     return append_by_block(docs, "text", marks, fields).drop("text")
 
 
-def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """``node, shingles`` of every row of ``docs(text, ...)``, nodes as in ``marked``."""
-    fields = T.StructType([T.StructField("node", T.LongType()), T.StructField("shingles", T.BinaryType())])
+def packed(docs: DataFrame) -> DataFrame:
+    """``docs(text, ...)`` with the text as compressed ``data``."""
+    fields = T.StructType([T.StructField("data", T.BinaryType())])
+    pack = zstandard.compress
+    return append_by_block(docs, "text", lambda texts: {"data": [pack((t or "").encode("utf-8", "surrogatepass")) for t in texts]}, fields).drop("text")
 
-    def sets(texts: list) -> dict[str, list]:
-        hashes = [shingle_hashes(t, shingle) for t in texts]
-        made = [node_of(h, majority(h)) for h in hashes]
-        return {"node": [m[0] for m in made], "shingles": [m[1] for m in made]}
 
-    return append_by_block(docs.select("text"), "text", sets, fields).drop("text")
+def unpacked_set(data: bytes, shingle: int = STAGE_SHINGLE) -> np.ndarray:
+    """The sorted set of shingles of a text from ``packed``."""
+    return np.unique(shingle_hashes(zstandard.decompress(data).decode("utf-8", "surrogatepass"), shingle))
 
 
-def similar_classes(marks: DataFrame, sets: DataFrame) -> DataFrame:
-    """``node, root, component_id`` of every node of ``marks``. Nodes link if their
-    SimHash fingerprints differ in at most DISTANCE bits, or if the sketches
-    propose them and their ``sets`` have a Jaccard similarity of 0.8 or more."""
-    nodes = cut_lineage(marks.groupBy("node", "fp", "sketch").agg(F.min("doc_id").alias("least")))
-    prints = nodes.groupBy("fp").agg(F.min("node").alias("first"))
+def similar_classes(marks: DataFrame, docs: DataFrame, shingle: int = STAGE_SHINGLE) -> DataFrame:
+    """``root, first`` of every group of the rows of ``marks``, which are ``marked``;
+    ``first`` is the least ``(no_id, doc_id, text_hash)`` of its rows. Nodes link if
+    their SimHash fingerprints differ in at most DISTANCE bits, or if the sketches
+    propose them and the sets of shingles of their texts, read from ``docs(text,
+    text_hash)``, have a Jaccard similarity of 0.8 or more."""
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    nodes = cut_lineage(marks.groupBy("node", "fp", "sketch").agg(F.min(first).alias("first"), F.max("chars").alias("chars")))
+    prints = cut_lineage(nodes.groupBy("fp").agg(F.min("node").alias("one")))
     near = links(prints.select("fp"))
-    near = near.join(prints.withColumnRenamed("fp", "a").withColumnRenamed("first", "from"), "a")
-    near = near.join(prints.withColumnRenamed("fp", "b").withColumnRenamed("first", "to"), "b")
-    same = nodes.join(prints, "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    edges = sketch_links(nodes.select("node", "sketch"), sets=sets).unionAll(same).unionAll(near.select("from", "to"))
+    near = near.join(prints.select(F.col("fp").alias("a"), F.col("one").alias("from")), "a")
+    near = near.join(prints.select(F.col("fp").alias("b"), F.col("one").alias("to")), "b")
+    same = nodes.join(prints, "fp").select(F.col("one").alias("a"), F.col("node").alias("b"))
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        hashes = cut_lineage(nodes.join(wanted, "node").select("node", F.col("first.text_hash").alias("text_hash")))
+        found = docs.select("text", "text_hash").join(sent(hashes), "text_hash")
+        return packed(found.select("node", "text")).dropDuplicates(["node"])
+
+    read = functools.partial(unpacked_set, shingle=shingle)
+    edges = sketch_links(nodes.select("node", "sketch", "chars"), sets=sets, read=read).unionAll(same).unionAll(near.select("from", "to"))
     roots = connected_components(edges)
-    classes = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return cut_lineage(classes.join(ids, "root").select("node", "root", "component_id"))
+    classes = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return classes.groupBy("root").agg(F.min("first").alias("first"))
 
 
 def keep_one(docs: DataFrame, shingle: int = STAGE_SHINGLE) -> DataFrame:
     """One row of ``docs`` for each near-duplicate group, that with the least
-    doc_id; of repeated rows with that id one stays. A group without any doc_id
-    keeps one of its rows too. Columns are those of ``docs``.
+    doc_id; of repeated rows with that id one stays, of different texts with it that
+    of the least hash. A group without any doc_id keeps one of its rows too. Columns
+    are those of ``docs``.
 
     Shingles have five words. At a similarity of 0.8 SimHash fingerprints differ
     in about nine of 64 bits, far beyond DISTANCE, so links by SimHash are joined
-    by those of ``sketch_links``. A second pass over the texts gives the sets of
-    shingles of the nodes that the sketches propose, which are compared exactly.
-    Texts are not shuffled but for the rows that stay.
+    by those of ``sketch_links``. A second pass over the texts finds those of the
+    nodes that the sketches propose, which are compared exactly. Texts are shuffled
+    where they are compared, compressed, and where the same row is there twice.
     """
-    columns = docs.columns
-    classes = similar_classes(cut_lineage(marked(docs.select("doc_id", "text"), shingle)), shingle_sets(docs, shingle))
-    kept = classes.where("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*columns)
-    nameless = classes.where("component_id is null").select("node", "root")
-    packed = docs.where("doc_id is null").select("doc_id", "text", F.struct(*columns).alias("row"))
-    alone = marked(packed, shingle).join(nameless, "node").dropDuplicates(["root"])
-    return named.unionByName(alone.select("row.*").select(*columns))
+    columns, key, row = docs.columns, fresh(docs, "text_hash"), fresh(docs, "row")
+    texts = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    marks = cut_lineage(marked(texts, shingle))
+    kept = similar_classes(marks, texts, shingle).select("first.doc_id", "first.text_hash")
+    times = marks.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_hash") == F.col("b.text_hash"))
+    kept = cut_lineage(kept.alias("a").join(times.alias("b"), same).select("a.doc_id", "a.text_hash", F.col("b.n") > 1))
+    kept = kept.toDF("_id", "_hash", "_twice")
+    rows = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit("")))).select("doc_id", key, F.struct(*columns).alias(row))
+    stay = rows.join(sent(kept), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(key) == F.col("_hash")))
+    twice = stay.where("_twice").dropDuplicates(["doc_id", key])
+    return stay.where("not _twice").select(f"{row}.*").unionAll(twice.select(f"{row}.*"))

@@ -10,7 +10,7 @@ decide."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage
+from .components import connected_components
 
 POSITIONS = 128  # bytes of a fingerprint
 KEYS, KEY_BYTES = 32, 4  # a pair of similarity 0.8 meets under some key with probability 1 - 5e-8
@@ -25,7 +26,10 @@ SIMILARITY = 0.8
 SLACK = 2.0  # standard deviations of the count of shared bytes
 LOOSE = 4.0  # the same, where sets of shingles decide: a pair of 0.8 is proposed with probability 0.9999
 SMALL_POSTING = 32
-TILE = 1024
+TILE = 1024  # nodes of a part of a large posting, about
+TILE_CHARS = 16_000_000  # characters of their texts, likewise
+FIRST = 8  # one in so many large postings goes first
+READ_AT_ONCE = 8_000_000  # elements of sets that a tile keeps in memory
 
 _RANDOM = np.random.default_rng(42)
 _FACTORS = _RANDOM.integers(1, 1 << 63, POSITIONS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -52,8 +56,9 @@ def least_shared(similarity: float = SIMILARITY, slack: float = SLACK) -> int:
 
 
 def shared(x: Column, y: Column) -> Column:
-    """Positions at which two fingerprints, as arrays of bytes in hex, agree."""
-    return F.size(F.filter(F.zip_with(x, y, lambda a, b: a == b), lambda same: same))
+    """Positions at which two fingerprints hold the same byte."""
+    same = lambda i: F.substring(x, i, F.lit(1)) == F.substring(y, i, F.lit(1))
+    return F.size(F.filter(F.sequence(F.lit(1), F.lit(POSITIONS)), same))
 
 
 def overlaps(one: np.ndarray, others: list) -> np.ndarray:
@@ -74,72 +79,105 @@ def similar(one: np.ndarray, others: list) -> np.ndarray:
     return 100 * both >= round(100 * SIMILARITY) * either
 
 
-def sketch_links(nodes: DataFrame, least: int | None = None, small: int = SMALL_POSTING, sets: DataFrame | None = None) -> DataFrame:
+Read = Callable[[bytes], np.ndarray]
+
+
+def set_of(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<u8")
+
+
+class Sets:
+    """Sets of shingles by place, made from ``data`` when asked for. Those made are
+    kept until they come to READ_AT_ONCE elements."""
+
+    def __init__(self, data: list, read: Read):
+        self.data, self.read, self.kept, self.held = data, read, {}, 0
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        found = self.kept.get(i)
+        if found is None:
+            found = self.read(self.data[i])
+            if self.held > READ_AT_ONCE:
+                self.kept, self.held = {}, 0
+            self.kept[i] = found
+            self.held += len(found)
+        return found
+
+
+def sketch_links(
+    nodes: DataFrame, least: int | None = None, small: int = SMALL_POSTING, sets: Callable[[DataFrame], DataFrame] | None = None, read: Read = set_of
+) -> DataFrame:
     """Edges ``a, b`` whose components are those of the graph that links the rows
-    of ``nodes(node, sketch)`` which meet under a key and share ``least`` bytes.
-    With ``sets(node, shingles)``, the sorted hashes of every node's shingles, such
-    a pair is linked if the Jaccard similarity of its sets is SIMILARITY or more.
+    of ``nodes(node, sketch, chars)`` which meet under a key and share ``least``
+    bytes. With ``sets``, which gives ``node, data`` for a table of nodes, such a
+    pair is linked if the Jaccard similarity of the sets that ``read`` makes of its
+    data is SIMILARITY or more.
 
     A posting lists the nodes that hold the same four bytes at a key's positions.
     In one of up to ``small`` nodes each pair is tallied. A larger one, as a group
     of near copies makes, is worked on in tiles of two parts of about TILE nodes;
     every pair lies in a tile, and a tile searches from node to node among those
     not yet reached, so that a group costs little more than its size, and returns
-    a spanning forest, never its pairs. Nodes are distinct; there is no cap.
+    a spanning forest, never its pairs. The nodes of a group meet in most of the
+    KEYS postings: one posting in FIRST goes first, and of the others only those
+    whose nodes are not all linked by then. Nodes are distinct; there is no cap.
     """
     if least is None:
         least = least_shared() if sets is None else least_shared(slack=LOOSE)
     keys = F.array(*[F.xxhash64(F.lit(k), F.substring("sketch", k * POSITIONS // KEYS + 1, KEY_BYTES)) for k in range(KEYS)])
-    index = nodes.select("node", F.explode(keys).alias("key"))
-    sizes = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    index = index.join(sizes, "key")
+    index = nodes.select("node", "chars", F.explode(keys).alias("key"))
+    sizes = cut_lineage(index.groupBy("key").agg(F.count("*").alias("n"), F.sum("chars").alias("of")).where("n > 1"))
+    index = cut_lineage(index.drop("chars").join(sizes, "key"))
 
     few = index.where(F.col("n") <= small)
     pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b")
     pairs = pairs.select("a", "b").distinct()
-    spelt = nodes.select("node", F.expr(f"transform(sequence(1, {POSITIONS}), i -> substring(sketch, i, 1))").alias("s"))
-    pairs = pairs.join(spelt.select(F.col("node").alias("a"), F.col("s").alias("x")), "a")
-    pairs = pairs.join(spelt.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    marks = nodes.select("node", "sketch")
+    pairs = pairs.join(marks.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a")
+    pairs = pairs.join(marks.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
     pairs = pairs.where(shared(F.col("x"), F.col("y")) >= least).select("a", "b")
 
-    many = index.where(F.col("n") > small).withColumn("parts", F.ceil(F.col("n") / TILE).cast("int"))
-    many = many.withColumn("p", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int"))
-    many = many.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    many = many.select("key", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "node")
-    marks = nodes.select("node", "sketch")
+    many = index.where(F.col("n") > small)
     if sets is not None:
         # Sets travel only for the nodes that need them.
         pairs = cut_lineage(pairs)
-        wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).unionAll(index.where(F.col("n") > small).select("node")).distinct()
-        sets = cut_lineage(sets.select("node", "shingles").join(wanted, "node").dropDuplicates(["node"]))
-        pairs = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-        pairs = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+        wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).unionAll(many.select("node")).distinct()
+        held = cut_lineage(sets(wanted))
+        pairs = pairs.join(held.select(F.col("node").alias("a"), F.col("data").alias("x")), "a")
+        pairs = pairs.join(held.select(F.col("node").alias("b"), F.col("data").alias("y")), "b")
+
+        def verified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in frames:
+                keep = [bool(similar(read(x), [read(y)])[0]) for x, y in zip(pdf["x"], pdf["y"], strict=True)]
+                yield pdf.loc[np.array(keep, bool), ["a", "b"]]
+
         pairs = pairs.mapInPandas(verified, "a long, b long")
-        marks = marks.join(sets, "node")
-    many = many.join(marks, "node")
+        marks = marks.join(held, "node")
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")
         ids = pdf["node"].to_numpy()
         bytes_ = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(ids), POSITIONS)
-        a, b = forest(bytes_, least, [set_of(x) for x in pdf["shingles"]] if "shingles" in pdf else None)
+        a, b = forest(bytes_, least, Sets(pdf["data"].tolist(), read) if "data" in pdf else None)
         return pd.DataFrame({"a": ids[a], "b": ids[b]})
 
-    tiles = many.groupBy("key", "i", "j").applyInPandas(tile, "a long, b long")
-    return pairs.unionAll(tiles).distinct()
-
-
-def set_of(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, "<u8")
-
+    def tiles(rows: DataFrame) -> DataFrame:
+        parts = F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("of") / TILE_CHARS)).cast("int")
+        rows = rows.withColumn("parts", parts).withColumn("p", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int"))
+        rows = rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        rows = rows.select("key", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "node").join(marks, "node")
+        return rows.groupBy("key", "i", "j").applyInPandas(tile, "a long, b long").distinct()
 
-def verified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The pairs ``a, b`` of rows ``a, b, x, y`` whose sets are similar."""
-    for pdf in frames:
-        keep = [bool(similar(set_of(x), [set_of(y)])[0]) for x, y in zip(pdf["x"], pdf["y"], strict=True)]
-        yield pdf.loc[np.array(keep, bool), ["a", "b"]]
+    goes_first = F.pmod(F.xxhash64("key"), F.lit(FIRST)) == 0
+    found = cut_lineage(pairs.unionAll(tiles(many.where(goes_first))))
+    roots = connected_components(found)
+    rest = many.where(~goes_first)
+    root = F.coalesce("root", "node")
+    open_ = rest.join(roots, "node", "left").groupBy("key").agg(F.min(root).alias("lo"), F.max(root).alias("hi")).where("lo < hi")
+    return found.unionAll(tiles(rest.join(cut_lineage(open_.select("key")), "key", "left_semi")))
 
 
-def forest(bytes_: np.ndarray, least: int, sets: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+def forest(bytes_: np.ndarray, least: int, sets: Sets | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a spanning forest of the rows that share ``least`` bytes and, if
     ``sets`` are given, have similar sets; each edge is a pair that was compared."""
     unseen, ends, starts = np.arange(len(bytes_)), [], []
@@ -150,7 +188,10 @@ def forest(bytes_: np.ndarray, least: int, sets: list | None = None) -> tuple[np
             at = todo.pop()
             near = (bytes_[unseen] == bytes_[at]).sum(1) >= least
             if sets is not None:
-                near[near] = similar(sets[at], [sets[i] for i in unseen[near]])
+                one, tried = sets[at], np.flatnonzero(near)
+                for i in range(0, len(tried), 256):
+                    part = tried[i : i + 256]
+                    near[part] = similar(one, [sets[k] for k in unseen[part]])
             found = unseen[near]
             ends.append(found)
             starts.append(np.full(len(found), at))

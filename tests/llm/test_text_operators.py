@@ -238,7 +238,7 @@ def test_sketches_estimate_similarity_and_links_equal_all_pairs(spark, monkeypat
             if similarity < 0.5:
                 assert agree(prints[i], prints[j]) < sketch.least_shared()
     want = components(prints, lambda x, y: agree(x, y) >= sketch.least_shared())
-    table = spark.createDataFrame(list(enumerate(prints)), "node long, sketch binary")
+    table = spark.createDataFrame([(i, p, 1) for i, p in enumerate(prints)], "node long, sketch binary, chars int")
     for small in (4, 10_000):
         got = {}
         for r in connected_components(sketch.sketch_links(table, small=small)).collect():
@@ -415,9 +415,9 @@ def test_tiles_link_by_exact_similarity(spark, monkeypatch):
     hashes = [simhash.shingle_hashes(t, 5) for t in made]
     sets = [set(h.tolist()) for h in hashes]
     want = components(range(len(made)), lambda a, b: jaccard(sets[a], sets[b]) >= 0.8)
-    rows = [(i, sketch.sketch(h), simhash.node_of(h, 0)[1]) for i, h in enumerate(hashes)]
-    table = spark.createDataFrame(rows, "node long, sketch binary, shingles binary")
-    edges = sketch.sketch_links(table, small=2, sets=table.select("node", "shingles"))
+    rows = [(i, sketch.sketch(h), 1, simhash.np.unique(h).astype("<u8").tobytes()) for i, h in enumerate(hashes)]
+    table = spark.createDataFrame(rows, "node long, sketch binary, chars int, data binary")
+    edges = sketch.sketch_links(table, small=2, sets=lambda wanted: table.join(wanted, "node").select("node", "data"))
     assert all(jaccard(sets[r["a"]], sets[r["b"]]) >= 0.8 for r in edges.collect())
     got = {}
     for r in connected_components(edges).collect():
@@ -455,3 +455,13 @@ def test_redaction_of_many_secrets_in_a_long_text(spark):
                     out += [text[at : s["start"]], "[SECRET]"]
                 at = max(at, s["end"])
         assert r["text"] == "".join(out) + text[at:]
+
+
+def test_keep_one_with_repeated_and_null_ids(spark):
+    rng = random.Random(15)
+    a, b, c = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(3))
+    rows = [(1, a), (1, b), (1, b), (2, b + " x"), (None, c), (None, c), (None, c + " y"), (3, None), (4, "")]
+    kept = simhash.keep_one(documents(spark, [(i, t, "", "", 0) for i, t in rows]))
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept.collect()))) in [
+        sorted(map(str, [(1, a), (1, b), (None, t), (3, None)])) for t in (c, c + " y")
+    ]
