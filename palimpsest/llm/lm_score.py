@@ -3,23 +3,30 @@
 from __future__ import annotations
 
 import math
-import zlib
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import word_count, words_of
+from .common import word_count
 
 ORDER = 3
 BACKOFF = 0.4
-DOCS_PER_BLOCK = 1000
-CHARS_PER_BLOCK = 4_000_000
-GRAMS_PER_BUCKET = 1_000_000
-# Fixed value: bits of an n-gram's hash.
-WIDTH = 64
+BLOCK_CHARS = 8_000_000
+GRAMS_PER_BUCKET = 4_000_000
+
+BLOCK = pa.schema([("block", pa.int64()), ("keys", pa.list_(pa.string())), ("ends", pa.list_(pa.int64())), ("texts", pa.binary())])
+GRAMS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("width", pa.int32()), ("wide", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
+OTHERS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("wide", pa.int32()), ("others", pa.binary())])
+SCORES = pa.schema([("key", pa.string()), ("n_words", pa.int64()), ("score", pa.float64())])
+# Arrow's types and Spark's.
+NAMES = {"int64": "long", "int32": "int", "string": "string", "double": "double", "binary": "binary"}
 
 
 def spread(x: np.ndarray) -> np.ndarray:
@@ -36,15 +43,15 @@ class WordHashes(dict):
 
 
 class Block:
-    """The n-grams of some documents laid end to end: ``flat`` are the hashes of
+    """The n-grams of some documents, texts as bytes, laid end to end: ``flat`` are the hashes of
     all orders, one order after the other; ``real[k]`` tells the positions at
     which an n-gram of k + 1 words ends, which is not at the start of a
     document."""
 
-    def __init__(self, texts: list, order: int, width: int = WIDTH):
+    def __init__(self, texts: list, order: int):
         hashes, ids, lengths = WordHashes(), [], []
         for text in texts:
-            words = words_of(text)
+            words = text.split()
             lengths.append(len(words))
             ids.extend(map(hashes.__getitem__, words))
         self.lengths = np.array(lengths, np.int64)
@@ -59,7 +66,7 @@ class Block:
             longer[1:] = spread(gram[:-1] * np.uint64(3) + word[1:] + np.uint64(k + 1))
             gram = longer
             parts.append(gram[self.real[k]])
-        self.flat = np.concatenate(parts) >> np.uint64(64 - width)
+        self.flat = np.concatenate(parts)
 
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct hashes in ascending order, and how often each occurs."""
@@ -107,38 +114,91 @@ def run_starts(values: np.ndarray) -> np.ndarray:
     return np.r_[np.ones(min(1, len(values)), bool), values[1:] != values[:-1]]
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Numbers as planes of bytes without the highest planes that are all zero,
-    compressed."""
-    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
-    used = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
-    return bytes((used,)) + zlib.compress(planes[:used].tobytes(), 1)
+def low_bytes(values: np.ndarray, width: int) -> np.ndarray:
+    """The ``width`` lowest bytes of each number, one after the other."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).reshape(-1)
 
 
-def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data[1:]), np.uint8).reshape(data[0], -1)
-    whole = np.zeros((planes.shape[1], 8), np.uint8)
-    whole[:, : data[0]] = planes.T
+def from_bytes(data: np.ndarray, width: int) -> np.ndarray:
+    whole = np.zeros((len(data) // width, 8), np.uint8)
+    whole[:, :width] = data.reshape(-1, width)
     return whole.view("<u8").reshape(-1)
 
 
+def bytes_for(most: int) -> int:
+    return max(1, -(-int(most).bit_length() // 8))
+
+
+def binaries(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values that lie end to end in ``data``, up to ``ends``."""
+    offsets = np.r_[0, ends].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def laid_out(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of binary values, end to end, and their lengths."""
+    parts = []
+    for chunk in column.chunks:
+        offsets = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        data = np.frombuffer(chunk.buffers()[2] or b"", np.uint8)
+        parts.append((data[offsets[0] : offsets[-1]], np.diff(offsets)))
+    data, lengths = zip(*parts, strict=True) if parts else ((), ())
+    return np.concatenate([np.zeros(0, np.uint8), *data]), np.concatenate([np.zeros(0, np.int64), *lengths])
+
+
+def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``block, keys, ends, texts`` of about BLOCK_CHARS characters each: ids and
+    texts of neighbouring documents, the texts compressed together. A block's
+    number is that of its task and its place in it."""
+    task, made, keys, texts, chars = TaskContext.get().partitionId(), 0, [], [], 0
+
+    def row() -> pa.RecordBatch:
+        data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        ends = np.cumsum([len(d) for d in data], dtype=np.int64)
+        packed = zstandard.compress(b"".join(data), 3)
+        columns = [[task << 32 | made], [keys], [ends.tolist()], [packed]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, BLOCK.types, strict=True)], schema=BLOCK)
+
+    for batch in batches:
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            text = text.as_py()
+            keys.append(key)
+            texts.append(text)
+            chars += len(text or "")
+            if chars >= BLOCK_CHARS:
+                yield row()
+                made, keys, texts, chars = made + 1, [], [], 0
+    if keys:
+        yield row()
+
+
+def documents_of(table: pa.Table) -> tuple[list, list]:
+    """Ids and texts of the one row of a block."""
+    row = table.to_pylist()[0]
+    data, starts = zstandard.decompress(row["texts"]), [0, *row["ends"]]
+    return row["keys"], [data[i:j] for i, j in zip(starts, row["ends"], strict=False)]
+
+
 def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
     """``doc_id, n_words, score, mean_score`` of every row of
     ``docs(doc_id, text)``: the sum over its words of the log of the
     stupid-backoff score, under counts of the n-grams in all other rows.
 
-    The relations: ``grams(bucket, block, hashes, counts)`` are the distinct
-    n-grams of a block of documents, exploded by hash range; grouped by bucket
-    they give the corpus counts, which are joined to each block's n-grams and go
-    back to their block, where they are summed by document. A block's n-grams
-    travel as one sorted array per bucket, at about six bytes each, instead of a
-    row for each occurrence. Hashes have all 64 bits: n different n-grams make
+    The relations: ``grams(bucket, block, grams, counts)`` are the distinct
+    n-grams of a block of neighbouring documents, exploded by hash range; grouped
+    by bucket they give the corpus counts, which are joined to each block's n-grams
+    and go back to their block, where they are summed by document. Blocks have
+    BLOCK_CHARS characters and buckets GRAMS_PER_BUCKET n-grams at every size of the
+    input. A row has those n-grams of a block that fall into a bucket, as the gaps
+    between sorted hashes, so that it costs about six bytes for each while blocks
+    have many in a bucket, and in a corpus of a thousand times the size becomes a
+    row for one n-gram; encoding goes over all of a block's n-grams at once, with
+    no step for a bucket. Hashes have all 64 bits: n different n-grams make
     n * n / 2**65 clashing pairs on average, which is six among 1.5e10. A clash
     adds the counts of two n-grams, and where it leaves a context without a count
-    the score backs off. Blocks hold DOCS_PER_BLOCK rows or CHARS_PER_BLOCK
-    characters on average and buckets GRAMS_PER_BUCKET n-grams, at every size of
-    the input; a frequent n-gram adds one number for each block, so no key is
-    hot. Counts cover all rows.
+    the score backs off. A frequent n-gram adds one number for each block, and
+    repeated rows lie where they stand in the input, so no key is hot. Counts
+    cover all rows. Texts are shuffled once, compressed by block.
 
     Defined results: null, empty and blank texts have 0 words, score 0 and a
     null mean; a word never seen elsewhere counts as seen once; a null doc_id is
@@ -146,52 +206,65 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) ->
     copies included; extra columns are not read; an empty table gives no rows.
     """
     docs = docs.select("doc_id", "text")
-    size = docs.agg(
-        F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.sum(word_count(F.col("text"))).alias("words")
-    ).first()
-    n_words = size["words"] or 0
-    n_blocks = max(1, math.ceil(size["n"] / DOCS_PER_BLOCK), math.ceil((size["chars"] or 0) / CHARS_PER_BLOCK))
+    n_words = docs.agg(F.sum(word_count(F.col("text"))).alias("words")).first()["words"] or 0
     bits = max(0, math.ceil(math.log2(max(1, order * n_words / GRAMS_PER_BUCKET))))
-    # One projection serves both uses below, so that texts are shuffled once.
-    keyed = docs.select(
-        F.col("doc_id").cast("string").alias("key"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).alias("block")
-    )
-
-    def explode(pdf: pd.DataFrame) -> pd.DataFrame:
-        grams, counts = Block(pdf["text"].tolist(), order).grams()
-        edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(WIDTH - bits)
-        cuts = [0, *np.searchsorted(grams, edges).tolist(), len(grams)]
-        rows = []
-        for bucket, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            if j > i:
-                gaps = np.diff(grams[i:j], prepend=np.uint64(bucket) << np.uint64(WIDTH - bits))
-                rows.append((bucket, pdf["block"].iloc[0], pack(gaps), pack(counts[i:j])))
-        return pd.DataFrame(rows, columns=["bucket", "block", "grams", "counts"])
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        # Gaps count from the bucket's lower end, which is the same for all rows.
-        parts = [np.cumsum(unpack(g), dtype=np.uint64) for g in pdf["grams"]]
-        flat = np.concatenate(parts)
+    # One exchange by block serves both uses below.
+    blocks = docs.select(F.col("doc_id").cast("string").alias("key"), "text").mapInArrow(block_rows, "block long, keys array<string>, ends array<long>, texts binary")
+
+    def explode(table: pa.Table) -> pa.Table:
+        grams, counts = Block(documents_of(table)[1], order).grams()
+        bucket = (grams >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(grams), np.int64)
+        first = np.flatnonzero(run_starts(bucket))
+        gaps = np.diff(grams, prepend=np.uint64(0))
+        # A row's first gap counts from its bucket's lower end.
+        gaps[first] = grams[first] - ((bucket[first].astype(np.uint64) << np.uint64(64 - bits)) if bits else np.uint64(0))
+        ends = np.r_[first[1:], len(grams)][: len(first)]
+        width, wide = bytes_for(gaps.max(initial=0)), bytes_for(counts.max(initial=0))
+        same = lambda x: np.full(len(first), x)
+        columns = [bucket[first], same(table["block"][0].as_py()), same(width), same(wide), binaries(low_bytes(gaps, width), ends * width), binaries(low_bytes(counts, wide), ends * wide)]
+        return pa.Table.from_arrays([pa.array(c, t) if isinstance(c, np.ndarray) else c for c, t in zip(columns, GRAMS.types, strict=True)], schema=GRAMS)
+
+    def count(table: pa.Table) -> pa.Table:
+        table = table.sort_by("width")  # blocks differ little, so rows of one width are many
+        flat, own, lengths = [], [], []
+        for width in np.unique(table["width"].to_numpy()):
+            rows = table.filter(pc.equal(table["width"], int(width)))
+            data, sizes = laid_out(rows["grams"])
+            n = sizes // width
+            values = np.cumsum(from_bytes(data, int(width)), dtype=np.uint64)
+            starts = np.cumsum(n) - n
+            values -= np.repeat(np.r_[np.uint64(0), values][starts], n)
+            flat.append(values)
+            lengths.append(n)
+        # Counts have a width of their own; places tell where a row's numbers stand.
+        lengths, flat = np.concatenate(lengths), np.concatenate(flat)
+        own, ends = np.empty(len(flat), np.int64), np.cumsum(lengths)
+        for wide in np.unique(table["wide"].to_numpy()):
+            mine = table["wide"].to_numpy() == wide
+            own[np.repeat(mine, lengths)] = from_bytes(laid_out(table.filter(pa.array(mine))["counts"])[0], int(wide)).astype(np.int64)
         by = np.argsort(flat, kind="stable")
         first = run_starts(flat[by])
-        counts = np.concatenate([unpack(c) for c in pdf["counts"]]).astype(np.int64)
-        sums = np.add.reduceat(counts[by], np.flatnonzero(first))
-        totals = np.empty(len(flat), np.int64)
-        totals[by] = sums[np.cumsum(first) - 1]
-        ends = np.cumsum([len(p) for p in parts])[:-1]
-        packed = [pack(t) for t in np.split(totals, ends)]
-        return pd.DataFrame({"bucket": pdf["bucket"], "block": pdf["block"], "totals": packed})
-
-    def score(pdf: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
-        block = Block(pdf["text"].tolist(), order)
-        parts = [unpack(t) for t in totals.sort_values("bucket")["totals"]]
-        joined = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
-        # Ids travel as text: pandas would turn a column with nulls into floats.
-        return pd.DataFrame({"key": pdf["key"], "n_words": block.lengths, "score": block.scores(joined, n_words, backoff)})
-
-    grams = keyed.groupBy("block").applyInPandas(explode, "bucket int, block long, grams binary, counts binary")
-    totals = grams.groupBy("bucket").applyInPandas(count, "bucket int, block long, totals binary")
-    scored = keyed.groupBy("block").cogroup(totals.groupBy("block")).applyInPandas(score, "key string, n_words long, score double")
+        sums = np.add.reduceat(own[by], np.flatnonzero(first))
+        others = np.empty(len(flat), np.int64)
+        others[by] = sums[np.cumsum(first) - 1]
+        others -= own
+        wide = bytes_for(others.max(initial=0))
+        columns = [table["bucket"].combine_chunks(), table["block"].combine_chunks(), pa.array(np.full(len(ends), wide), pa.int32()), binaries(low_bytes(others, wide), ends * wide)]
+        return pa.Table.from_arrays(columns, schema=OTHERS)
+
+    def score(table: pa.Table, totals: pa.Table) -> pa.Table:
+        keys, texts = documents_of(table)
+        block = Block(texts, order)
+        grams, own = block.grams()
+        totals = totals.sort_by("bucket")
+        parts = [from_bytes(np.frombuffer(d, np.uint8), w) for d, w in zip(totals["others"].to_pylist(), totals["wide"].to_pylist(), strict=True)]
+        joined = np.concatenate([np.zeros(0, np.uint64), *parts]).astype(np.int64) + own
+        # Ids travel as text: a null among numbers would make them floats.
+        return pa.Table.from_arrays([pa.array(keys, pa.string()), pa.array(block.lengths), pa.array(block.scores(joined, n_words, backoff))], schema=SCORES)
+
+    of = lambda schema: ", ".join(f"{f.name} {NAMES[str(f.type)]}" for f in schema)
+    grams = blocks.groupBy("block").applyInArrow(explode, of(GRAMS))
+    others = grams.groupBy("bucket").applyInArrow(count, of(OTHERS))
+    scored = blocks.groupBy("block").cogroup(others.groupBy("block")).applyInArrow(score, of(SCORES))
     mean = F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words"))
     return scored.select(F.col("key").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "n_words", "score", mean.alias("mean_score"))
-
