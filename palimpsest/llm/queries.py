@@ -167,23 +167,28 @@ JOIN (SELECT a, min(b) AS c FROM r GROUP BY 1) m ON m.a = v.vec_id
 
 OP8_SQL = r"""
 WITH RECURSIVE split AS (
-  SELECT conv_id, turn, role, string_split_regex(coalesce(text, ''), '\r?\n') AS ls FROM conversations),
-raw AS (SELECT conv_id, turn, generate_subscripts(ls, 1) AS pos, unnest(ls) AS x FROM split),
+  SELECT row_number() OVER () AS rid, conv_id, turn, role, string_split_regex(coalesce(text, ''), '\r?\n') AS ls FROM conversations),
+raw AS (SELECT rid, conv_id, turn, generate_subscripts(ls, 1) AS pos, unnest(ls) AS x FROM split),
 marked AS (
   SELECT *, regexp_extract(x, '^((?: {0,3}>)+) ?(.*)$', 1) AS marks,
     CASE WHEN regexp_matches(x, '^((?: {0,3}>)+) ?(.*)$') THEN regexp_extract(x, '^((?: {0,3}>)+) ?(.*)$', 2) ELSE x END AS line FROM raw),
 lines AS (
   SELECT *, length(regexp_replace(marks, '[^>]', '', 'g')) AS level, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) AS passage FROM marked),
-own AS (SELECT conv_id, passage, min(turn) AS origin FROM lines WHERE level = 0 AND length(passage) >= 3 GROUP BY ALL),
+own AS (SELECT DISTINCT conv_id, passage, turn FROM lines WHERE level = 0 AND passage <> ''),
+held AS (SELECT conv_id, passage, count(*) > 16 AS common, min(turn) AS earliest FROM own GROUP BY ALL),
 hits AS (
-  SELECT q.conv_id, q.turn, q.level, CASE WHEN own.origin < q.turn THEN own.origin END AS origin
-  FROM lines q LEFT JOIN own USING (conv_id, passage) WHERE q.level > 0 AND length(q.passage) >= 3),
+  SELECT q.rid, q.pos, q.conv_id, q.turn, q.level, own.turn AS origin, held.common
+  FROM lines q LEFT JOIN held ON held.conv_id = q.conv_id AND held.passage = q.passage
+  LEFT JOIN own ON own.conv_id = q.conv_id AND own.passage = q.passage AND own.turn < q.turn AND (NOT held.common OR own.turn = held.earliest)
+  WHERE q.level > 0 AND q.passage <> ''),
 facts AS (
-  SELECT conv_id, turn, count(*) AS n_quoted, max(level) AS max_level, count(origin) AS n_linked FROM hits GROUP BY ALL),
+  SELECT conv_id, turn, count(DISTINCT (rid, pos)) AS n_quoted, max(level) AS max_level,
+    count(DISTINCT (rid, pos)) FILTER (origin IS NOT NULL) AS n_linked FROM hits GROUP BY ALL),
 best AS (
   SELECT conv_id, turn, origin AS reply_to FROM (
-    SELECT conv_id, turn, origin, count(*) FILTER (level = 1) AS n FROM hits WHERE origin IS NOT NULL GROUP BY ALL)
-  WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY n DESC, origin DESC) = 1),
+    SELECT conv_id, turn, origin, count(*) FILTER (NOT common) AS n, count(*) FILTER (common) AS m
+    FROM hits WHERE origin IS NOT NULL AND level = 1 GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY n DESC, m DESC, origin DESC) = 1),
 up(conv_id, turn, thread, depth) AS (
   SELECT conv_id, turn, reply_to, 1 FROM best
   UNION SELECT up.conv_id, up.turn, best.reply_to, up.depth + 1 FROM up JOIN best ON best.conv_id = up.conv_id AND best.turn = up.thread),

@@ -292,3 +292,45 @@ def test_vectors_of_very_large_and_very_small_components(spark, monkeypatch, wid
     rows += [(10, [1e-200, 0.0, 0.0, 0.0], 1), (11, [1e200, 1e198, 0.0, 0.0], 1), (12, [0.0, 0.0, 0.0, 5e-324], 1), (13, [0.0, 0.0, 1e308, 1e308], 1), (14, [0.0, 0.0, 2.0, 2.0], 1)]
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
     assert got == {i: (5, 0) for i in (0, 1, 2, 3, 10, 11)} | {12: (0, 12), 13: (1, 13), 14: (1, 13)}
+
+
+def naive_replies(rows, common=16):
+    """reply_to of each (conv_id, turn) from texts whose quoted lines start with '> '."""
+    own, quoted = {}, {}
+    for conv, turn, text in rows:
+        for line in text.split("\n"):
+            level, rest = (1, line[2:]) if line.startswith("> ") else (0, line)
+            if rest.strip():
+                if level:
+                    quoted.setdefault((conv, turn), []).append(rest)
+                else:
+                    own.setdefault((conv, rest), set()).add(turn)
+    out = {}
+    for (conv, turn), lines in quoted.items():
+        votes = {}
+        for line in lines:
+            turns = own.get((conv, line), set())
+            for t in [min(turns)] if len(turns) > common else turns:
+                if t < turn:
+                    votes.setdefault(t, [0, 0])[len(turns) > common] += 1
+        if votes:
+            out[conv, turn] = max(votes, key=lambda t: (*votes[t], t))
+    return out
+
+
+def test_quotes_vote_for_every_message_that_holds_them(spark):
+    rng = random.Random(16)
+    rows = []
+    for conv in range(6):
+        said = [["Best regards", "ok", f"line {conv}"]]
+        for turn in range(40):
+            lines = [rng.choice(["Best regards", f"n{rng.randrange(60)}", f"u{turn}", "ok"]) for _ in range(rng.randint(1, 5))]
+            quoted = [f"> {x}" for x in rng.sample(rng.choice(said), 1)] + ["> Best regards"] * rng.randint(0, 3) + [f"> n{rng.randrange(60)}"]
+            rows.append((conv, turn, "\n".join(quoted * (turn > 0) + lines)))
+            said.append(lines)
+    rows += [(9, 0, "> hello there\u2028friend\nown"), (9, 1, "> one\u0085two\r\nbody"), (9, 2, "x")]
+    table = spark.createDataFrame([(c, t, "user", x, "", "") for c, t, x in rows], "conv_id long, turn long, role string, text string, `from` string, level string")
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.link_quotes(table).collect()}
+    want = naive_replies([r for r in rows if r[0] < 9])
+    assert {k: r["reply_to"] for k, r in got.items() if r["reply_to"] is not None} == want
+    assert got[9, 0]["body"] == "own" and got[9, 1]["body"] == "body" and got[9, 0]["n_quoted"] == 1
