@@ -10,6 +10,7 @@ from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
+import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -50,7 +51,7 @@ class Transducer:
     gives the new state and the last token of the longer prefix; where a single
     live position is left, what came before is emitted. States and transitions
     are made when first needed and kept in tables that are emptied when full,
-    between pre-tokens, which changes no result.
+    also inside a long pre-token, which changes no result.
     """
 
     def __init__(self, ranks: dict[bytes, int], share: float = 1.0):
@@ -201,6 +202,14 @@ class Transducer:
             if len(self.lives[state]) == 1:
                 out += self.emit(last)
                 last = []
+            if len(self.lives) > self.most_states:
+                # The live positions are all that a state stands for.
+                live = self.lives[state]
+                self.reset()
+                if live not in self.states:
+                    self.states[live] = len(self.lives)
+                    self.lives.append(live)
+                state = self.states[live]
         return out + self.emit(last)
 
     def walk(self, state: int, piece: bytes) -> tuple[int, list[int]]:
@@ -251,6 +260,7 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str, share: float = 1.0):
         self.machine, most = Transducer(ranks, share), int(MOST_KEPT * share)
         self.find = regex.compile(pattern).findall
+        self.cut_at_spaces = pattern == public_tokenizers.PATTERN
         self.odd_space = regex.compile(r"\s\x20|\x20\s|^\x20|\x20\Z").search
         self.pieces = Memory(lambda piece: little(array("I", self.machine.encode(piece.encode()))), most)
         self.spaced = Memory(self.encode_spaced, most)
@@ -274,12 +284,12 @@ class Codec:
         return self.encode_exact(" " + chunk)
 
     def encode(self, text: str) -> bytes:
-        """A single space between two non-spaces always starts a match of the
+        """A single space between two non-spaces always starts a match of the usual
         pattern, so such a text is cut there and each stretch looked up; a text
-        with other runs of space is matched as a whole."""
+        with other runs of space, or under another pattern, is matched as a whole."""
         if not text:
             return b""
-        if self.odd_space(text):
+        if not self.cut_at_spaces or self.odd_space(text):
             return self.encode_exact(text)
         first, *others = text.split(" ")
         return self.plain[first] + b"".join(map(self.spaced.__getitem__, others))

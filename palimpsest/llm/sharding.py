@@ -75,9 +75,9 @@ def shard_rows(keyed: DataFrame, shards: int = SHARDS, virtual: int = VIRTUAL) -
     ring position.
 
     Balance: the shards' row counts are at most one apart. Slots run from 0
-    without gaps in each shard. Movement: with the positions unchanged, one more
-    row, or one more shard, moves the rows that the ring itself moves and those
-    that no longer fit, no others.
+    without gaps in each shard. Movement: one more row, or one more shard, moves
+    the rows that the ring itself moves and those that fit elsewhere because room
+    has changed; the tests bound their share.
 
     Each arc is cut into runs of about PER_RUN rows by position, and only a run
     is ranked in one task; a run's offset in its arc comes from the table of

@@ -334,3 +334,31 @@ def test_quotes_vote_for_every_message_that_holds_them(spark):
     want = naive_replies([r for r in rows if r[0] < 9])
     assert {k: r["reply_to"] for k, r in got.items() if r["reply_to"] is not None} == want
     assert got[9, 0]["body"] == "own" and got[9, 1]["body"] == "body" and got[9, 0]["n_quoted"] == 1
+
+
+def test_shards_against_a_ring_walked_key_by_key(spark):
+    shards = 5
+    docs = spark.createDataFrame([(i if i % 9 else None, f"t{i % 40}") for i in range(700)], "doc_id long, text string")
+    got = sharding.shard_documents(docs, shards).collect()
+    nodes = sharding.ring(shards)
+    room = [len(got) // shards + (s < len(got) % shards) for s in range(shards)]
+    late: dict = {}
+    arc = lambda pos: next((i for i, (p, _) in enumerate(nodes) if p >= pos), 0)
+    order = sorted(got, key=lambda r: (arc(r["pos"]), r["pos"], r["doc_id"] is not None, r["doc_id"] or 0, r["size"], r["text_crc32"]))
+    want = []
+    for r in order:  # first every key that finds room at home, then the others clockwise
+        s = nodes[arc(r["pos"])][1]
+        if room[s]:
+            room[s] -= 1
+            want.append((r, s))
+        else:
+            late.setdefault(arc(r["pos"]), []).append(r)
+    for a in sorted(late):
+        step = a
+        for r in late[a]:
+            while not room[nodes[step][1]]:
+                step = (step + 1) % len(nodes)
+            room[nodes[step][1]] -= 1
+            want.append((r, nodes[step][1]))
+    key = lambda r, s: (str(r["doc_id"]), r["text_crc32"], r["pos"], s)
+    assert sorted(key(r, r["shard"]) for r in got) == sorted(key(r, s) for r, s in want)

@@ -364,11 +364,21 @@ def test_bpe_pairs_and_small_tables(vocabulary, monkeypatch):
     for name in ("MOST_STATES", "MOST_PAIRS", "MOST_KEPT"):
         monkeypatch.setattr(bpe, name, 20)
     codec = bpe.Codec(ranks, public_tokenizers.PATTERN)
-    for t in texts()[:6]:
+    for t in [*texts()[:6], "".join(rng.choice("abcdeé") for _ in range(3000))]:
         ids = codec.encode(t)
         assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == library.encode_ordinary(t)
 
 
+def test_bpe_under_another_pattern(vocabulary):
+    _, ranks, _ = vocabulary
+    for pattern in (r"[a-z]+\x20?|[^a-z]", r"\S+\s*|\s+"):
+        library = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        codec = bpe.Codec(ranks, pattern)
+        for t in ("the cat is here", "a b c", " x y ", "one\n two"):
+            ids = codec.encode(t)
+            assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == library.encode_ordinary(t)
+
+
 def test_bpe_rows(spark, vocabulary):
     path, _, library = vocabulary
     docs = documents(spark)
