@@ -3,7 +3,7 @@
 ``writes`` have ``seq, gfid, svr_rank, app_id, cli_id, file_pos, length,
 log_pos``; extents have ``gfid, start, end, svr_rank, app_id, cli_id, log_pos``
 with both ends included, and those of a file are disjoint. ``seq`` is the order
-of commits; no two writes to a file share one."""
+of commits; no two writes to a file may share one, which ``check_order`` tests."""
 
 from __future__ import annotations
 
@@ -40,6 +40,15 @@ def pieces(writes: DataFrame) -> DataFrame:
     return materialize(held.select("gfid", "start", (F.col("next") - 1).alias("end"), "seq", *OWNER, log_pos.alias("log_pos")))
 
 
+def check_order(writes: DataFrame) -> DataFrame:
+    """``writes``, after a look for two writes to one file with one ``seq``, for which
+    there is no newest: ValueError names such a file."""
+    twice = writes.groupBy("gfid", "seq").agg(F.count("*").alias("n")).where("n > 1").first()
+    if twice is not None:
+        raise ValueError(f"file {twice['gfid']} has {twice['n']} writes numbered {twice['seq']}")
+    return writes
+
+
 def join_up(ranges: DataFrame, same: list[str]) -> DataFrame:
     """Merge ranges of a file that are neighbours in the file and in the log and
     agree on ``same``. Rows that neither begin nor end a run go, and each run is
@@ -111,16 +120,47 @@ def truncate(table: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def remove_range(table: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Extents without the bytes from ``lo`` to ``hi`` of ``ranges(gfid, lo, hi)``,
-    one range for a file; extents that reach over it are split."""
-    joined = table.join(ranges, "gfid", "left")
-    hit = F.coalesce(overlaps(F.col("start"), F.col("end"), F.col("lo"), F.col("hi")), F.lit(False))
-    part = lambda a, b, log: F.struct(a.alias("start"), b.alias("end"), log.alias("log_pos"))
-    whole = part(F.col("start"), F.col("end"), F.col("log_pos"))
-    left = F.when(F.col("start") < F.col("lo"), part(F.col("start"), F.col("lo") - 1, F.col("log_pos")))
-    right = F.when(F.col("end") > F.col("hi"), part(F.col("hi") + 1, F.col("end"), F.col("log_pos") + F.col("hi") + 1 - F.col("start")))
-    kept = F.when(hit, F.filter(F.array(left, right), lambda p: p.isNotNull())).otherwise(F.array(whole))
-    return joined.select("gfid", *OWNER, F.explode(kept).alias("p")).select("gfid", "p.start", "p.end", *OWNER, "p.log_pos")
+    """Extents without the bytes from ``lo`` to ``hi`` of ``ranges(gfid, lo, hi)``, of
+    which a file may have any number, overlapping too; extents that reach over one
+    are split. A removal is a write on top that is then left out."""
+    blank = {c: F.lit(None).cast(table.schema[c].dataType).alias(c) for c in (*OWNER, "log_pos")}
+    cuts = ranges.where("lo <= hi").groupBy("gfid", F.greatest("lo", F.lit(0).cast("long")).alias("file_pos")).agg(F.max("hi").alias("hi"))
+    cuts = cuts.select(F.col("file_pos").alias("seq"), "gfid", *[blank[c] for c in OWNER], "file_pos", (F.col("hi") - F.col("file_pos") + 1).alias("length"), blank["log_pos"])
+    left = pieces(as_writes(table).unionByName(cuts)).where("seq < 0")
+    return join_up(left, ["seq", *OWNER]).select(*EXTENT)
+
+
+def as_writes(table: DataFrame) -> DataFrame:
+    """An extent table as writes that are older than any of a log, whose numbers
+    are not negative. Extents are disjoint, so their own order does not matter;
+    the start, taken negative, tells those of a file apart."""
+    return table.select((-F.col("start") - 1).alias("seq"), "gfid", *OWNER, F.col("start").alias("file_pos"), (F.col("end") - F.col("start") + 1).alias("length"), "log_pos")
+
+
+def add(files: DataFrame, table: DataFrame, batches: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What commits do to ``files(gfid, size, is_laminated)`` and their extents:
+    ``batches`` with ``rc`` (ENOENT for a file that is not there, EINVAL for one that
+    is published, else OK), the extents with the accepted writes on top, and files
+    with sizes grown to their last byte."""
+    there = files.select("gfid", F.lit(True).alias("_there"), F.col("is_laminated").alias("_done"))
+    rc = F.when(F.col("_there").isNull(), "ENOENT").when(F.col("_done"), "EINVAL").otherwise("OK")
+    judged = batches.join(there, "gfid", "left").withColumn("rc", rc).drop("_there", "_done")
+    good = judged.where("rc = 'OK'").drop("rc")
+    after = materialize(extents(as_writes(table).unionByName(good)))
+    ends = good.where("length > 0").groupBy("gfid").agg((F.max(F.col("file_pos") + F.col("length"))).alias("_end"))
+    grown = files.join(ends, "gfid", "left").withColumn("size", F.greatest("size", F.coalesce("_end", F.lit(0)))).drop("_end")
+    return judged, after, grown
+
+
+def truncate_files(files: DataFrame, table: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As ``add`` for new sizes ``sizes(gfid, size)``, one for a file: ``sizes`` with
+    ``rc``, the extents cut, and files with the sizes set; growth leaves a hole."""
+    there = files.select("gfid", F.lit(True).alias("_there"), F.col("is_laminated").alias("_done"))
+    rc = F.when(F.col("_there").isNull(), "ENOENT").when(F.col("_done"), "EINVAL").otherwise("OK")
+    judged = sizes.join(there, "gfid", "left").withColumn("rc", rc).drop("_there", "_done")
+    good = judged.where("rc = 'OK'").select("gfid", "size")
+    after = files.join(good.withColumnRenamed("size", "_new"), "gfid", "left").withColumn("size", F.coalesce("_new", "size")).drop("_new")
+    return judged, truncate(table, good), after
 
 
 def stats(table: DataFrame) -> DataFrame:
@@ -137,12 +177,13 @@ def clip(start: Column, end: Column, log_pos: Column, lo: Column, hi: Column) ->
     return F.struct(first.alias("offset"), (F.least(end, hi) - first + 1).alias("length"), (log_pos + first - start).alias("log_offset"))
 
 
-def chunks(table: DataFrame, requests: DataFrame) -> DataFrame:
+def chunks(table: DataFrame, requests: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """For ``requests(req_id, gfid, offset, length)`` the clipped parts of all
     extents that they meet: ``req_id, gfid, offset, length, log_offset`` and the
-    holder."""
-    asked = requests.where("length > 0").select("req_id", "gfid", F.col("offset").alias("lo"), (F.col("offset") + F.col("length") - 1).alias("hi"))
-    met = overlap_join(asked, "lo", "hi", table.select(*EXTENT), "start", "end", ["gfid"])
+    holder. ``keys`` are what both must agree on, the file if not given."""
+    keys = keys or ["gfid"]
+    asked = requests.where("length > 0").select("req_id", *keys, F.col("offset").alias("lo"), (F.col("offset") + F.col("length") - 1).alias("hi"))
+    met = overlap_join(asked, "lo", "hi", table.select(*EXTENT), "start", "end", keys)
     part = clip(F.col("start"), F.col("end"), F.col("log_pos"), F.col("lo"), F.col("hi"))
     return met.select("req_id", "gfid", part.alias("p"), *OWNER).select("req_id", "gfid", "p.*", *OWNER)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import BLOCK, laminates, owner
+from ..session import materialize
 
 # The operations that may set an attribute.
 SETTERS = {
@@ -42,13 +43,15 @@ def attributes(ops: DataFrame, setters: dict[str, tuple] = SETTERS) -> DataFrame
 
 
 def dispatch(ops: DataFrame, files: DataFrame) -> DataFrame:
-    """``ops`` with ``rc``: CREATE makes a file unless it is there (EEXIST), other
-    operations need it (ENOENT)."""
-    there = F.coalesce(F.col("there"), F.lit(False))
-    joined = ops.join(files.select("gfid", F.lit(True).alias("there")).distinct(), "gfid", "left")
-    create_rc = F.when(there, "EEXIST").otherwise("OK")
-    other_rc = F.when(there, "OK").otherwise("ENOENT")
-    return joined.withColumn("rc", F.when(F.col("op") == "CREATE", create_rc).otherwise(other_rc)).drop("there")
+    """``ops(seq, gfid, op, ...)`` with ``rc``: CREATE makes a file unless it is there
+    (EEXIST), other operations need it (ENOENT). A file is there if ``files`` has it
+    or an earlier CREATE of the log has made it, so its first CREATE decides, which
+    is one row for each file."""
+    made = ops.where("op = 'CREATE'").groupBy("gfid").agg(F.min("seq").alias("_made"))
+    joined = ops.join(files.select("gfid", F.lit(True).alias("_there")).distinct(), "gfid", "left").join(made, "gfid", "left")
+    there = F.coalesce("_there", F.col("seq") > F.col("_made"), F.lit(False))
+    create_rc, other_rc = F.when(there, "EEXIST").otherwise("OK"), F.when(there, "OK").otherwise("ENOENT")
+    return joined.withColumn("rc", F.when(F.col("op") == "CREATE", create_rc).otherwise(other_rc)).drop("_there", "_made")
 
 
 def lookup(requests: DataFrame, files: DataFrame) -> DataFrame:
@@ -121,12 +124,31 @@ def unlink(files: DataFrame, extents: DataFrame, gone: DataFrame) -> tuple[DataF
 
 
 def rename(files: DataFrame, moves: DataFrame) -> DataFrame:
-    """Files after ``moves(src, dst)``: a file keeps its id under its new name,
-    and one that had the target's name goes."""
-    targets = moves.select(F.col("dst").alias("filename"))
-    left = files.join(moves.select(F.col("src").alias("filename"), "dst"), "filename", "left")
-    staying = left.join(targets.withColumn("taken", F.lit(True)).distinct(), "filename", "left").where("taken is null or dst is not null")
-    return staying.withColumn("filename", F.coalesce("dst", "filename")).drop("dst", "taken")
+    """Files after ``moves(seq, src, dst)`` in order: a file keeps its id under its
+    new name, and one that had the target's name goes; a move of a name that no
+    file has does nothing, nor does one onto itself.
+
+    Each round makes the moves at once of which no earlier one touches either
+    name, so there are as many rounds as moves that wait for each other."""
+    moves = materialize(moves.where("src <> dst").select("seq", "src", "dst"))
+    while not moves.isEmpty():
+        names = moves.select("seq", F.explode(F.array("src", "dst")).alias("name"))
+        first = materialize(names.groupBy("name").agg(F.min("seq").alias("first")))
+        at = lambda side: first.select(F.col("name").alias(side), F.col("first").alias(f"first_{side}"))
+        turns = materialize(moves.join(at("src"), "src").join(at("dst"), "dst"))
+        now = turns.where("seq = first_src and seq = first_dst")
+        files = materialize(renamed(files, now.select("src", "dst")))
+        moves = materialize(turns.where("seq <> first_src or seq <> first_dst").select("seq", "src", "dst"))
+    return files
+
+
+def renamed(files: DataFrame, moves: DataFrame) -> DataFrame:
+    """Files after ``moves(src, dst)`` that share no name."""
+    to = files.join(moves.select(F.col("src").alias("filename"), F.col("dst").alias("_to")), "filename", "left")
+    moved = to.where("_to is not null").select(F.col("_to").alias("filename")).distinct()
+    staying = to.where("_to is null").join(moved, "filename", "left_anti")
+    columns = [F.coalesce("_to", "filename").alias("filename") if c == "filename" else F.col(c) for c in files.columns]
+    return staying.select(*files.columns).unionByName(to.where("_to is not null").select(*columns))
 
 
 def pending_batches(syncs: DataFrame, extents_per_batch: int = 1 << 16) -> DataFrame:

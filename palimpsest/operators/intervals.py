@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-REGION = 1 << 20  # width of the stretches in which neighbours are looked up
-
 
 def blocks(start: Column, end: Column) -> Column:
     """The dyadic blocks of the range from ``start`` to ``end``, both included,
@@ -68,26 +66,57 @@ def overlap_join(a: DataFrame, a_start: str, a_end: str, b: DataFrame, b_start:
     return inside_a.unionByName(inside_b)
 
 
-def with_neighbours(df: DataFrame, keys: list[str], order: str, values: dict[str, tuple[Column, int]], region: int | None = None) -> DataFrame:
+def parted(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """``df`` written once in stretches of about equal size in ``keys`` and then
+    ``order``, with ``_part``, the number of each row's stretch. Spark draws the
+    bounds from a sample, so a key with very many rows has many stretches."""
+    return materialize(df.repartitionByRange(*keys, order).withColumn("_part", F.spark_partition_id()))
+
+
+def with_neighbours(df: DataFrame, keys: list[str], order: str, values: dict[str, tuple[Column, int]]) -> DataFrame:
     """Append for each ``name: (value, step)`` of ``values`` the value of the row
     before (``step`` -1) or after (1) in ``order`` among rows with equal ``keys``;
     null if there is none.
 
-    Only the rows of one stretch of ``order`` meet in a task. A stretch's first
-    and last rows take their neighbours from a table of stretches, one row each.
+    Only the rows of one stretch meet in a task. A stretch's first and last rows
+    take their neighbours from a table with one row for each stretch, whose size
+    is the number of partitions.
     """
     held = {name: f"_{name}" for name in values}
-    df = df.withColumns({held[name]: value for name, (value, _) in values.items()})
-    df = df.withColumn("_region", F.floor(F.col(order) / (region or REGION)).cast("long"))
-    edges = [(F.max_by if step < 0 else F.min_by)(held[name], order).alias(held[name]) for name, (_, step) in values.items()]
-    across = W.partitionBy(*keys).orderBy("_region")
-    beside = lambda step: F.lag if step < 0 else F.lead
-    over = [beside(step)(held[name]).over(across).alias(f"{held[name]}_over") for name, (_, step) in values.items()]
-    stretches = df.groupBy(*keys, "_region").agg(*edges).select(*keys, "_region", *over)
-    within = W.partitionBy(*keys, "_region").orderBy(order)
-    inner = {f"{held[name]}_in": beside(step)(held[name]).over(within) for name, (_, step) in values.items()}
-    alone = {f"{held[name]}_alone": beside(step)(F.lit(True)).over(within).isNull() for name, (_, step) in values.items()}
-    joined = df.withColumns(inner | alone).join(stretches, [*keys, "_region"])
-    pick = lambda h: F.when(F.col(f"{h}_alone"), F.col(f"{h}_over")).otherwise(F.col(f"{h}_in"))
-    columns = [c for c in df.columns if c not in (*held.values(), "_region")]
-    return joined.select(*columns, *[pick(h).alias(name) for name, h in held.items()])
+    rows = parted(df.withColumns({held[name]: value for name, (value, _) in values.items()}), keys, order)
+    row, place = F.struct(*keys, *held.values()), F.struct(*keys, order)
+    ends = rows.groupBy("_part").agg(F.min_by(row, place).alias("first"), F.max_by(row, place).alias("last"))
+    across = W.orderBy("_part")  # one row for each partition
+    beside = ends.select("_part", F.lag("last").over(across).alias("_before"), F.lead("first").over(across).alias("_after"))
+    within = W.partitionBy("_part").orderBy(*keys, order)
+    rows = rows.withColumns({"_prev": F.lag(row).over(within), "_next": F.lead(row).over(within)}).join(F.broadcast(beside), "_part")
+
+    def pick(name: str, step: int) -> Column:
+        other = F.coalesce("_prev", "_before") if step < 0 else F.coalesce("_next", "_after")
+        same = F.lit(True)
+        for k in keys:
+            same = same & other[k].eqNullSafe(F.col(k))
+        return F.when(other.isNotNull() & same, other[held[name]]).alias(name)
+
+    return rows.select(*df.columns, *[pick(name, step) for name, (_, step) in values.items()])
+
+
+def running(df: DataFrame, keys: list[str], order: str, name: str, value: Column, fold) -> DataFrame:
+    """Append ``name``, the aggregate ``fold`` (F.sum, F.max or F.min) of ``value``
+    over the rows with equal ``keys`` up to each row in ``order``, itself included.
+
+    A row's part is the fold inside its stretch, and what stretches before it have
+    come to for its key, from a table with one row for each key and stretch.
+    """
+    rows = parted(df.withColumn("_value", value), keys, order)
+    upto = W.partitionBy("_part", *keys).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    parts = rows.groupBy(*keys, "_part").agg(fold("_value").alias("_all"))
+    parts = materialize(parts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), fold("_all").over(before).alias("_carry")))
+    on = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    rows = rows.withColumn("_inner", fold("_value").over(upto)).join(parts, on)
+    both = F.array("_inner", "_carry")
+    merged = {F.sum: lambda: F.coalesce(F.col("_inner"), F.lit(0)) + F.coalesce(F.col("_carry"), F.lit(0)), F.max: lambda: F.array_max(both), F.min: lambda: F.array_min(both)}
+    return rows.select(*df.columns, merged[fold]().alias(name))

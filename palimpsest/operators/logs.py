@@ -46,7 +46,8 @@ def log_sizes(logs: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 class Slots:
     """First-fit reservation in a bitmap kept as an integer. Requests for more
-    than eight slots start at a multiple of eight."""
+    than eight slots start at a multiple of eight, and are looked for from the byte
+    of the highest slot in use, so that they fill no hole below it."""
 
     def __init__(self, total: int):
         self.total, self.used = total, 0
@@ -54,7 +55,7 @@ class Slots:
     def reserve(self, count: int, limit: int | None = None) -> int | None:
         step = 8 if count > 8 else 1
         run = (1 << count) - 1
-        at = 0
+        at = (self.used.bit_length() - 1) // 8 * 8 if count > 8 and self.used else 0
         while at + count <= (self.total if limit is None else limit):
             taken = (self.used >> at) & run
             if not taken:

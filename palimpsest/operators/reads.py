@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.identity import owner
+from ..session import materialize
 from .extents import chunks, coverage
+from .intervals import overlap_join
 
 RESPONSE = 4 << 20  # bytes of an answer to a client at most
 
@@ -41,34 +44,42 @@ def extent_source(rank: Column, file_id: Column, laminated: Column, shared: Colu
 
 def split_local(extents: DataFrame, requests: DataFrame) -> DataFrame:
     """Requests ``req_id, gfid, cli_id, offset, length`` with ``local``: whether the
-    client's own extents hold every byte, so nothing is forwarded."""
-    mine = extents.withColumn("gfid_all", F.col("gfid"))
-    parts = chunks(mine, requests).join(requests.select("req_id", F.col("cli_id").alias("asker")), "req_id").where("cli_id = asker")
+    client's own extents hold every byte, so nothing is forwarded. Only a client's
+    own extents meet its requests."""
+    parts = chunks(extents, requests, ["gfid", "cli_id"])
     got = parts.groupBy("req_id").agg(F.sum("length").alias("got"))
     joined = requests.join(got, "req_id", "left")
     return joined.select("req_id", "gfid", "cli_id", (F.coalesce("got", F.lit(0)) == F.col("length")).alias("local"))
 
 
+def in_server_order(parts: DataFrame) -> DataFrame:
+    """Chunks with ``place``, their turn within their request: by server, and on a
+    server by offset. A request's chunks are bounded by its length."""
+    by = W.partitionBy("req_id").orderBy("svr_rank", "offset")
+    return parts.withColumn("place", F.row_number().over(by))
+
+
 def serve(parts: DataFrame, logs: DataFrame) -> DataFrame:
     """Chunks with ``data``, their bytes from ``logs(svr_rank, app_id, cli_id,
-    log_start, payload)``, whose rows are consecutive pieces of each client's log
-    of at most ``piece`` bytes. A chunk that no piece holds has ``read_rc`` -5.
+    log_start, payload)``, whose rows are disjoint pieces of each client's log, of
+    any length. A chunk of which some byte is in no piece has ``read_rc`` -5 and no
+    data.
 
-    Pieces are joined by number, so no log is put together as a whole; only
+    Pieces meet chunks by their ranges, so no log is put together as a whole; only
     the pieces of a chunk, which is bounded by its request, are concatenated.
     """
-    piece = logs.agg(F.max(F.length("payload"))).first()[0] or 1
-    first, last = F.floor(F.col("log_offset") / piece), F.floor((F.col("log_offset") + F.col("length") - 1) / piece)
-    wanted = parts.withColumn("no", F.explode(F.sequence(first, last)))
-    pieces = logs.withColumn("no", F.floor(F.col("log_start") / piece)).drop("log_start")
-    met = wanted.join(pieces, ["svr_rank", "app_id", "cli_id", "no"], "left")
-    got = met.groupBy(*parts.columns).agg(F.sort_array(F.collect_list(F.struct("no", "payload"))).alias("p"))
-    whole = F.aggregate("p", F.lit(b""), lambda acc, x: F.concat(acc, x["payload"]))
-    start = F.col("log_offset") - F.get("p", F.lit(0))["no"] * piece + 1
-    data = whole.substr(start.cast("int"), F.col("length").cast("int"))
-    out = got.withColumn("data", data).drop("p")
-    full = F.coalesce(F.length("data"), F.lit(0)) == F.col("length")
-    return out.withColumn("read_rc", F.when(full, F.col("length")).otherwise(F.lit(-5)))
+    holder = ["svr_rank", "app_id", "cli_id"]
+    pieces = logs.select(*holder, F.col("log_start").alias("_from"), (F.col("log_start") + F.octet_length("payload") - 1).alias("_to"), "payload")
+    pieces = materialize(pieces.where("_from <= _to"))
+    wanted = materialize(parts.withColumn("_id", F.monotonically_increasing_id()).withColumn("_last", F.col("log_offset") + F.col("length") - 1))
+    met = overlap_join(wanted.select("_id", *holder, "log_offset", "_last"), "log_offset", "_last", pieces, "_from", "_to", holder)
+    first = F.greatest("_from", "log_offset")
+    cut = F.substring("payload", (first - F.col("_from") + 1).cast("int"), (F.least("_to", "_last") - first + 1).cast("int"))
+    got = met.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct(first.alias("at"), cut.alias("bytes")))).alias("_p"))
+    data = F.aggregate("_p", F.lit(b""), lambda acc, x: F.concat(acc, x["bytes"]))
+    out = wanted.join(got.select("_id", data.alias("data")), "_id", "left").select(*parts.columns, "data")
+    full = F.coalesce(F.octet_length("data") == F.col("length"), F.lit(False))
+    return out.withColumn("read_rc", F.when(full, F.col("length")).otherwise(F.lit(-5))).withColumn("data", F.when(full, F.col("data")))
 
 
 def responses(parts: DataFrame, limit: int = RESPONSE) -> DataFrame:
@@ -111,5 +122,5 @@ def assemble(served: DataFrame, requests: DataFrame, sizes: DataFrame) -> DataFr
 
 
 __all__ = [
-    "assemble", "chunks", "complete", "coverage", "extent_source", "ordered", "readable", "responses", "serve", "server_plan", "split_local", "submit",
+    "assemble", "chunks", "complete", "coverage", "extent_source", "in_server_order", "ordered", "readable", "responses", "serve", "server_plan", "split_local", "submit",
 ]

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import materialize
+from .intervals import overlap_join, running
+
 
 def access_pattern(spark: SparkSession, pattern: str, ranks: int, blocks: int, block: int, chunk: int) -> DataFrame:
     """``rank, block_no, chunk_no, gfid, offset, length, reader`` of each access:
@@ -43,9 +45,9 @@ def overlapping_pairs(writes: DataFrame, keys: list[str]) -> DataFrame:
     starts = F.struct(F.col("file_pos").alias("at"), F.lit(1).alias("is_start"))
     marks = writes.where("length > 0").select(*keys, F.explode(F.array(ends, starts)).alias("m")).select(*keys, "m.at", "m.is_start")
     marks = marks.groupBy(*keys, "at").agg(F.sum(1 - F.col("is_start")).alias("ended"), F.sum("is_start").alias("started"))
-    upto = W.partitionBy(*keys).orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
-    before = marks.withColumn("gone", F.sum("ended").over(upto) * F.col("started"))
-    got = before.groupBy(*keys).agg(F.sum("started").alias("n"), F.sum("gone").alias("apart"))
+    before = running(marks, keys, "at", "gone", F.col("ended"), F.sum)
+    before = before.withColumn("gone", F.col("gone").cast("decimal(38,0)") * F.col("started"))
+    got = before.groupBy(*keys).agg(F.sum("started").cast("decimal(19,0)").alias("n"), F.sum("gone").alias("apart"))
     return got.select(*keys, (F.col("n") * (F.col("n") - 1) / 2 - F.col("apart")).cast("long").alias("n_pairs"))
 
 
@@ -54,3 +56,20 @@ def conflicts(writes: DataFrame) -> DataFrame:
     same = overlapping_pairs(writes, ["gfid", "cli_id"]).groupBy("gfid").agg(F.sum("n_pairs").alias("same_client"))
     every = overlapping_pairs(writes, ["gfid"])
     return every.join(same, "gfid").select("gfid", "same_client", (F.col("n_pairs") - F.col("same_client")).alias("different_clients"))
+
+
+def conflict_kinds(accesses: DataFrame) -> DataFrame:
+    """``gfid, kind, synced, n_pairs`` of overlapping accesses by two clients in
+    ``accesses(seq, gfid, cli_id, op, offset, length)``, where one of the two writes:
+    RAW, WAR or WAW by the order of ``seq``. A pair is ``synced`` if the earlier
+    client's next SYNC of the file comes before the later access. SYNC rows have
+    no range. The pairs themselves are met, so the cost is their number."""
+    syncs = accesses.withColumn("mark", F.when(F.col("op") == "SYNC", F.col("seq")))
+    synced = running(syncs.withColumn("back", -F.col("seq")), ["gfid", "cli_id"], "back", "sync", F.col("mark"), F.min)
+    ranges = synced.where("op <> 'SYNC' and length > 0").withColumn("end", F.col("offset") + F.col("length") - 1)
+    side = lambda n: ranges.select("gfid", *[F.col(c).alias(f"{c}{n}") for c in ("seq", "cli_id", "op", "offset", "end", "sync")])
+    met = overlap_join(materialize(side(1)), "offset1", "end1", materialize(side(2)), "offset2", "end2", ["gfid"])
+    met = met.where("seq1 < seq2 and cli_id1 <> cli_id2 and (op1 = 'WRITE' or op2 = 'WRITE')")
+    letter = lambda op: F.substring(op, 1, 1)
+    kind = F.concat(letter("op2"), F.lit("A"), letter("op1"))
+    return met.groupBy("gfid", kind.alias("kind"), F.coalesce(F.col("sync1") < F.col("seq2"), F.lit(False)).alias("synced")).agg(F.count("*").alias("n_pairs"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.extents import OWNER, extents
+from ..operators.extents import as_writes, extents
 from ..session import materialize
 
 LOG = "seq long, gfid int, svr_rank int, app_id int, cli_id int, file_pos long, length long, log_pos long"
@@ -19,13 +19,6 @@ def read_log(spark: SparkSession, folder: str, files_per_batch: int = 1) -> Data
     return spark.readStream.schema(LOG).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def as_writes(table: DataFrame) -> DataFrame:
-    """An extent table as writes that are older than any of a log, whose numbers
-    are not negative. Extents are disjoint, so their own order does not matter;
-    the start, taken negative, tells those of a file apart."""
-    return table.select((-F.col("start") - 1).alias("seq"), "gfid", *OWNER, F.col("start").alias("file_pos"), (F.col("end") - F.col("start") + 1).alias("length"), "log_pos")
-
-
 def commit(before: DataFrame | None, batch: DataFrame) -> DataFrame:
     """The extent table after one more epoch. Only the files that the batch
     touches are worked on; the others' extents pass through."""

@@ -1,7 +1,5 @@
 """Small models that do one thing after another, to hold the plans against."""
 
-from palimpsest.operators.logs import Log, Slots  # noqa: F401
-
 
 def overlay(writes):
     """{offset: (write, log position)} after all writes in order."""

@@ -63,10 +63,18 @@ def test_golden_find_and_remove(spark):
         assert sorted((r["start"], r["end"], r["log_pos"]) for r in table.collect()) == want
 
 
-@pytest.mark.parametrize("region", [4, 1 << 20])
-def test_random_logs_against_a_byte_map(spark, monkeypatch, region):
-    monkeypatch.setattr(intervals, "REGION", region)
-    rng = random.Random(region)
+@pytest.fixture
+def many_parts(spark):
+    """Stretches stay as small as they are made."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_random_logs_against_a_byte_map(spark, many_parts):
+    rng = random.Random(4)
     writes = []
     for gfid in range(40):
         tail = {}
@@ -144,3 +152,47 @@ def test_empty_log(spark):
     table = ex.extents(log(spark, []).limit(0))
     assert table.count() == 0 and ex.stats(table).count() == 0
     assert ex.extents(log(spark, [(5, 4, 0)])).count() == 0
+
+
+def test_removals_of_several_ranges(spark):
+    rng = random.Random(8)
+    table = ex.extents(log(spark, [(0, 99, 1000), (120, 180, 0), (200, 210, 70)]))
+    for _ in range(3):
+        cuts = [(1, lo, lo + rng.randint(-1, 30)) for lo in (rng.randint(0, 220) for _ in range(rng.randint(1, 6)))] + [(2, 0, 5)]
+        got = ex.remove_range(table, spark.createDataFrame(cuts, "gfid int, lo long, hi long"))
+        gone = {p for g, lo, hi in cuts if g == 1 for p in range(lo, hi + 1)}
+        left = {p: log + p - s for s, e, log in ((0, 99, 1000), (120, 180, 0), (200, 210, 70)) for p in range(s, e + 1) if p not in gone}
+        assert {p: r["log_pos"] + p - r["start"] for r in got.collect() for p in range(r["start"], r["end"] + 1)} == left
+
+
+def test_running_folds_and_neighbours_against_one_by_one(spark, many_parts):
+    rng = random.Random(9)
+    rows = [(rng.choice([1, 1, 1, 2, None]), i, rng.choice([None, rng.randint(-5, 9)])) for i in rng.sample(range(1000), 300)]
+    table = spark.createDataFrame(rows, "k int, i long, v long")
+    by = {k: sorted((r for r in rows if r[0] == k), key=lambda r: r[1]) for k in (1, 2, None)}
+    for fold, step in ((F.sum, lambda a, v: (a or 0) + (v or 0)), (F.max, lambda a, v: v if a is None else a if v is None else max(a, v))):
+        got = {r["i"]: r["x"] for r in intervals.running(table, ["k"], "i", "x", F.col("v"), fold).collect()}
+        for group in by.values():
+            at = None
+            for _, i, v in group:
+                at = step(at, v)
+                assert got[i] == at
+    got = {r["i"]: (r["p"], r["n"]) for r in intervals.with_neighbours(table, ["k"], "i", {"p": (F.col("i"), -1), "n": (F.col("v"), 1)}).collect()}
+    for group in by.values():
+        for x, (_, i, _) in enumerate(group):
+            assert got[i] == (group[x - 1][1] if x else None, group[x + 1][2] if x + 1 < len(group) else None)
+
+
+def test_commits_and_new_sizes_that_are_refused(spark):
+    files = spark.createDataFrame([(1, 10, False), (2, 5, True)], "gfid int, size long, is_laminated boolean")
+    table = ex.extents(log(spark, [(0, 9, 0)]))
+    batch = spark.createDataFrame([(i, g, 0, 1, 1, 8, 12, 100) for i, g in enumerate((1, 2, 3))], WRITES)
+    judged, after, grown = ex.add(files, table, batch)
+    assert {r["gfid"]: r["rc"] for r in judged.collect()} == {1: "OK", 2: "EINVAL", 3: "ENOENT"}
+    assert sorted((r["gfid"], r["start"], r["end"], r["log_pos"]) for r in after.collect()) == [(1, 0, 7, 0), (1, 8, 19, 100)]
+    assert {r["gfid"]: r["size"] for r in grown.collect()} == {1: 20, 2: 5}
+    judged, after, files = ex.truncate_files(grown, after, spark.createDataFrame([(1, 4), (2, 0), (3, 0)], "gfid int, size long"))
+    assert {r["gfid"]: r["rc"] for r in judged.collect()} == {1: "OK", 2: "EINVAL", 3: "ENOENT"}
+    assert [(r["start"], r["end"]) for r in after.collect()] == [(0, 3)] and {r["gfid"]: r["size"] for r in files.collect()} == {1: 4, 2: 5}
+    with pytest.raises(ValueError):
+        ex.check_order(batch.unionAll(batch))

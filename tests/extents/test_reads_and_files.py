@@ -43,7 +43,8 @@ def test_slots_against_a_bitmap(spark):
             used[at : at + n] = [False] * n
             continue
         step = 8 if n > 8 else 1
-        want = next((a for a in range(0, 201 - n, step) if not any(used[a : a + n])), None)
+        last = max((i for i, taken in enumerate(used) if taken), default=0)
+        want = next((a for a in range(last // 8 * 8 if n > 8 else 0, 201 - n, step) if not any(used[a : a + n])), None)
         assert slots.reserve(n) == want
         if want is not None:
             used[want : want + n] = [True] * n
