@@ -18,12 +18,14 @@ from .common import word_count
 
 ORDER = 3
 BACKOFF = 0.4
-BLOCK_CHARS = 8_000_000
-GRAMS_PER_BUCKET = 4_000_000
+BLOCK_CHARS = 6_000_000
+GRAMS_PER_BUCKET = 2_000_000
+PACKED_BUCKETS = 8192  # up to so many, rows are long enough to be compressed one by one
 
 BLOCK = pa.schema([("block", pa.int64()), ("keys", pa.list_(pa.string())), ("ends", pa.list_(pa.int64())), ("texts", pa.binary())])
-GRAMS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("width", pa.int32()), ("wide", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
-OTHERS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("wide", pa.int32()), ("others", pa.binary())])
+NUMBERS = [("bucket", pa.int64()), ("block", pa.int64()), ("width", pa.int32())]
+GRAMS = pa.schema([*NUMBERS, ("low", pa.binary()), *[(c, pa.binary()) for c in ("high", "high_more", "counts", "counts_more")]])
+OTHERS = pa.schema([*NUMBERS[:2], ("others", pa.binary()), ("others_more", pa.binary())])
 SCORES = pa.schema([("key", pa.string()), ("n_words", pa.int64()), ("score", pa.float64())])
 # Arrow's types and Spark's.
 NAMES = {"int64": "long", "int32": "int", "string": "string", "double": "double", "binary": "binary"}
@@ -74,19 +76,19 @@ class Block:
         first = np.flatnonzero(run_starts(ordered))
         return ordered[first], np.diff(np.r_[first, len(ordered)])
 
-    def scores(self, totals: np.ndarray, n_words: int, backoff: float) -> np.ndarray:
+    def scores(self, elsewhere: np.ndarray, n_words: int, backoff: float) -> np.ndarray:
         """Summed log score of each document under the counts of all others;
-        ``totals`` are the corpus counts of the distinct n-grams. Sorting by hash
-        keeps a document's n-grams together, so one order serves both the corpus
-        count of a position's n-gram and its count in the document."""
+        ``elsewhere`` are the counts of the distinct n-grams outside the block.
+        Sorting by hash keeps a document's n-grams together, so one order serves
+        the counts of a position's n-gram in the block and in the document."""
         if not len(self.flat):
             return np.zeros(len(self.lengths))
-        docs = np.concatenate([self.doc[r] for r in self.real])
         by = np.argsort(self.flat, kind="stable")
-        hashes, docs = self.flat[by], docs[by]
-        new_gram = run_starts(hashes)
+        new_gram = run_starts(self.flat[by])
+        docs = np.concatenate([self.doc[r] for r in self.real])[by]
         own_run = np.flatnonzero(new_gram | run_starts(docs))
         own = np.repeat(np.diff(np.r_[own_run, len(by)]), np.diff(np.r_[own_run, len(by)]))
+        totals = elsewhere + np.diff(np.r_[np.flatnonzero(new_gram), len(by)])
         others = np.empty(len(by), np.int64)
         others[by] = totals[np.cumsum(new_gram) - 1] - own
         score, lower, start = None, None, 0
@@ -125,10 +127,6 @@ def from_bytes(data: np.ndarray, width: int) -> np.ndarray:
     return whole.view("<u8").reshape(-1)
 
 
-def bytes_for(most: int) -> int:
-    return max(1, -(-int(most).bit_length() // 8))
-
-
 def binaries(data: np.ndarray, ends: np.ndarray) -> pa.Array:
     """Binary values that lie end to end in ``data``, up to ``ends``."""
     offsets = np.r_[0, ends].astype(np.int32)
@@ -146,6 +144,24 @@ def laid_out(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(0, np.uint8), *data]), np.concatenate([np.zeros(0, np.int64), *lengths])
 
 
+def planes(values: np.ndarray, ends: np.ndarray, pack: bool) -> tuple[pa.Array, pa.Array]:
+    """Rows of mostly small numbers, which end at ``ends``: a byte for each number,
+    255 for one that is larger, and the larger ones in full."""
+    low, large = np.minimum(values, 255).astype(np.uint8), values >= 255
+    more = binaries(low_bytes(values[large], 8), 8 * np.cumsum(large)[ends - 1] if len(ends) else ends)
+    if not pack:
+        return binaries(low, ends), more
+    starts = np.r_[0, ends[:-1]] if len(ends) else ends
+    return pa.array([zstandard.compress(low[i:j].tobytes(), 1) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary()), more
+
+
+def read_planes(low: pa.ChunkedArray, more: pa.ChunkedArray, packed: bool) -> np.ndarray:
+    data = np.frombuffer(b"".join(map(zstandard.decompress, low.to_pylist())), np.uint8) if packed else laid_out(low)[0]
+    values = data.astype(np.uint64)
+    values[data == 255] = from_bytes(laid_out(more)[0], 8)
+    return values
+
+
 def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows ``block, keys, ends, texts`` of about BLOCK_CHARS characters each: ids and
     texts of neighbouring documents, the texts compressed together. A block's
@@ -190,10 +206,10 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) ->
     and go back to their block, where they are summed by document. Blocks have
     BLOCK_CHARS characters and buckets GRAMS_PER_BUCKET n-grams at every size of the
     input. A row has those n-grams of a block that fall into a bucket, as the gaps
-    between sorted hashes, so that it costs about six bytes for each while blocks
-    have many in a bucket, and in a corpus of a thousand times the size becomes a
-    row for one n-gram; encoding goes over all of a block's n-grams at once, with
-    no step for a bucket. Hashes have all 64 bits: n different n-grams make
+    between sorted hashes: about 5.6 bytes for each while blocks have many in a
+    bucket, and in a corpus of a thousand times the size a row becomes a single
+    n-gram. Encoding goes over all of a block's n-grams at once; there is a step for
+    a row only up to PACKED_BUCKETS buckets, to compress it. Hashes have all 64 bits: n different n-grams make
     n * n / 2**65 clashing pairs on average, which is six among 1.5e10. A clash
     adds the counts of two n-grams, and where it leaves a context without a count
     the score backs off. A frequent n-gram adds one number for each block, and
@@ -211,6 +227,8 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) ->
     # One exchange by block serves both uses below.
     blocks = docs.select(F.col("doc_id").cast("string").alias("key"), "text").mapInArrow(block_rows, "block long, keys array<string>, ends array<long>, texts binary")
 
+    pack = 1 << bits <= PACKED_BUCKETS
+
     def explode(table: pa.Table) -> pa.Table:
         grams, counts = Block(documents_of(table)[1], order).grams()
         bucket = (grams >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(grams), np.int64)
@@ -219,48 +237,41 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) ->
         # A row's first gap counts from its bucket's lower end.
         gaps[first] = grams[first] - ((bucket[first].astype(np.uint64) << np.uint64(64 - bits)) if bits else np.uint64(0))
         ends = np.r_[first[1:], len(grams)][: len(first)]
-        width, wide = bytes_for(gaps.max(initial=0)), bytes_for(counts.max(initial=0))
-        same = lambda x: np.full(len(first), x)
-        columns = [bucket[first], same(table["block"][0].as_py()), same(width), same(wide), binaries(low_bytes(gaps, width), ends * width), binaries(low_bytes(counts, wide), ends * wide)]
-        return pa.Table.from_arrays([pa.array(c, t) if isinstance(c, np.ndarray) else c for c, t in zip(columns, GRAMS.types, strict=True)], schema=GRAMS)
+        width = int(64 - math.log2(max(2, len(grams)))) // 8  # bytes of a gap that are as good as random
+        low = binaries(low_bytes(gaps, width), ends * width)
+        numbers = [bucket[first], np.full(len(first), table["block"][0].as_py()), np.full(len(first), width, np.int32)]
+        columns = [*map(pa.array, numbers), low, *planes(gaps >> np.uint64(8 * width), ends, pack), *planes(counts, ends, pack)]
+        return pa.Table.from_arrays(columns, schema=GRAMS)
 
     def count(table: pa.Table) -> pa.Table:
-        table = table.sort_by("width")  # blocks differ little, so rows of one width are many
-        flat, own, lengths = [], [], []
-        for width in np.unique(table["width"].to_numpy()):
-            rows = table.filter(pc.equal(table["width"], int(width)))
-            data, sizes = laid_out(rows["grams"])
+        flat, own, lengths, rows = [], [], [], []
+        for width in pc.unique(table["width"]).to_pylist():
+            part = table.filter(pc.equal(table["width"], width))
+            data, sizes = laid_out(part["low"])
             n = sizes // width
-            values = np.cumsum(from_bytes(data, int(width)), dtype=np.uint64)
-            starts = np.cumsum(n) - n
-            values -= np.repeat(np.r_[np.uint64(0), values][starts], n)
+            gaps = from_bytes(data, width) + (read_planes(part["high"], part["high_more"], pack) << np.uint64(8 * width))
+            values = np.cumsum(gaps, dtype=np.uint64)
+            values -= np.repeat(np.r_[np.uint64(0), values][np.cumsum(n) - n], n)
             flat.append(values)
+            own.append(read_planes(part["counts"], part["counts_more"], pack))
             lengths.append(n)
-        # Counts have a width of their own; places tell where a row's numbers stand.
-        lengths, flat = np.concatenate(lengths), np.concatenate(flat)
-        own, ends = np.empty(len(flat), np.int64), np.cumsum(lengths)
-        for wide in np.unique(table["wide"].to_numpy()):
-            mine = table["wide"].to_numpy() == wide
-            own[np.repeat(mine, lengths)] = from_bytes(laid_out(table.filter(pa.array(mine))["counts"])[0], int(wide)).astype(np.int64)
+            rows.append(part.select(["bucket", "block"]))
+        flat, own, ends = np.concatenate(flat), np.concatenate(own).astype(np.int64), np.cumsum(np.concatenate(lengths))
         by = np.argsort(flat, kind="stable")
         first = run_starts(flat[by])
         sums = np.add.reduceat(own[by], np.flatnonzero(first))
         others = np.empty(len(flat), np.int64)
         others[by] = sums[np.cumsum(first) - 1]
-        others -= own
-        wide = bytes_for(others.max(initial=0))
-        columns = [table["bucket"].combine_chunks(), table["block"].combine_chunks(), pa.array(np.full(len(ends), wide), pa.int32()), binaries(low_bytes(others, wide), ends * wide)]
-        return pa.Table.from_arrays(columns, schema=OTHERS)
+        made = planes(others - own, ends, pack)
+        return pa.Table.from_arrays([*pa.concat_tables(rows).combine_chunks().columns, *made], schema=OTHERS)
 
-    def score(table: pa.Table, totals: pa.Table) -> pa.Table:
+    def score(table: pa.Table, others: pa.Table) -> pa.Table:
         keys, texts = documents_of(table)
         block = Block(texts, order)
-        grams, own = block.grams()
-        totals = totals.sort_by("bucket")
-        parts = [from_bytes(np.frombuffer(d, np.uint8), w) for d, w in zip(totals["others"].to_pylist(), totals["wide"].to_pylist(), strict=True)]
-        joined = np.concatenate([np.zeros(0, np.uint64), *parts]).astype(np.int64) + own
+        others = others.sort_by("bucket")
+        elsewhere = read_planes(others["others"], others["others_more"], pack).astype(np.int64)
         # Ids travel as text: a null among numbers would make them floats.
-        return pa.Table.from_arrays([pa.array(keys, pa.string()), pa.array(block.lengths), pa.array(block.scores(joined, n_words, backoff))], schema=SCORES)
+        return pa.Table.from_arrays([pa.array(keys, pa.string()), pa.array(block.lengths), pa.array(block.scores(elsewhere, n_words, backoff))], schema=SCORES)
 
     of = lambda schema: ", ".join(f"{f.name} {NAMES[str(f.type)]}" for f in schema)
     grams = blocks.groupBy("block").applyInArrow(explode, of(GRAMS))
