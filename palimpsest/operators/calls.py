@@ -10,12 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .intervals import with_neighbours
+from .intervals import running, with_neighbours
 from .reads import readable
 
 # Results of a call that fails, block size and longest name of the
 # file system, its usual type number, and the error codes beyond the system's.
-EINVAL, ENXIO = -22, -6
+EINVAL, ENXIO, EBADF = -22, -6, -9
 FS_TYPE, FS_BLOCK, FS_NAME = 0x01021994, 4 << 20, 1024
 ERROR_BASE = 1000
 ERRORS = {
@@ -85,6 +85,122 @@ def call(op: str, n: int, pos: int, size: int) -> tuple[int, int, int]:
     return (0, pos, n) if op == "TRUNCATE" else (EINVAL, pos, size)
 
 
+SHARED = "gfid long, fd long, seq long, op string, n long, at long, ret long, pos long, size long, offset long, length long, eof boolean, error boolean"
+
+
+class SharedFile:
+    """A file and the descriptors and streams on it. Descriptors made by DUP share
+    one cursor; each keeps its own flags and the characters pushed back."""
+
+    def __init__(self):
+        self.size, self.cursors = 0, {}
+
+    def call(self, fd: int, op: str, n: int, at: int) -> tuple:
+        """``ret, pos, size, offset, length, eof, error`` of one call; ``offset`` and
+        ``length`` are the bytes that it reads or writes."""
+        if op == "OPEN":
+            self.cursors[fd] = [[0], False, False, 0]
+            return 0, 0, self.size, None, 0, False, False
+        known = self.cursors.get(fd)
+        if known is None:
+            return EBADF, None, self.size, None, 0, None, None
+        cursor, ret, offset, length = known[0], 0, None, 0
+        if op == "DUP":
+            self.cursors[n] = [cursor, False, False, 0]
+            ret = n
+        elif op == "CLOSE":
+            del self.cursors[fd]
+        elif op in ("READ", "READV", "FREAD"):
+            back = min(known[3], n)
+            offset, length = cursor[0], max(0, min(n - back, self.size - cursor[0]))
+            cursor[0] += length
+            known[3] -= back
+            ret = back + length
+            known[1] = known[1] or (op == "FREAD" and ret < n)
+        elif op in ("WRITE", "WRITEV", "APPEND"):
+            offset, length, known[3] = (self.size if op == "APPEND" else cursor[0]), n, 0
+            cursor[0], ret = offset + n, n
+            self.size = max(self.size, offset + n) if n else self.size
+        elif op in ("PREAD", "PWRITE"):
+            offset, length = at, max(0, min(n, self.size - at)) if op == "PREAD" else n
+            self.size, ret = (max(self.size, at + n) if op == "PWRITE" and n else self.size), length
+        elif op == "UNGETC":
+            known[1], known[3], ret = False, known[3] + 1, n
+        elif op in ("SEEK", "REWIND"):
+            cursor[0], known[1], known[3] = (at if op == "SEEK" else 0), False, 0
+            known[2] = known[2] and op == "SEEK"
+            ret = cursor[0]
+        elif op == "CLEARERR":
+            known[1] = known[2] = False
+        elif op == "FAIL":
+            known[2], ret = True, -1
+        elif op in ("FEOF", "FERROR"):
+            ret = int(known[1] if op == "FEOF" else known[2])
+        elif op != "FSYNC":
+            ret = EINVAL
+        return ret, cursor[0] - known[3], self.size, offset, length, known[1], known[2]
+
+
+def shared_descriptors(ops: DataFrame) -> DataFrame:
+    """``ops(gfid, fd, seq, op, n, at)`` on the descriptors of shared files, empty at
+    first, with what each call returns, the cursor, the file's size, the range of
+    bytes that it reads or writes, and the stream's flags after it.
+
+    OPEN, DUP (as descriptor ``n``, with the same cursor), CLOSE, FSYNC; READ, READV,
+    WRITE, WRITEV and APPEND of ``n`` bytes in all; PREAD and PWRITE of ``n`` at ``at``;
+    SEEK to ``at``, REWIND; FREAD, which sets the end flag when it gets less than ``n``;
+    UNGETC, which puts one back; CLEARERR, FEOF, FERROR; FAIL is a call that fails. A
+    descriptor that is not open is EBADF. A call depends on all before it in its
+    file, so a file's calls are one ordered task that keeps sizes and cursors.
+    """
+    columns = ["gfid", "fd", "seq", "op", "n", "at"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, file = None, SharedFile()
+        for pdf in batches:
+            out = []
+            for gfid, fd, op, n, at in pdf[["gfid", "fd", "op", "n", "at"]].itertuples(index=False, name=None):
+                if gfid != current:
+                    current, file = gfid, SharedFile()
+                out.append(file.call(fd, op, int(n), int(at)))
+            made = pd.DataFrame(out, columns=["ret", "pos", "size", "offset", "length", "eof", "error"], index=pdf.index)
+            yield pd.concat([pdf[columns], made.astype({"pos": "Int64", "offset": "Int64", "eof": "boolean", "error": "boolean"})], axis=1)
+
+    ordered = ops.select(*columns).repartition("gfid").sortWithinPartitions("gfid", "seq")
+    return ordered.mapInPandas(run, SHARED)
+
+
+def synced_writes(calls: DataFrame) -> DataFrame:
+    """Writes of ``shared_descriptors`` that others see, as ``seq, gfid, fd, file_pos,
+    length, epoch``: those before a CLOSE or FSYNC of their descriptor, whose ``seq``
+    is the epoch."""
+    mark = F.when(F.col("op").isin("CLOSE", "FSYNC") & (F.col("ret") == 0), F.col("seq"))
+    later = running(calls.withColumn("back", -F.col("seq")), ["gfid", "fd"], "back", "epoch", mark, F.min)
+    writes = later.where("op in ('WRITE', 'WRITEV', 'APPEND', 'PWRITE') and length > 0 and epoch is not null")
+    return writes.select("seq", "gfid", "fd", F.col("offset").alias("file_pos"), "length", "epoch")
+
+
+def directory_reads(ops: DataFrame, entries: DataFrame) -> DataFrame:
+    """``ops(dir, seq, op, n)`` of open directories with ``pos``, the place before the
+    call, and ``name``, the entry that READ finds there, in order of name; null at the
+    end. SEEK goes to ``n``, REWIND to 0, TELL tells the place. The place is that of
+    the last SEEK or REWIND and the reads since, no further than the end."""
+    listed = entries.select("dir", "name").distinct()
+    listed = running(listed, ["dir"], "name", "rank", F.lit(1), F.sum).withColumn("rank", F.col("rank") - 1)
+    counts = listed.groupBy("dir").agg(F.count("*").alias("n_entries"))
+    moves = F.col("op").isin("SEEK", "REWIND")
+    ops = running(ops, ["dir"], "seq", "since", F.when(moves, F.col("seq")), F.max)
+    ops = running(ops, ["dir"], "seq", "reads", (F.col("op") == "READ").cast("long"), F.sum)
+    start = ops.where(moves).select("dir", F.col("seq").alias("since"), F.when(F.col("op") == "SEEK", F.col("n")).otherwise(0).alias("from"), F.col("reads").alias("reads_then"))
+    joined = ops.join(start, ["dir", "since"], "left").join(counts, "dir", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    gone = F.col("reads") - zero("reads_then") - (F.col("op") == "READ").cast("long")
+    before = F.when(moves, F.lit(None)).otherwise(zero("from") + F.greatest(F.lit(0), F.least(gone, zero("n_entries") - zero("from"))))
+    joined = joined.withColumn("pos", before.cast("long"))
+    named = joined.join(listed.select("dir", F.col("rank").alias("pos"), "name"), ["dir", "pos"], "left")
+    return named.select("dir", "seq", "op", "pos", F.when(F.col("op") == "READ", F.col("name")).alias("name"))
+
+
 def list_io(requests: DataFrame, sizes: DataFrame) -> DataFrame:
     """Requests ``batch, pos, op, gfid, offset, nbytes`` of a list of transfers with
     ``ret`` and ``err``: a write returns its bytes, a read what lies before the
@@ -145,17 +261,25 @@ def file_system(files: DataFrame, max_files: int) -> DataFrame:
 
 def scanned(line: Column, form: str) -> Column:
     """The fields of a formatted scan as an array of strings, null from the first
-    that does not fit: ``%d %u %x %f %s %c %[set]``, with a width, and ``%*`` for a
-    field that is skipped; white space stands for any run of it, other characters
-    for themselves."""
-    classes = {"d": r"[+-]?[0-9]{1,W}", "u": r"[0-9]{1,W}", "x": r"(?:0[xX])?[0-9a-fA-F]{1,W}", "f": r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?", "s": r"\S{1,W}", "c": r".{W}"}
+    that does not fit: ``%d %u %i %o %x %p %f %e %g %s %c %[set]``, with a width and a
+    length (``hh h l ll j z t L q``), ``%n``, which is the number of characters up to
+    there, and ``%*`` for a field that is skipped; white space stands for any run of
+    it, ``%%`` for a percent sign, other characters for themselves. A width on ``%f``,
+    ``%e`` and ``%g`` is not looked at."""
+    real = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+    classes = {
+        "d": r"[+-]?[0-9]{1,W}", "u": r"[0-9]{1,W}", "x": r"(?:0[xX])?[0-9a-fA-F]{1,W}", "p": r"(?:0[xX])?[0-9a-fA-F]{1,W}", "o": r"[+-]?[0-7]{1,W}",
+        "i": r"[+-]?(?:0[xX][0-9a-fA-F]{1,W}|0[0-7]{1,W}|[0-9]{1,W})", "f": real, "e": real, "g": real, "s": r"\S{1,W}", "c": r".{W}",
+    }
     pattern, fields = "^", []
-    for m in re.finditer(r"%(\*?)([0-9]*)(\[\^?\]?[^\]]*\]|[duxfsc])|(\s+)|(.)", form):
+    for m in re.finditer(r"%(\*?)([0-9]*)(?:hh|h|ll|l|[jztLq])?(\[\^?\]?[^\]]*\]|[duioxpfegscn%])|(\s+)|(.)", form):
         skip, width, kind, space, other = m.groups()
         if space:
             pattern += r"\s*+"
-        elif other:
-            pattern += re.escape(other)
+        elif other or kind == "%":
+            pattern += re.escape(other or "%")
+        elif kind == "n":
+            fields.append((pattern, 0))
         else:
             body = f"{kind}{{1,W}}" if kind.startswith("[") else classes[kind]
             body = body.replace("{1,W}", f"{{1,{width}}}" if width else "+").replace("{W}", f"{{{width or 1}}}")
@@ -165,9 +289,10 @@ def scanned(line: Column, form: str) -> Column:
                 pattern += lead + body
             else:
                 pattern += f"{lead}({body})"
-                fields.append(pattern)
+                fields.append((pattern, sum(group > 0 for _, group in fields) + 1))
     # A field is there if the line fits the format as far as that field.
-    return F.array(*[F.when(line.rlike(p), F.regexp_extract(line, p, i)) for i, p in enumerate(fields, 1)])
+    found = lambda p, group: F.regexp_extract(line, p, group) if group else F.length(F.regexp_extract(line, p, 0)).cast("string")
+    return F.array(*[F.when(line.rlike(p), found(p, group)) for p, group in fields])
 
 
 def printed(form: str, *values: Column) -> Column:

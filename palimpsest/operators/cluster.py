@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -45,6 +46,14 @@ def callbacks(events: DataFrame) -> DataFrame:
     return events.select("gfid", "app_id", "cli_id").distinct()
 
 
+def callback_turns(events: DataFrame) -> DataFrame:
+    """What each round of ``events(round, kind, app_id, cli_id, gfid)`` calls, and in
+    which ``turn``: by kind, then client, then file, each once. A round holds what
+    has come since the last one."""
+    each = events.select("round", "kind", "app_id", "cli_id", "gfid").distinct()
+    return each.withColumn("turn", F.row_number().over(W.partitionBy("round").orderBy("kind", "app_id", "cli_id", "gfid")))
+
+
 def state_of(live: Column, last_beat_ms: Column, now_ms: Column, every_ms: int = 30_000) -> Column:
     """Whether a client that should beat every ``every_ms`` is to be probed."""
     return F.when(~live, "gone").when(now_ms - last_beat_ms > every_ms, "probe").otherwise("ok")

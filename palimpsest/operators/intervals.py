@@ -82,17 +82,17 @@ def with_neighbours(df: DataFrame, keys: list[str], order: str, values: dict[str
     take their neighbours from a table with one row for each stretch, whose size
     is the number of partitions.
     """
-    held = {name: f"_{name}" for name in values}
+    held = {name: f"_held_{name}" for name in values}
     rows = parted(df.withColumns({held[name]: value for name, (value, _) in values.items()}), keys, order)
     row, place = F.struct(*keys, *held.values()), F.struct(*keys, order)
     ends = rows.groupBy("_part").agg(F.min_by(row, place).alias("first"), F.max_by(row, place).alias("last"))
     across = W.orderBy("_part")  # one row for each partition
-    beside = ends.select("_part", F.lag("last").over(across).alias("_before"), F.lead("first").over(across).alias("_after"))
+    beside = ends.select("_part", F.lag("last").over(across).alias("_row_before"), F.lead("first").over(across).alias("_row_after"))
     within = W.partitionBy("_part").orderBy(*keys, order)
-    rows = rows.withColumns({"_prev": F.lag(row).over(within), "_next": F.lead(row).over(within)}).join(F.broadcast(beside), "_part")
+    rows = rows.withColumns({"_row_prev": F.lag(row).over(within), "_row_next": F.lead(row).over(within)}).join(F.broadcast(beside), "_part")
 
     def pick(name: str, step: int) -> Column:
-        other = F.coalesce("_prev", "_before") if step < 0 else F.coalesce("_next", "_after")
+        other = F.coalesce("_row_prev", "_row_before") if step < 0 else F.coalesce("_row_next", "_row_after")
         same = F.lit(True)
         for k in keys:
             same = same & other[k].eqNullSafe(F.col(k))

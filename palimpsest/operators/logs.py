@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .intervals import running
+from .reads import serve
+
 CHUNK = 4 << 20
 
 
@@ -36,6 +39,48 @@ def append_offsets(writes: DataFrame) -> DataFrame:
     return writes.withColumn("log_pos", F.coalesce(F.sum("length").over(before), F.lit(0)))
 
 
+def write_records(writes: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``seq, gfid, svr_rank, app_id, cli_id, file_pos, length, log_pos, n_chunks`` of
+    ``writes``: each gets whole chunks of its client's log behind those of the writes
+    before it, and its index entry names the first."""
+    counted = writes.withColumn("n_chunks", chunk_count(F.col("length"), chunk))
+    placed = running(counted, ["svr_rank", "app_id", "cli_id"], "seq", "upto", F.col("n_chunks"), F.sum)
+    log_pos = (F.col("upto") - F.col("n_chunks")) * chunk
+    return placed.select("seq", "gfid", "svr_rank", "app_id", "cli_id", "file_pos", "length", log_pos.alias("log_pos"), "n_chunks")
+
+
+HOLDER = ["svr_rank", "app_id", "cli_id"]
+
+
+def stored(pieces: DataFrame, memory: int) -> DataFrame:
+    """Pieces ``svr_rank, app_id, cli_id, log_start, payload`` of logs as they are kept:
+    ``store`` is 0 for the first ``memory`` bytes of a log and 1 for its spill file,
+    ``at`` the place in it. A piece over the seam becomes two."""
+    split = memory_spill(F.col("log_start"), F.octet_length("payload").cast("long"), memory)
+    pieces = pieces.withColumn("s", split)
+    part = lambda store, at, start, n: F.struct(F.lit(store).alias("store"), at.cast("long").alias("at"), F.substring("payload", start, n.cast("int")).alias("payload"), n.alias("n"))
+    both = F.array(part(0, F.col("log_start"), F.lit(1), F.col("s.mem")), part(1, F.col("s.spill_off"), (F.col("s.mem") + 1).cast("int"), F.col("s.spill")))
+    return pieces.select(*HOLDER, F.explode(F.filter(both, lambda p: p["n"] > 0)).alias("p")).select(*HOLDER, "p.store", "p.at", "p.payload")
+
+
+def fetched(kept: DataFrame, ranges: DataFrame, memory: int) -> DataFrame:
+    """Ranges ``req_id, svr_rank, app_id, cli_id, log_offset, length`` with ``data``, read
+    from what ``stored`` keeps; a range over the seam is put together from both
+    sides. Null where a byte is in neither."""
+    split = memory_spill(F.col("log_offset"), F.col("length"), memory)
+    ranges = ranges.where("length > 0").withColumn("s", split)
+    part = lambda store, at, n: F.struct(F.lit(store).alias("store"), at.alias("at"), n.alias("n"))
+    both = F.array(part(0, F.col("log_offset"), F.col("s.mem")), part(1, F.col("s.spill_off"), F.col("s.spill")))
+    asked = ranges.select("req_id", *HOLDER, F.explode(F.filter(both, lambda p: p["n"] > 0)).alias("p"))
+    # Either store is a log of its own to the reader.
+    own = lambda store: F.concat_ws("/", F.col("cli_id"), store).alias("cli_id")
+    asked = asked.select("req_id", "svr_rank", "app_id", own(F.col("p.store")), F.col("p.store").alias("store"), F.col("p.at").alias("log_offset"), F.col("p.n").alias("length"))
+    got = serve(asked, kept.select("svr_rank", "app_id", own(F.col("store")), F.col("at").alias("log_start"), "payload"))
+    whole = got.groupBy("req_id").agg(F.sort_array(F.collect_list(F.struct("store", "data"))).alias("p"), F.bool_and(F.col("data").isNotNull()).alias("full"))
+    data = F.when(F.col("full"), F.aggregate("p", F.lit(b""), lambda acc, x: F.concat(acc, x["data"])))
+    return ranges.drop("s").join(whole.select("req_id", data.alias("data")), "req_id", "left")
+
+
 def log_sizes(logs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Bytes, chunks, and the parts in memory and spilled of each client's log,
     from ``logs(svr_rank, app_id, cli_id, log_pos, length)``."""

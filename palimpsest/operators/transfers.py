@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import materialize
+from .intervals import running, with_neighbours
+from .reads import readable
+
 # Operations of a batch, the phase in which each runs, and sizes.
 PHASES = {"READ": 1, "WRITE": 2, "ZERO": 2, "TRUNC": 3, "SYNC_META": 4, "SYNC_DATA": 4}
 COPY_CHUNK = 8 << 20
@@ -29,6 +33,56 @@ def phases(requests: DataFrame) -> DataFrame:
     return known.withColumn("rc", F.when(bad, "EINVAL").otherwise("OK")).withColumn("turn", turn)
 
 
+def batch_sizes(requests: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``gfid, batch, before, after``: the size of each file of ``sizes(gfid, size)``
+    before and after each batch of ``requests``, which have passed ``phases`` and run
+    in order of ``batch``. Writes grow a file, and then the last truncation of the
+    batch sets its size. A truncation starts a stretch of batches, in which the size
+    is a running maximum."""
+    end = F.max(F.when(F.col("op").isin("WRITE", "ZERO") & (F.col("nbytes") > 0), F.col("offset") + F.col("nbytes")))
+    cut = F.max_by("offset", F.when(F.col("op") == "TRUNC", F.col("pos")))
+    steps = requests.where("turn is not null").groupBy("gfid", "batch").agg(end.alias("end"), cut.alias("cut")).join(sizes.select("gfid", "size"), "gfid")
+    steps = running(steps, ["gfid"], "batch", "since", F.when(F.col("cut").isNotNull(), F.col("batch")), F.max)
+    steps = running(steps, ["gfid", "since"], "batch", "most", F.coalesce("cut", "end"), F.max)
+    after = F.when(F.col("since").isNotNull(), F.col("most")).otherwise(F.greatest("size", "most"))
+    steps = with_neighbours(steps.withColumn("after", after), ["gfid"], "batch", {"before": (F.col("after"), -1)})
+    return steps.select("gfid", "batch", F.coalesce("before", "size").alias("before"), "after")
+
+
+def dispatch(requests: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``requests`` with ``rc`` and ``count`` after their batches have run on the files
+    of ``sizes(gfid, size)``: a read returns what stands before the end that the file
+    has before its batch, a write or zeroing its bytes, others 0; a file that is not
+    there is EINVAL, as is each request of a batch with an unknown operation. Of a
+    batch's SYNC_DATA requests only the first does anything (``acts``)."""
+    known = phases(requests)
+    table = materialize(batch_sizes(known, sizes).select("gfid", "batch", "before"))
+    joined = known.join(sizes.select("gfid", F.lit(True).alias("there")), "gfid", "left").join(table, ["gfid", "batch"], "left")
+    lost = F.col("there").isNull() & F.col("turn").isNotNull() & (F.col("op") != "SYNC_DATA")
+    rc = F.when(lost, "EINVAL").otherwise(F.col("rc"))
+    did = F.when(F.col("turn").isNull() | lost, 0).when(F.col("op") == "READ", readable(F.col("offset"), F.col("nbytes"), F.col("before")))
+    did = did.when(F.col("op").isin("WRITE", "ZERO"), F.col("nbytes")).otherwise(0).cast("long")
+    first = F.min(F.when((F.col("op") == "SYNC_DATA") & F.col("turn").isNotNull(), F.col("pos"))).over(W.partitionBy("batch"))
+    acts = F.col("turn").isNotNull() & ~lost & ((F.col("op") != "SYNC_DATA") | (F.col("pos") == first))
+    return joined.withColumn("acts", acts).select("batch", "pos", "op", "gfid", "phase", "turn", rc.alias("rc"), did.alias("count"), "acts")
+
+
+def batch_writes(requests: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``seq, gfid, file_pos, length, zero`` of what the batches write, less what a
+    later truncation cuts off, so that an overlay of them is the files' content;
+    ``zero`` tells those that write zeros. A batch's truncations come after its
+    writes, so a write is cut at the least size set in its batch or later."""
+    good = phases(requests).where("turn is not null").join(sizes.select("gfid"), "gfid", "left_semi")
+    steps = good.groupBy("gfid", "batch").agg(F.min(F.when(F.col("op") == "TRUNC", F.col("offset"))).alias("cut"))
+    steps = running(steps.withColumn("back", -F.col("batch")), ["gfid"], "back", "limit", F.col("cut"), F.min)
+    steps = materialize(steps.select("gfid", "batch", "limit"))
+    per_batch = 1 << 20  # requests of a batch are fewer
+    writes = good.where("op in ('WRITE', 'ZERO')").join(steps, ["gfid", "batch"])
+    length = F.greatest(F.lit(0), F.least("nbytes", F.coalesce(F.col("limit") - F.col("offset"), F.col("nbytes"))))
+    seq = F.col("batch") * per_batch + F.col("turn")
+    return writes.select(seq.alias("seq"), "gfid", F.col("offset").alias("file_pos"), length.cast("long").alias("length"), (F.col("op") == "ZERO").alias("zero"))
+
+
 def sync_epochs(ops: DataFrame) -> DataFrame:
     """Operations ``seq, cli_id, gfid, op`` with ``epoch``: the ``seq`` of the sync
     that makes each write of a client to a file visible, null while it is not."""
@@ -130,6 +184,24 @@ def manifest(lines: DataFrame) -> DataFrame:
     return used.withColumn("words", words).select("line_no", pick(0).alias("src"), pick(1).alias("dst"), F.when(good, "OK").otherwise("EINVAL").alias("rc"))
 
 
+def stage(lines: DataFrame, files: DataFrame, copies: DataFrame, times: DataFrame, ranks: int, block: int = STAGE_BLOCK) -> DataFrame:
+    """What staging a manifest does, a row for each of its lines: ``rc`` (EINVAL for a
+    bad line, ENOENT for a source that is not in ``files(path, data)``, EIO for one
+    whose copy in ``copies(path, data)`` has other bytes, else OK), bytes and ranks
+    that copied, and ``seconds``, those of the slowest rank in ``times(path, rank,
+    seconds)``."""
+    asked = manifest(lines)
+    known = files.select(F.col("path").alias("src"), F.octet_length("data").cast("long").alias("size"), F.md5("data").alias("md5"))
+    made = copies.select(F.col("path").alias("dst"), F.md5("data").alias("copied"))
+    joined = materialize(asked.join(known, "src", "left").join(made, "dst", "left"))
+    parts = stage_parts(joined.where("size is not null").select(F.col("line_no").alias("gfid"), "size"), ranks, block)
+    parts = parts.join(joined.select(F.col("line_no").alias("gfid"), F.col("src").alias("path")), "gfid").join(times, ["path", "rank"], "left")
+    done = parts.groupBy(F.col("gfid").alias("line_no")).agg(F.sum("n_bytes").alias("n_bytes"), F.count("*").alias("n_ranks"), F.max("seconds").alias("seconds"))
+    rc = F.when(F.col("rc") != "OK", F.col("rc")).when(F.col("size").isNull(), "ENOENT").when(~F.col("md5").eqNullSafe(F.col("copied")), "EIO").otherwise("OK")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return joined.withColumn("rc", rc).join(done, "line_no", "left").select("line_no", "src", "dst", "rc", zero("n_bytes"), zero("n_ranks"), "seconds")
+
+
 def verify(source: DataFrame, copy: DataFrame) -> DataFrame:
     """Whether ``source(gfid, data)`` and ``copy`` have the same MD5, by file."""
     left = source.select("gfid", F.md5("data").alias("src_md5"))

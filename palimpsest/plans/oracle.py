@@ -56,6 +56,15 @@ OPS = """ops AS (
 DOC_READS = """docs AS (SELECT doc_id AS gfid, strlen(text) AS n, encode(text) AS data, doc_id % 90 + 50 AS o, doc_id % 400 + 200 AS l FROM documents)"""
 
 
+BATCHES = """r AS (
+  SELECT event_id // 8 AS batch, event_id % 8 AS pos, (event_id * 13 % 12)::INT AS gfid, event_id * 7919 % 4000 AS "offset", event_id * 104729 % 600 AS nbytes,
+    ['READ', 'WRITE', 'ZERO', 'READ', 'SYNC_META', 'WRITE', 'SYNC_DATA', 'NOP', 'WRITE', 'READ', 'BAD', 'TRUNC'][1 + CASE WHEN event_id % 97 = 0 THEN 10 WHEN event_id % 23 = 0 THEN 11 ELSE event_id * 31 % 10 END] AS op FROM events),
+h AS (SELECT *, CASE op WHEN 'READ' THEN 1 WHEN 'WRITE' THEN 2 WHEN 'ZERO' THEN 2 WHEN 'TRUNC' THEN 3 WHEN 'SYNC_META' THEN 4 WHEN 'SYNC_DATA' THEN 4 END AS phase,
+  count(*) FILTER (op = 'BAD') OVER (PARTITION BY batch) > 0 AS bad FROM r),
+p AS (SELECT *, (CASE WHEN phase IS NOT NULL AND NOT bad THEN row_number() OVER (PARTITION BY batch ORDER BY phase NULLS LAST, pos) END)::INT AS turn FROM h),
+good AS (SELECT * FROM p WHERE turn IS NOT NULL), f AS (SELECT range::INT AS gfid, range * 100 AS size FROM range(10))"""
+
+
 def _fold(field: str, kinds: str) -> str:
     return f"max_by({field}, CASE WHEN op IN ({kinds}) AND {field} IS NOT NULL THEN seq END) AS {field}"
 
@@ -76,11 +85,15 @@ QUALIFY row_number() OVER (PARTITION BY req_id ORDER BY start) = 1""",
     "extent_truncate": f"""WITH {EXTENTS}, sizes AS (SELECT range::INT AS gfid, range * 1000 AS size FROM range(5))
 SELECT e.gfid, start, CASE WHEN size IS NULL THEN "end" ELSE least("end", size - 1) END AS "end", cli_id, log_pos
 FROM extents e LEFT JOIN sizes USING (gfid) WHERE size IS NULL OR start < size""",
-    "extent_remove_range": f"""WITH {EXTENTS}, cut AS (SELECT range::INT AS gfid, range * 500 + 33 AS lo, range * 500 + 777 AS hi FROM range(7)),
-j AS (SELECT e.*, lo, hi FROM extents e LEFT JOIN cut USING (gfid))
-SELECT gfid, start, "end", cli_id, log_pos FROM j WHERE lo IS NULL OR "end" < lo OR start > hi
-UNION ALL SELECT gfid, start, lo - 1, cli_id, log_pos FROM j WHERE start < lo AND "end" >= lo
-UNION ALL SELECT gfid, hi + 1, "end", cli_id, log_pos + hi + 1 - start FROM j WHERE start <= hi AND "end" > hi""",
+    "extent_remove_range": f"""WITH {EXTENTS}, cut AS (SELECT (range % 7)::INT AS gfid, range * 300 + 33 AS lo, range * 300 + 777 - range % 3 * 500 AS hi FROM range(21)),
+pts AS (SELECT gfid, start AS p FROM extents UNION SELECT gfid, "end" + 1 FROM extents UNION SELECT gfid, lo FROM cut UNION SELECT gfid, hi + 1 FROM cut),
+cuts AS (SELECT gfid, p AS a, lead(p) OVER (PARTITION BY gfid ORDER BY p) - 1 AS b FROM pts),
+left_over AS (
+  SELECT s.gfid, s.a, s.b, e.start AS ext, e.cli_id, e.log_pos + s.a - e.start AS log_pos
+  FROM cuts s JOIN extents e ON e.gfid = s.gfid AND e.start <= s.a AND s.b <= e."end"
+  WHERE s.b IS NOT NULL AND NOT EXISTS (SELECT 1 FROM cut c WHERE c.gfid = s.gfid AND c.lo <= s.a AND s.b <= c.hi)),
+{runs("rest", ["ext"], ["cli_id"]).replace("FROM pieces", "FROM left_over")}
+SELECT gfid, start, "end", cli_id, log_pos FROM rest""",
     "extent_stats": f"""WITH {EXTENTS} SELECT gfid, count(*) AS n_extents, sum("end" - start + 1)::BIGINT AS n_bytes, max("end") AS max_offset
 FROM extents GROUP BY gfid""",
     "extent_in_order": f'WITH {EXTENTS} SELECT gfid, start, "end", lead(start) OVER (PARTITION BY gfid ORDER BY start) AS next_start FROM extents',
@@ -89,9 +102,7 @@ FROM extents GROUP BY gfid""",
 SELECT req_id, (CASE WHEN e1 < s2 THEN -1 WHEN s1 > e2 THEN 1 ELSE 0 END)::INT AS "order",
   CASE WHEN s1 <= e2 AND s2 <= e1 THEN CASE WHEN s1 < s2 THEN s1 WHEN e1 > e2 THEN e2 + 1 END END AS free_start,
   CASE WHEN s1 <= e2 AND s2 <= e1 THEN CASE WHEN s1 < s2 THEN s2 - 1 WHEN e1 > e2 THEN e1 END END AS free_end FROM r""",
-    "extent_index_flatten": f"""WITH {LOG}, pend AS (SELECT * FROM write_log WHERE seq % 3 = 0),
-{PIECES.format(log="pend")},\n{runs("runs", ["svr_rank", "cli_id"], ["cli_id"])}
-SELECT gfid, start AS file_pos, log_pos, "end" - start + 1 AS length FROM runs""",
+    "extent_index_flatten": f"""WITH {EXTENTS} SELECT gfid, start AS file_pos, log_pos, "end" - start + 1 AS length FROM extents""",
     "slice_counts": f"""WITH {LOG} SELECT gfid, sum((file_pos + length - 1) // 1024 - file_pos // 1024 + 1)::BIGINT AS n_slices, count(*) AS n_writes
 FROM write_log GROUP BY gfid""",
     "chunk_plan": f"WITH {READS} SELECT * FROM chunks",
@@ -127,8 +138,9 @@ SELECT gfid AS req_id, f AS "offset", t - f AS read_rc, md5(unhex(substr(h, (2 *
     "attr_fold": f"""WITH {OPS} SELECT gfid, {_fold("mode", "'CREATE', 'CHMOD', 'LAMINATE'")},
   {_fold("size", "'CREATE', 'DATA', 'TRUNCATE', 'LAMINATE'")}, {_fold("mtime", "'CREATE', 'UTIME', 'DATA', 'TRUNCATE', 'LAMINATE'")},
   {_fold("uid", "'CREATE', 'CHOWN'")} FROM ops GROUP BY gfid""",
-    "meta_dispatch": f"""WITH {OPS} SELECT op, CASE WHEN (op = 'CREATE') = (gfid < 6) THEN CASE WHEN op = 'CREATE' THEN 'EEXIST' ELSE 'ENOENT' END ELSE 'OK' END AS rc,
-  count(*) AS n FROM ops GROUP BY ALL""",
+    "meta_dispatch": f"""WITH {OPS}, t AS (
+  SELECT op, gfid < 6 OR coalesce(max(op = 'CREATE') OVER (PARTITION BY gfid ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS there FROM ops)
+SELECT op, CASE WHEN op = 'CREATE' THEN CASE WHEN there THEN 'EEXIST' ELSE 'OK' END WHEN there THEN 'OK' ELSE 'ENOENT' END AS rc, count(*) AS n FROM t GROUP BY ALL""",
     "meta_lookup": f"""WITH {FILES}, r AS (SELECT page_id AS req_id, gfid + CASE WHEN page_id % 4 = 0 THEN 1 ELSE 0 END AS gfid FROM files)
 SELECT req_id, CASE WHEN f.gfid IS NULL THEN 'ENOENT' ELSE 'OK' END AS rc, f.size FROM r LEFT JOIN files f ON f.gfid = r.gfid""",
     "meta_source": f"""WITH {FILES} SELECT page_id, CASE WHEN gfid % 4 = 1 THEN 'owner' WHEN is_laminated THEN 'laminated'
@@ -152,13 +164,14 @@ QUALIFY row_number() OVER (PARTITION BY filename ORDER BY gfid) = 1""",
 SELECT '/work/' || range AS path, '/work/' || range NOT IN (SELECT p FROM f) AS is_empty FROM range(30)""",
     "unlink_live_files": f"WITH {EXTENTS} SELECT gfid, count(*) AS n_extents FROM extents WHERE gfid % 4 <> 0 GROUP BY 1",
     "unlink_callbacks": f"WITH {EXTENTS} SELECT DISTINCT gfid, svr_rank, 1 AS app_id, cli_id FROM extents WHERE gfid % 4 = 0",
-    "rename_files": f"""WITH {FILES} SELECT gfid, '/f' || CASE WHEN page_id % 10 = 0 THEN page_id + 1 ELSE page_id END AS filename
-FROM files WHERE page_id % 10 <> 1""",
+    "rename_files": f"""WITH {FILES} SELECT gfid, '/f' || CASE page_id % 10 WHEN 0 THEN page_id + 2 WHEN 5 THEN page_id + 1 WHEN 6 THEN CASE WHEN page_id - 1 IN (SELECT page_id FROM pages) THEN page_id - 1 ELSE page_id END ELSE page_id END AS filename
+FROM files WHERE NOT (page_id % 10 IN (1, 2) AND page_id // 10 * 10 IN (SELECT page_id FROM pages))""",
     "pending_sync_batch": f"""WITH {LOG} SELECT gfid, count(*) AS n_syncs, sum(length % 9 + 1)::BIGINT AS n_extents, min(seq) AS first_seq, max(seq) AS last_seq,
   count(DISTINCT cli_id) AS n_clients, ((sum(length % 9 + 1) + 499) // 500)::BIGINT AS n_messages FROM write_log GROUP BY gfid""",
     "metaget_dedup": f"""WITH {REQUESTS} SELECT req_id AS seq, gfid, min(req_id) OVER (PARTITION BY gfid) AS leader,
   req_id = min(req_id) OVER (PARTITION BY gfid) AS sent FROM reqs""",
-    "reverse_lookup": f"WITH {FILES} SELECT gfid, page_id AS fid FROM files",
+    "reverse_lookup": f"""WITH {FILES}, q AS (SELECT page_id AS req_id, gfid + CASE WHEN page_id % 4 = 0 THEN 1 ELSE 0 END AS gfid FROM files)
+SELECT q.req_id, q.gfid, f.page_id AS fid, f.filename FROM q LEFT JOIN files f USING (gfid)""",
     "log_offsets": f"WITH {LOG} SELECT seq, cli_id, log_pos FROM write_log",
     "log_sizes": f"""WITH {LOG} SELECT svr_rank, app_id, cli_id, sum(length)::BIGINT AS n_bytes, max(log_pos + length) AS "end",
   ((max(log_pos + length) + 4095) // 4096)::BIGINT AS n_chunks FROM write_log GROUP BY ALL""",
@@ -180,7 +193,7 @@ SELECT batch, pos, op, phase::INT AS phase, CASE WHEN bad THEN 'EINVAL' ELSE 'OK
 FROM events GROUP BY 1""",
     "transfer_validate": """SELECT page_id, CASE WHEN (page_id % 2 = 0) = (page_id % 3 = 0) THEN 'EINVAL' WHEN page_id % 3 = 0 THEN 'ENOSYS' ELSE 'OK' END AS rc FROM pages""",
     "transfer_plan": f"""WITH {EXTENTS} SELECT gfid, svr_rank, count(*) AS n_extents, sum("end" - start + 1)::BIGINT AS n_bytes, max("end") AS last
-FROM extents WHERE gfid % 2 = 0 GROUP BY ALL""",
+FROM extents GROUP BY ALL""",
     "transfer_batches": f"""WITH RECURSIVE {EXTENTS}, e AS (
   SELECT gfid, svr_rank, start, "end", row_number() OVER (PARTITION BY gfid, svr_rank ORDER BY start) AS i FROM extents),
 f AS (
@@ -254,8 +267,9 @@ FROM write_log a JOIN write_log b ON a.gfid = b.gfid AND a.seq < b.seq AND a.fil
 SELECT batch, pos, op, gfid, (CASE WHEN op = 'NOP' OR gfid >= 10 THEN NULL WHEN op = 'WRITE' THEN n ELSE greatest(0, least(n, gfid * 1000 - o)) END)::BIGINT AS ret,
   (CASE WHEN op <> 'NOP' THEN CASE WHEN gfid < 10 THEN 0 ELSE 22 END END)::INT AS err FROM r""",
     "path_exists": """WITH f AS (SELECT '/work/' || (user_id % 20) || '/' || event_id AS p FROM events),
-q AS (SELECT range AS req_id, CASE WHEN range % 2 = 0 THEN '/work/' || range ELSE '/work/' || (range % 20) || '/' || range END AS path FROM range(40))
-SELECT req_id, path, CASE WHEN EXISTS (SELECT 1 FROM f WHERE p = path OR starts_with(p, path || '/')) THEN 'OK' ELSE 'ENOENT' END AS rc FROM q""",
+q AS (SELECT event_id AS req_id, CASE WHEN event_id % 2 = 0 THEN '/work/' || (event_id % 40) ELSE '/work/' || (event_id % 20) || '/' || event_id END AS path FROM events),
+known AS (SELECT p FROM f UNION SELECT regexp_extract(p, '^(.*)/[^/]*$', 1) FROM f)
+SELECT req_id, path, CASE WHEN path IN (SELECT p FROM known) THEN 'OK' ELSE 'ENOENT' END AS rc FROM q""",
     "directory_changes": """WITH o AS (SELECT event_id AS seq, CASE WHEN event_id * 7 % 5 < 3 THEN 'MKDIR' ELSE 'RMDIR' END AS op, user_id % 40 AS n FROM events),
 p AS (SELECT *, n < 12 AND n % 3 = 0 AS filled, lag(op) OVER (PARTITION BY n ORDER BY seq) AS before FROM o),
 t AS (SELECT *, filled OR coalesce(before = 'MKDIR', n < 12) AS there FROM p)
@@ -265,7 +279,7 @@ e AS (SELECT gfid, start, "end" FROM extents WHERE gfid < 12 UNION ALL SELECT gf
 g AS (SELECT gfid, "end" + 1 AS start, lead(start) OVER (PARTITION BY gfid ORDER BY start) AS nxt FROM e)
 SELECT g.gfid, start::BIGINT AS start, (least(coalesce(nxt, size), size) - 1)::BIGINT AS "end" FROM g JOIN k USING (gfid) WHERE start < least(coalesce(nxt, size), size)""",
     "node_local_chunks": f"""WITH {EXTENTS} SELECT gfid::BIGINT AS req_id, start AS "offset", "end" - start + 1 AS length, log_pos AS log_offset, svr_rank, cli_id
-FROM extents WHERE gfid % 3 = 0""",
+FROM extents""",
     "file_system_row": """SELECT 16914836::BIGINT AS f_type, 4194304::BIGINT AS f_bsize, 128::BIGINT AS f_files, count(*) AS f_used, 1024::BIGINT AS f_namelen FROM pages""",
     "formatted_scan": """WITH p AS (SELECT p_partkey, p_partkey % 4 AS k, p_partkey AS n FROM part)
 SELECT p_partkey, CASE k WHEN 0 THEN n WHEN 1 THEN -n WHEN 3 THEN n END AS whole, CASE k WHEN 0 THEN n % 90 * 10 + 5 WHEN 3 THEN 70 END AS tenths,
@@ -285,6 +299,107 @@ SELECT gfid, sum((c + 78) // 79)::BIGINT AS n_pieces, max(line_no)::BIGINT AS la
     'unlink', 'rename', 'creat', 'truncate', 'symlink', 'readlink', 'link to one file', 'link to a file per process', 'fcntl locking'] AS a),
 n AS (SELECT generate_subscripts(a, 1) - 1 AS i, unnest(a) AS op FROM k)
 SELECT r.range * 84 + n.i * 4 + c.range AS seq, c.range::INT AS rank, op, '/simul_' || replace(op, ' ', '_') || '.' || c.range AS path FROM n, range(3) r, range(4) c""",
+    "conflict_kinds": f"""WITH {LOG}, a AS (
+  SELECT seq, gfid, cli_id, CASE WHEN seq % 9 = 0 THEN 'SYNC' WHEN seq % 2 = 0 THEN 'READ' ELSE 'WRITE' END AS op, file_pos AS f, file_pos + length - 1 AS t FROM write_log),
+s AS (SELECT *, min(CASE WHEN op = 'SYNC' THEN seq END) OVER (PARTITION BY gfid, cli_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS sync FROM a)
+SELECT x.gfid, y.op[1] || 'A' || x.op[1] AS kind, coalesce(x.sync < y.seq, false) AS synced, count(*) AS n_pairs
+FROM s x JOIN s y ON x.gfid = y.gfid AND x.seq < y.seq AND x.cli_id <> y.cli_id AND x.f <= y.t AND y.f <= x.t
+WHERE x.op <> 'SYNC' AND y.op <> 'SYNC' AND 'WRITE' IN (x.op, y.op) GROUP BY ALL""",
+    "directory_reads": """WITH RECURSIVE o AS (
+  SELECT user_id % 40 AS dir, event_id AS seq, event_id * 17 % 25 AS n, row_number() OVER (PARTITION BY user_id % 40 ORDER BY event_id) AS i,
+    CASE WHEN event_id % 13 = 0 THEN 'REWIND' WHEN event_id % 11 = 0 THEN 'SEEK' WHEN event_id % 5 = 0 THEN 'TELL' ELSE 'READ' END AS op FROM events),
+e AS (SELECT dir, name, row_number() OVER (PARTITION BY dir ORDER BY name) - 1 AS rank, count(*) OVER (PARTITION BY dir) AS most
+  FROM (SELECT DISTINCT page_id % 39 AS dir, url AS name FROM pages)),
+c AS (SELECT dir, max(most) AS most FROM e GROUP BY 1),
+st AS (
+  SELECT dir, i, 0::BIGINT AS at FROM o WHERE i = 1
+  UNION ALL SELECT o.dir, o.i + 1, CASE o.op WHEN 'REWIND' THEN 0 WHEN 'SEEK' THEN o.n WHEN 'READ' THEN st.at + CASE WHEN st.at < coalesce(c.most, 0) THEN 1 ELSE 0 END ELSE st.at END
+  FROM st JOIN o ON o.dir = st.dir AND o.i = st.i LEFT JOIN c ON c.dir = o.dir)
+SELECT o.dir, o.seq, o.op, CASE WHEN o.op IN ('READ', 'TELL') THEN st.at END AS pos, CASE WHEN o.op = 'READ' THEN e.name END AS name
+FROM o JOIN st ON st.dir = o.dir AND st.i = o.i LEFT JOIN e ON e.dir = o.dir AND e.rank = st.at""",
+    "scan_conversions": """WITH p AS (SELECT p_partkey AS n, p_partkey % 3 AS k, '0x' || printf('%x', p_partkey) AS h, '0' || printf('%o', p_partkey) AS o FROM part)
+SELECT n AS p_partkey, CASE k WHEN 0 THEN h ELSE n::VARCHAR END AS whole, CASE k WHEN 0 THEN o WHEN 1 THEN '017' END AS octal,
+  CASE k WHEN 0 THEN (length(h) + 2 + length(o))::VARCHAR WHEN 1 THEN (length(n::VARCHAR) + 4)::VARCHAR END AS upto, CASE k WHEN 0 THEN 'e' WHEN 1 THEN 'z' END AS letter FROM p""",
+    "dispatch_results": f"""WITH {BATCHES}, t AS (SELECT gfid, batch, max_by("offset", pos) AS cut FROM good WHERE op = 'TRUNC' GROUP BY ALL),
+w AS (SELECT gfid, batch, max("offset" + nbytes) AS upto FROM good WHERE op IN ('WRITE', 'ZERO') AND nbytes > 0 GROUP BY ALL),
+b AS (SELECT DISTINCT gfid, batch FROM good), k AS (SELECT b.gfid, b.batch, max(t.batch) AS since FROM b LEFT JOIN t ON t.gfid = b.gfid AND t.batch < b.batch GROUP BY ALL),
+z AS (
+  SELECT k.gfid, k.batch, greatest(coalesce(any_value(t.cut), any_value(f.size)), coalesce(max(w.upto), 0)) AS before
+  FROM k JOIN f USING (gfid) LEFT JOIN t ON t.gfid = k.gfid AND t.batch = k.since
+  LEFT JOIN w ON w.gfid = k.gfid AND w.batch < k.batch AND w.batch > coalesce(k.since, -1) GROUP BY ALL)
+SELECT p.batch, p.pos, p.op, p.gfid, p.phase::INT AS phase, p.turn,
+  CASE WHEN p.bad OR (p.turn IS NOT NULL AND p.gfid >= 10 AND p.op <> 'SYNC_DATA') THEN 'EINVAL' ELSE 'OK' END AS rc,
+  (CASE WHEN p.turn IS NULL OR p.gfid >= 10 THEN 0 WHEN p.op = 'READ' THEN greatest(0, least(p.nbytes, z.before - p."offset")) WHEN p.op IN ('WRITE', 'ZERO') THEN p.nbytes ELSE 0 END)::BIGINT AS count,
+  p.turn IS NOT NULL AND CASE WHEN p.op = 'SYNC_DATA' THEN row_number() OVER (PARTITION BY p.batch, p.op ORDER BY p.pos) = 1 ELSE p.gfid < 10 END AS acts
+FROM p LEFT JOIN z ON z.gfid = p.gfid AND z.batch = p.batch""",
+    "dispatch_effects": f"""WITH {BATCHES}, w AS (
+  SELECT batch * 1048576 + turn AS seq, batch, gfid, "offset" AS f, "offset" + nbytes - 1 AS t, op = 'ZERO' AS zero FROM good WHERE op IN ('WRITE', 'ZERO') AND nbytes > 0 AND gfid < 10),
+c AS (SELECT gfid, batch, "offset" AS cut FROM good WHERE op = 'TRUNC'),
+pts AS (SELECT gfid, f AS p FROM w UNION SELECT gfid, t + 1 FROM w UNION SELECT gfid, cut FROM c),
+cuts AS (SELECT gfid, p AS a, lead(p) OVER (PARTITION BY gfid ORDER BY p) - 1 AS b FROM pts),
+pieces AS (
+  SELECT s.gfid, s.a, s.b, w.seq, w.zero, w.seq * 10000 + s.a - w.f AS log_pos FROM cuts s JOIN w ON w.gfid = s.gfid AND w.f <= s.a AND s.b <= w.t
+  WHERE s.b IS NOT NULL AND NOT EXISTS (SELECT 1 FROM c WHERE c.gfid = w.gfid AND c.batch >= w.batch AND c.cut <= s.a)
+  QUALIFY row_number() OVER (PARTITION BY s.gfid, s.a ORDER BY w.seq DESC) = 1),
+{runs("held", ["seq"], ["seq", "zero"])} SELECT gfid, start, "end", seq, zero FROM held""",
+    "chunk_order": f"""WITH {READS} SELECT req_id, svr_rank, "offset", length, (row_number() OVER (PARTITION BY req_id ORDER BY svr_rank, "offset"))::INT AS place FROM chunks""",
+    "callback_turns": f"""WITH {LOG}, e AS (SELECT DISTINCT seq // 100 AS round, (seq % 3)::INT AS kind, app_id, cli_id % 8 AS cli_id, gfid FROM write_log)
+SELECT *, (row_number() OVER (PARTITION BY round ORDER BY kind, app_id, cli_id, gfid))::INT AS turn FROM e""",
+    "extent_add": f"""WITH {LOG}, both_logs AS (
+  SELECT * REPLACE (CASE WHEN seq % 2 = 0 THEN seq - 1000000000 ELSE seq END AS seq) FROM write_log WHERE seq % 2 = 0 OR (gfid < 8 AND gfid <> 3)),
+{PIECES.format(log="both_logs")},\n{runs("runs", ["svr_rank", "cli_id"], ["svr_rank", "cli_id"])} SELECT gfid, start, "end", svr_rank, cli_id, log_pos FROM runs""",
+    "extent_add_results": f"""WITH {LOG} SELECT gfid, CASE WHEN gfid >= 8 THEN 'ENOENT' WHEN gfid = 3 THEN 'EINVAL' ELSE 'OK' END AS rc, count(*) AS n,
+  CASE WHEN gfid < 8 THEN CASE WHEN gfid = 3 THEN 6000 ELSE greatest(gfid * 2000, max(file_pos + length)) END END::BIGINT AS size FROM write_log GROUP BY gfid""",
+    "file_truncate": f"""WITH {EXTENTS}, s AS (SELECT range::INT AS gfid, range < 8 AND range <> 3 AS good, range * 1000 AS size FROM range(10)),
+e AS (SELECT gfid, count(*) AS n, max(CASE WHEN good THEN least("end", size - 1) ELSE "end" END) AS m FROM extents JOIN s USING (gfid) WHERE NOT good OR start < size GROUP BY 1)
+SELECT s.gfid, CASE WHEN gfid >= 8 THEN 'ENOENT' WHEN gfid = 3 THEN 'EINVAL' ELSE 'OK' END AS rc, CASE WHEN good THEN size WHEN gfid = 3 THEN 9000 END AS size,
+  e.n AS n_extents, e.m AS max_offset FROM s LEFT JOIN e USING (gfid)""",
+    "write_records": f"""WITH {LOG}, c AS (SELECT *, (length + 99) // 100 AS k FROM write_log)
+SELECT seq, gfid, cli_id, file_pos, length, (sum(k) OVER (PARTITION BY cli_id ORDER BY seq) - k)::BIGINT * 100 AS log_pos, k::BIGINT AS n_chunks FROM c""",
+    "log_bytes": """WITH d AS (SELECT doc_id, hex(encode(text)) AS h, strlen(text) AS n, doc_id * 37 % 600 AS s FROM documents)
+SELECT doc_id AS req_id, least(300, n - s)::BIGINT AS n, md5(unhex(substr(h, (2 * s + 1)::BIGINT, (2 * least(300, n - s))::BIGINT))) AS md5 FROM d WHERE n > s""",
+    "stage_run": """WITH p AS (SELECT page_id AS n, page_id % 7 AS k, strlen(html) AS size, (strlen(html) + 63) // 64 AS blocks FROM pages),
+q AS (SELECT *, greatest(8, (blocks + 2) // 3) AS per, CASE WHEN k > 1 AND size IS NOT NULL THEN size END AS got FROM p)
+SELECT n AS line_no, CASE WHEN k > 0 THEN '/in/' || CASE WHEN k = 1 THEN n + 1000000 ELSE n END END AS src, CASE WHEN k > 0 THEN '/out/a ' || n END AS dst,
+  CASE WHEN k = 0 THEN 'EINVAL' WHEN got IS NULL THEN 'ENOENT' WHEN k = 2 THEN 'EIO' ELSE 'OK' END AS rc, coalesce(got, 0)::BIGINT AS n_bytes,
+  CASE WHEN got IS NULL THEN 0 ELSE len(list_filter([0, 1, 2], lambda r: r * per < blocks)) END::BIGINT AS n_ranks,
+  CASE WHEN got IS NOT NULL THEN list_max(list_transform(list_filter([0, 1, 2], lambda r: r * per < blocks), lambda r: (n * 7 + r * 5) % 11)) END::DOUBLE AS seconds FROM q""",
+    "config_more_functions": f"""WITH t AS (SELECT s_suppkey, (s_suppkey % 40 - 3)::DOUBLE / 8 AS x, (s_suppkey % 21 - 10)::DOUBLE / 10 AS u, s_suppkey % 9 AS n, s_suppkey % 4 AS r FROM supplier),
+v AS (SELECT s_suppkey, abs(x) AS f_abs, atan(x) AS f_atan, cos(x) AS f_cos, cosh(x) AS f_cosh, exp(x) AS f_exp, sin(x) AS f_sin, sinh(x) AS f_sinh, tan(x) AS f_tan, tanh(x) AS f_tanh,
+  acos(u) AS f_acos, asin(u) AS f_asin, sqrt(abs(x)) AS f_sqrt, CASE WHEN x = 0 AND u < 0 THEN 'inf'::DOUBLE ELSE pow(abs(x), u) END AS f_pow, exp(1) * x AS f_e, pi() * x AS f_pi,
+  CASE WHEN n < r THEN 'nan'::DOUBLE ELSE coalesce(list_product(list_transform(range(0, r), lambda i: n - i)), 1) END AS f_npr FROM t)
+SELECT s_suppkey, {", ".join(_NUM.format(f"f_{c}") + f" AS f_{c}" for c in ("abs", "atan", "cos", "cosh", "exp", "sin", "sinh", "tan", "tanh", "acos", "asin", "sqrt", "pow", "e", "pi", "npr"))} FROM v""",
+    "config_expressions": """WITH v AS (SELECT p_partkey AS n, (CASE p_partkey % 10 WHEN 0 THEN p_partkey + 6 WHEN 1 THEN p_partkey * p_partkey WHEN 2 THEN 64 - p_partkey WHEN 3 THEN p_partkey * 4
+    WHEN 4 THEN 8 + p_partkey WHEN 5 THEN 4 * p_partkey WHEN 6 THEN p_partkey % 7 / 2 WHEN 7 THEN 1024 * (p_partkey - 1) WHEN 9 THEN 16 - p_partkey END)::DOUBLE AS value FROM part)
+SELECT n AS p_partkey, value, trunc(value)::BIGINT AS whole FROM v""",
+    "config_floats": """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_partkey + 0.25 WHEN 1 THEN (p_partkey || 'e-1')::DOUBLE WHEN 2 THEN p_partkey / 4 END::DOUBLE AS value,
+  CASE p_partkey % 4 WHEN 0 THEN p_partkey WHEN 1 THEN -p_partkey WHEN 2 THEN p_partkey END AS whole FROM part""",
+    "descriptor_cursors": """WITH RECURSIVE o AS (
+  SELECT user_id AS fd, event_id AS seq, event_id * 7919 % 500 - 40 AS n, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i,
+    ['WRITE', 'READ', 'SEEK_SET', 'APPEND', 'SEEK_CUR', 'PREAD', 'SEEK_END', 'TELL', 'SEEK_DATA', 'SEEK_HOLE', 'PWRITE', 'REWIND', 'TRUNCATE'][1 + event_id * 31 % 13] AS op FROM events),
+st AS (
+  SELECT fd, 0::BIGINT AS i, 0::BIGINT AS ret, 0::BIGINT AS pos, 0::BIGINT AS size FROM o WHERE i = 1
+  UNION ALL SELECT fd, i, ret, CASE
+      WHEN op LIKE 'SEEK%' AND ret >= 0 OR op = 'REWIND' THEN ret WHEN ret < 0 THEN p WHEN op = 'READ' THEN p + ret WHEN op = 'WRITE' THEN p + n WHEN op = 'APPEND' THEN z + n ELSE p END,
+    CASE WHEN ret < 0 THEN z WHEN op = 'TRUNCATE' THEN n WHEN n = 0 THEN z WHEN op = 'WRITE' THEN greatest(z, p + n) WHEN op = 'APPEND' THEN z + n WHEN op = 'PWRITE' THEN greatest(z, n) ELSE z END
+  FROM (SELECT o.fd, o.i, o.op, o.n, st.pos AS p, st.size AS z, CASE
+      WHEN op = 'SEEK_SET' THEN CASE WHEN n < 0 THEN -22 ELSE n END WHEN op = 'SEEK_CUR' THEN CASE WHEN st.pos + n < 0 THEN -22 ELSE st.pos + n END
+      WHEN op = 'SEEK_END' THEN CASE WHEN st.size + n < 0 THEN -22 ELSE st.size + n END
+      WHEN op = 'SEEK_DATA' THEN CASE WHEN n BETWEEN 0 AND st.size THEN n ELSE -6 END WHEN op = 'SEEK_HOLE' THEN CASE WHEN n BETWEEN 0 AND st.size THEN st.size ELSE -6 END
+      WHEN op = 'TELL' THEN st.pos WHEN op = 'REWIND' THEN 0 WHEN n < 0 THEN -22 WHEN op = 'READ' THEN greatest(0, least(n, st.size - st.pos))
+      WHEN op = 'PREAD' THEN least(n, st.size) WHEN op = 'TRUNCATE' THEN 0 ELSE n END AS ret
+    FROM st JOIN o ON o.fd = st.fd AND o.i = st.i + 1))
+SELECT o.fd, o.seq, o.op, o.n, st.ret, st.pos, st.size FROM o JOIN st ON st.fd = o.fd AND st.i = o.i""",
+    "free_ids": """WITH RECURSIVE o AS (
+  SELECT event_id // 300 AS map_id, event_id AS seq, event_id % 3 = 2 AS push, 1 + event_id * 7919 % 17 AS count, CASE WHEN event_id % 3 = 2 THEN event_id - 1 - event_id % 2 END AS ref,
+    row_number() OVER (PARTITION BY event_id // 300 ORDER BY event_id) AS i FROM events),
+st AS (
+  SELECT map_id, 0::BIGINT AS i, list_reverse(range(64)) AS free, []::STRUCT(s BIGINT, id BIGINT)[] AS held, NULL::BIGINT AS start FROM o WHERE i = 1
+  UNION ALL SELECT map_id, i, CASE WHEN id IS NULL THEN free WHEN push THEN list_append(free, id) ELSE free[:-2] END,
+    CASE WHEN id IS NULL THEN held WHEN push THEN list_filter(held, lambda h: h.s <> ref) ELSE list_append(held, {'s': seq, 'id': id}) END, id
+  FROM (SELECT o.map_id, o.i, o.seq, o.push, o.ref, st.free, st.held, CASE WHEN o.push THEN list_filter(st.held, lambda h: h.s = o.ref)[1].id ELSE st.free[-1] END AS id
+    FROM st JOIN o ON o.map_id = st.map_id AND o.i = st.i + 1))
+SELECT o.map_id, o.seq, CASE WHEN o.push THEN 'PUSH' ELSE 'POP' END AS op, o.count, st.start FROM o JOIN st ON st.map_id = o.map_id AND st.i = o.i""",
     "stream_sync": f'WITH {EXTENTS} SELECT gfid, start, "end", svr_rank, 1 AS app_id, cli_id, log_pos FROM extents',
 }
 

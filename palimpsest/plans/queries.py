@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import evaluator as ev
@@ -69,7 +69,8 @@ def extent_truncate(spark: SparkSession, d: str) -> DataFrame:
 @query
 def extent_remove_range(spark: SparkSession, d: str) -> DataFrame:
     table = _extents(spark, d)
-    ranges = spark.range(7).select(F.col("id").cast("int").alias("gfid"), (F.col("id") * 500 + 33).alias("lo"), (F.col("id") * 500 + 777).alias("hi"))
+    n = F.col("id")
+    ranges = spark.range(21).select((n % 7).cast("int").alias("gfid"), (n * 300 + 33).alias("lo"), (n * 300 + 777 - n % 3 * 500).alias("hi"))
     return ex.remove_range(table, ranges).select("gfid", "start", "end", "cli_id", "log_pos")
 
 
@@ -97,7 +98,7 @@ def extent_first_free(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def extent_index_flatten(spark: SparkSession, d: str) -> DataFrame:
-    return ex.flatten_index(src.write_log(spark, d).where("seq % 3 = 0"))
+    return ex.flatten_index(src.write_log(spark, d))
 
 
 @query
@@ -159,7 +160,7 @@ def read_complete(spark: SparkSession, d: str) -> DataFrame:
 
 def _document_reads(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents as files of one client each, with a hole before byte 100, and a
-    read of each that goes over its end."""
+    read of each that goes over its end. Their logs have pieces of many lengths."""
     docs = src.read(spark, d, "documents").select(F.col("doc_id").alias("gfid"), F.octet_length("text").cast("long").alias("n"))
     table = docs.select(
         "gfid", F.lit(100).cast("long").alias("start"), (F.col("n") + 99).alias("end"), (F.col("gfid") % 4).cast("int").alias("svr_rank"),
@@ -172,7 +173,7 @@ def _document_reads(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame,
 @query
 def hole_fill_eof(spark: SparkSession, d: str) -> DataFrame:
     table, asked, sizes = _document_reads(spark, d)
-    served = reads.serve(ex.chunks(table, asked), src.payload(spark, d))
+    served = reads.serve(ex.chunks(table, asked), src.payload(spark, d, uneven=True))
     out = reads.assemble(served, asked, sizes)
     return out.select("req_id", "nread", F.md5("data").alias("md5"))
 
@@ -180,7 +181,7 @@ def hole_fill_eof(spark: SparkSession, d: str) -> DataFrame:
 @query
 def chunk_serve(spark: SparkSession, d: str) -> DataFrame:
     table, asked, _ = _document_reads(spark, d)
-    served = reads.serve(ex.chunks(table, asked), src.payload(spark, d))
+    served = reads.serve(ex.chunks(table, asked), src.payload(spark, d, uneven=True))
     return served.select("req_id", "offset", "read_rc", F.md5("data").alias("md5"))
 
 
@@ -308,9 +309,14 @@ def unlink_callbacks(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def rename_files(spark: SparkSession, d: str) -> DataFrame:
+    """Of ten files the first takes the name of the second and then that of the third,
+    and the fifth and sixth swap names over a free one."""
     files = src.files(spark, d).select("gfid", F.format_string("/f%d", "page_id").alias("filename"))
-    moves = src.read(spark, d, "pages").where("page_id % 10 = 0").select(F.format_string("/f%d", "page_id").alias("src"), F.format_string("/f%d", F.col("page_id") + 1).alias("dst"))
-    return fl.rename(files, moves)
+    n = F.col("page_id")
+    steps = F.when(n % 10 == 0, F.array(F.array(n, n + 1), F.array(n + 1, n + 2))).when(n % 10 == 5, F.array(F.array(n, n + 1_000_000), F.array(n + 1, n), F.array(n + 1_000_000, n + 1)))
+    moves = src.read(spark, d, "pages").select("page_id", F.posexplode(steps).alias("step", "m"))
+    name = lambda i: F.format_string("/f%d", F.get("m", F.lit(i)))
+    return fl.rename(files, moves.select((n * 10 + F.col("step")).alias("seq"), name(0).alias("src"), name(1).alias("dst")))
 
 
 @query
@@ -326,8 +332,11 @@ def metaget_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def reverse_lookup(spark: SparkSession, d: str) -> DataFrame:
-    table = src.files(spark, d).select("page_id", "gfid", "filename")
-    return table.join(table.select("filename", F.col("page_id").alias("fid")), "filename").select("gfid", "fid")
+    """From the ids in requests to the client's numbers of the files, and from those to
+    names; an id that no file has stays without."""
+    table = src.files(spark, d).select("gfid", F.col("page_id").alias("fid"), "filename")
+    asked = table.select(F.col("fid").alias("req_id"), (F.col("gfid") + F.when(F.col("fid") % 4 == 0, 1).otherwise(0)).alias("gfid"))
+    return asked.join(table, "gfid", "left").select("req_id", "gfid", "fid", "filename")
 
 
 # Logs
@@ -419,7 +428,8 @@ def transfer_validate(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def transfer_plan(spark: SparkSession, d: str) -> DataFrame:
-    return tr.server_transfers(_extents(spark, d), spark.range(0, 10, 2).select(F.col("id").cast("int").alias("gfid")))
+    table = _extents(spark, d)
+    return tr.server_transfers(table, table.select("gfid").distinct())
 
 
 @query
@@ -504,12 +514,17 @@ def heartbeat_state(spark: SparkSession, d: str) -> DataFrame:
 # Settings
 
 
+def _number(c):
+    text = F.round(c, 6).cast("decimal(30,6)").cast("string")
+    return F.when(F.isnan(c), "nan").when(c == float("inf"), "inf").when(c == float("-inf"), "-inf").otherwise(text)
+
+
 @query
 def config_functions(spark: SparkSession, d: str) -> DataFrame:
     """Functions of the settings language on whole numbers, as rounded values."""
     x, y = F.col("n").cast("double"), (F.col("n") % 5).cast("double")
     table = src.read(spark, d, "supplier").select((F.col("s_suppkey") % 40 - 3).alias("n"), "s_suppkey")
-    number = lambda c: F.when(F.isnan(c), "nan").when(c == float("inf"), "inf").when(c == float("-inf"), "-inf").otherwise(F.round(c, 6).cast("decimal(30,6)").cast("string"))
+    number = _number
     return table.select(
         "s_suppkey", number(ev.natural_log(x)).alias("ln"), number(ev.log_ten(x)).alias("log"), number(ev.divide(x, y)).alias("quotient"),
         number(ev.remainder(x, y)).alias("remainder"), number(ev.factorial(y)).alias("factorial"), number(ev.combinations(x, y)).alias("ncr"),
@@ -517,6 +532,35 @@ def config_functions(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def config_more_functions(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("s_suppkey")
+    x, unit = (n % 40 - 3).cast("double") / 8, (n % 21 - 10).cast("double") / 10
+    f = ev.FUNCTIONS
+    calls_ = {name: f[name](x) for name in ("abs", "atan", "cos", "cosh", "exp", "sin", "sinh", "tan", "tanh")} | {name: f[name](unit) for name in ("acos", "asin")}
+    calls_ |= {"sqrt": f["sqrt"](F.abs(x)), "pow": f["pow"](F.abs(x), unit), "e": f["e"]() * x, "pi": f["pi"]() * x, "npr": f["npr"](n % 9 * F.lit(1.0), n % 4 * F.lit(1.0))}
+    return src.read(spark, d, "supplier").select("s_suppkey", *[_number(c).alias(f"f_{name}") for name, c in calls_.items()])
+
+
+@query
+def config_expressions(spark: SparkSession, d: str) -> DataFrame:
+    """Arithmetic in settings: signs before powers, powers from the left, commas."""
+    n = F.col("p_partkey")
+    forms = ("%d + 2 * 3", "-%d ^ 2", "2 ^ 3 ^ 2 - %d", "(1, %d) * 4", "pow(2, 3) + %d", "sqrt 16 * %d", "%d %% 7 / 2", "1024 * (%d - 1)", "%d +", "ncr(5, 2) + fac 3 - %d")
+    word = F.lit(None).cast("string")
+    for i, form in enumerate(forms):
+        word = F.when(n % len(forms) == i, F.format_string(form, n)).otherwise(word)
+    return src.read(spark, d, "part").select("p_partkey", ev.expression(word).alias("value"), ev.as_integer(word).alias("whole"))
+
+
+@query
+def config_floats(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("p_partkey")
+    word = F.when(n % 4 == 0, F.format_string("%d.25f", n)).when(n % 4 == 1, F.format_string("%de-1", n)).when(n % 4 == 2, F.format_string("%d / 4", n)).otherwise(F.format_string("%dx", n))
+    whole = F.when(n % 4 == 0, F.format_string("0x%x", n)).when(n % 4 == 1, F.format_string("-0%o", n)).when(n % 4 == 2, F.format_string("%dUL", n)).otherwise(F.lit("none"))
+    return src.read(spark, d, "part").select("p_partkey", ev.as_float(word).alias("value"), ev.as_integer(whole).alias("whole"))
+
+
 @query
 def config_resolve(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("p_partkey")
@@ -595,7 +639,8 @@ def list_io(spark: SparkSession, d: str) -> DataFrame:
 @query
 def path_exists(spark: SparkSession, d: str) -> DataFrame:
     files = src.read(spark, d, "events").select(F.format_string("/work/%d/%d", F.col("user_id") % 20, F.col("event_id")).alias("path"))
-    asked = spark.range(40).select(F.col("id").alias("req_id"), F.when(F.col("id") % 2 == 0, F.format_string("/work/%d", "id")).otherwise(F.format_string("/work/%d/%d", F.col("id") % 20, "id")).alias("path"))
+    n = F.col("event_id")
+    asked = src.read(spark, d, "events").select(n.alias("req_id"), F.when(n % 2 == 0, F.format_string("/work/%d", n % 40)).otherwise(F.format_string("/work/%d/%d", n % 20, n)).alias("path"))
     return calls.exists(asked, files)
 
 
@@ -616,7 +661,7 @@ def file_holes(spark: SparkSession, d: str) -> DataFrame:
 def node_local_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of whole published files."""
     table = _extents(spark, d)
-    whole = ex.stats(table).where("gfid % 3 = 0").select(F.col("gfid").cast("long").alias("req_id"), "gfid", F.lit(0).cast("long").alias("offset"), (F.col("max_offset") + 1).alias("length"))
+    whole = ex.stats(table).select(F.col("gfid").cast("long").alias("req_id"), "gfid", F.lit(0).cast("long").alias("offset"), (F.col("max_offset") + 1).alias("length"))
     return ex.chunks(table, materialize(whole)).select("req_id", "offset", "length", "log_offset", "svr_rank", "cli_id")
 
 
@@ -664,6 +709,153 @@ def small_operations(spark: SparkSession, d: str) -> DataFrame:
     return calls.small_operations(spark, 4, 3, False)
 
 
+@query
+def conflict_kinds(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("seq")
+    op = F.when(n % 9 == 0, "SYNC").when(n % 2 == 0, "READ").otherwise("WRITE")
+    log = src.write_log(spark, d).select("seq", "gfid", "cli_id", op.alias("op"), F.col("file_pos").alias("offset"), "length")
+    return workloads.conflict_kinds(log)
+
+
+@query
+def shared_descriptors(spark: SparkSession, d: str) -> DataFrame:
+    """Calls on three descriptors of each user's file; the second shares the first's cursor."""
+    return _shared(spark, d)
+
+
+def _shared(spark: SparkSession, d: str) -> DataFrame:
+    names = ("WRITE", "READ", "PWRITE", "FREAD", "SEEK", "PREAD", "APPEND", "FEOF", "WRITEV", "UNGETC", "READV", "CLEARERR", "FSYNC", "FAIL", "FERROR", "REWIND")
+    n, turn = F.col("event_id"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    events = src.read(spark, d, "events").select("event_id", "user_id", turn.alias("turn"))
+    first = F.when(F.col("turn") == 1, "OPEN").when(F.col("turn") == 2, "DUP").when(F.col("turn") == 3, "OPEN").when(F.col("turn") % 29 == 0, "CLOSE").when(F.col("turn") % 29 == 1, "OPEN")
+    op = F.coalesce(first, F.get(F.array(*[F.lit(x) for x in names]), (n * 31 % len(names)).cast("int")))
+    fd = F.when(F.col("turn") <= 2, 0).when(F.col("turn") == 3, 2).when(F.col("turn") % 29 <= 1, 2).otherwise(n * 7 % 3)
+    size = F.when(op == "DUP", 1).otherwise(n * 7919 % 300)
+    ops = events.select(F.col("user_id").alias("gfid"), fd.cast("long").alias("fd"), n.alias("seq"), op.alias("op"), size.alias("n"), (n * 104729 % 900).alias("at"))
+    return calls.shared_descriptors(ops)
+
+
+@query
+def descriptor_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """What others see of the shared files: which write, closed or synced, holds each byte."""
+    seen = calls.synced_writes(_shared(spark, d))
+    log = seen.select("seq", "gfid", F.lit(0).alias("svr_rank"), F.lit(1).alias("app_id"), F.col("fd").alias("cli_id"), "file_pos", "length", (F.col("seq") * 1000).alias("log_pos"))
+    return ex.overlay(log).select("gfid", "start", "end", "seq", "cli_id", "log_pos")
+
+
+@query
+def directory_reads(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("event_id")
+    op = F.when(n % 13 == 0, "REWIND").when(n % 11 == 0, "SEEK").when(n % 5 == 0, "TELL").otherwise("READ")
+    ops = src.read(spark, d, "events").select((F.col("user_id") % 40).alias("dir"), n.alias("seq"), op.alias("op"), (n * 17 % 25).alias("n"))
+    entries = src.read(spark, d, "pages").select((F.col("page_id") % 39).alias("dir"), F.col("url").alias("name"))
+    return calls.directory_reads(ops, entries)
+
+
+@query
+def scan_conversions(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("p_partkey")
+    line = F.when(n % 3 == 0, F.format_string("0x%x, 0%o 100%% end", n, n)).when(n % 3 == 1, F.format_string("%d,017 100%% z", n)).otherwise(F.format_string("%d ,9", n))
+    got = calls.scanned(F.col("line"), "%li, %ho%n 100%% %hhc")
+    rows = src.read(spark, d, "part").select("p_partkey", line.alias("line")).withColumn("f", got)
+    return rows.select("p_partkey", *[F.get("f", F.lit(i)).alias(name) for i, name in enumerate(("whole", "octal", "upto", "letter"))])
+
+
+def _batches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    names = F.array(*[F.lit(x) for x in ("READ", "WRITE", "ZERO", "READ", "SYNC_META", "WRITE", "SYNC_DATA", "NOP", "WRITE", "READ", "BAD", "TRUNC")])
+    n = F.col("event_id")
+    asked = src.read(spark, d, "events").select(
+        F.floor(n / 8).cast("long").alias("batch"), (n % 8).alias("pos"), F.get(names, F.when(n % 97 == 0, 10).when(n % 23 == 0, 11).otherwise(n * 31 % 10).cast("int")).alias("op"),
+        (n * 13 % 12).cast("int").alias("gfid"), (n * 7919 % 4000).alias("offset"), (n * 104729 % 600).alias("nbytes"),
+    )
+    return asked, spark.range(10).select(F.col("id").cast("int").alias("gfid"), (F.col("id") * 100).alias("size"))
+
+
+@query
+def dispatch_results(spark: SparkSession, d: str) -> DataFrame:
+    """What each request of a batch returns."""
+    return tr.dispatch(*_batches(spark, d))
+
+
+@query
+def dispatch_effects(spark: SparkSession, d: str) -> DataFrame:
+    """Which request holds each byte after all batches, and whether it is a zero."""
+    log = materialize(tr.batch_writes(*_batches(spark, d)))
+    shaped = log.select("seq", "gfid", F.lit(0).alias("svr_rank"), F.lit(1).alias("app_id"), F.lit(1).alias("cli_id"), "file_pos", "length", (F.col("seq") * 10_000).alias("log_pos"))
+    return ex.overlay(shaped).join(log.select("seq", "gfid", "zero"), ["seq", "gfid"]).select("gfid", "start", "end", "seq", "zero")
+
+
+@query
+def chunk_order(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of each request in the order in which they go to the servers."""
+    parts = ex.chunks(_extents(spark, d), src.read_requests(spark, d))
+    return reads.in_server_order(parts).select("req_id", "svr_rank", "offset", "length", "place")
+
+
+@query
+def callback_turns(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("seq")
+    return cluster.callback_turns(src.write_log(spark, d).select(F.floor(n / 100).alias("round"), (n % 3).cast("int").alias("kind"), "app_id", (F.col("cli_id") % 8).alias("cli_id"), "gfid"))
+
+
+@query
+def extent_add(spark: SparkSession, d: str) -> DataFrame:
+    """Two commits: the first half of the log, then the rest on files of which some are
+    published or not there."""
+    log = src.write_log(spark, d)
+    files = spark.range(8).select(F.col("id").cast("int").alias("gfid"), F.lit(0).cast("long").alias("size"), (F.col("id") == 3).alias("is_laminated"))
+    early = ex.extents(log.where("seq % 2 = 0"))
+    _, table, _ = ex.add(files, materialize(early), log.where("seq % 2 = 1"))
+    return table.select("gfid", "start", "end", "svr_rank", "cli_id", "log_pos")
+
+
+@query
+def extent_add_results(spark: SparkSession, d: str) -> DataFrame:
+    log = src.write_log(spark, d)
+    files = spark.range(8).select(F.col("id").cast("int").alias("gfid"), (F.col("id") * 2000).alias("size"), (F.col("id") == 3).alias("is_laminated"))
+    judged, _, grown = ex.add(files, ex.extents(log).limit(0), log)
+    counts = judged.groupBy("gfid", "rc").agg(F.count("*").alias("n"))
+    return counts.join(grown.select("gfid", "size"), "gfid", "left")
+
+
+@query
+def file_truncate(spark: SparkSession, d: str) -> DataFrame:
+    files = spark.range(8).select(F.col("id").cast("int").alias("gfid"), F.lit(9000).cast("long").alias("size"), (F.col("id") == 3).alias("is_laminated"))
+    sizes = spark.range(10).select(F.col("id").cast("int").alias("gfid"), (F.col("id") * 1000).alias("size"))
+    judged, table, after = ex.truncate_files(files, _extents(spark, d), sizes)
+    facts = table.groupBy("gfid").agg(F.count("*").alias("n_extents"), F.max("end").alias("max_offset"))
+    out = judged.select("gfid", "rc").join(after.select("gfid", "size"), "gfid", "left").join(facts, "gfid", "left")
+    return out.select("gfid", "rc", "size", "n_extents", "max_offset")
+
+
+@query
+def write_records(spark: SparkSession, d: str) -> DataFrame:
+    return logs.write_records(src.write_log(spark, d).drop("log_pos"), 100).select("seq", "gfid", "cli_id", "file_pos", "length", "log_pos", "n_chunks")
+
+
+@query
+def log_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """Reads of each document's log, of which the first 500 bytes are kept in memory."""
+    kept = materialize(logs.stored(src.payload(spark, d, uneven=True), 500))
+    docs = src.read(spark, d, "documents").select(F.col("doc_id").alias("cli_id"), F.octet_length("text").cast("long").alias("n"))
+    start = F.col("cli_id") * 37 % 600
+    asked = docs.select(F.col("cli_id").alias("req_id"), (F.col("cli_id") % 4).cast("int").alias("svr_rank"), F.lit(1).alias("app_id"), "cli_id", start.alias("log_offset"), F.least(F.lit(300), F.col("n") - start).cast("long").alias("length"))
+    got = logs.fetched(kept, asked.where("length > 0"), 500)
+    return got.select("req_id", F.octet_length("data").cast("long").alias("n"), F.md5("data").alias("md5"))
+
+
+@query
+def stage_run(spark: SparkSession, d: str) -> DataFrame:
+    """A manifest of pages: some lines are bad, some sources are not there, some copies are spoilt."""
+    pages, n = src.read(spark, d, "pages"), F.col("page_id")
+    name = F.format_string("/in/%d", n)
+    line = F.when(n % 7 == 0, name).when(n % 7 == 1, F.format_string("/in/%d \"/out/a %d\"", n + 1_000_000, n)).otherwise(F.format_string("/in/%d \"/out/a %d\"", n, n))
+    data = F.encode("html", "utf-8")
+    copies = pages.select(F.format_string("/out/a %d", n).alias("path"), F.when(n % 7 == 2, F.encode(F.lit("x"), "utf-8")).otherwise(data).alias("data"))
+    times = pages.select(name.alias("path"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("rank"), n).select("path", "rank", ((n * 7 + F.col("rank") * 5) % 11).cast("double").alias("seconds"))
+    return tr.stage(pages.select(n.alias("line_no"), line.alias("line")), pages.select(name.alias("path"), data.alias("data")), copies, times, 3, 64)
+
+
 @query
 def stream_sync(spark: SparkSession, d: str) -> DataFrame:
     """The extent table after the write log has come as a stream of commits."""

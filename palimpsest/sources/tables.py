@@ -58,10 +58,15 @@ def attribute_ops(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def payload(spark: SparkSession, folder: str, piece: int = 64) -> DataFrame:
-    """Client logs from ``documents``: the UTF-8 bytes of each text in pieces."""
+def payload(spark: SparkSession, folder: str, piece: int = 64, uneven: bool = False) -> DataFrame:
+    """Client logs from ``documents``: the UTF-8 bytes of each text in pieces of
+    ``piece`` bytes; with ``uneven``, each odd one ends 23 bytes later."""
     data = F.encode(F.coalesce("text", F.lit("")), "utf-8")
     docs = read(spark, folder, "documents").select(F.col("doc_id").alias("cli_id"), data.alias("data"))
-    cut = docs.withColumn("log_start", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.octet_length("data") - 1, F.lit(0)).cast("long"), F.lit(piece).cast("long"))))
-    bytes_of = F.col("data").substr((F.col("log_start") + 1).cast("int"), F.lit(piece))
+    last = F.greatest(F.octet_length("data") - 1, F.lit(0)).cast("long")
+    cut = docs.withColumn("no", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / piece))))
+    late = lambda no: F.when(F.lit(uneven) & (no > 0) & (no % 2 == 0), 23).otherwise(0)
+    start, end = F.col("no") * piece + late(F.col("no")), (F.col("no") + 1) * piece + late(F.col("no") + 1)
+    bytes_of = F.col("data").substr((F.col("log_start") + 1).cast("int"), (end - F.col("log_start")).cast("int"))
+    cut = cut.withColumn("log_start", start)
     return cut.select((F.col("cli_id") % 4).cast("int").alias("svr_rank"), F.lit(1).alias("app_id"), "cli_id", "log_start", bytes_of.alias("payload"))
