@@ -189,10 +189,15 @@ def expression(words: pd.Series) -> pd.Series:
     return words.map(known).astype("float64")
 
 
+def plain_number(word: Column) -> Column:
+    """A decimal number, with or without an exponent, as a double; else null."""
+    return F.when(word.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), word.try_cast("double"))
+
+
 def as_float(word: Column) -> Column:
     """A setting as a double: arithmetic, or a number with an ``f`` or ``l`` behind."""
     bare = F.regexp_replace(F.trim(word), r"(?<=[0-9.])[fFlL]$", "")
-    return F.when(is_expression(word), expression(F.trim(word))).otherwise(bare.try_cast("double"))
+    return F.when(is_expression(word), expression(F.trim(word))).otherwise(plain_number(bare))
 
 
 def as_integer(word: Column) -> Column:
@@ -202,7 +207,7 @@ def as_integer(word: Column) -> Column:
     sign = F.when(bare.startswith("-"), -1).otherwise(1)
     digits = F.regexp_replace(bare, r"^[+-]", "")
     base = lambda pattern, radix: F.when(digits.rlike(rf"^{pattern}$"), sign * F.conv(F.regexp_extract(digits, pattern, 1), radix, 10).cast("long"))
-    plain = F.coalesce(base(r"0[xX]([0-9a-fA-F]+)", 16), base(r"0([0-7]+)", 8), bare.try_cast("double").cast("long"))
+    plain = F.coalesce(base(r"0[xX]([0-9a-fA-F]+)", 16), base(r"0([0-7]+)", 8), plain_number(bare).cast("long"))
     return F.when(is_expression(word), truncated(expression(F.trim(word)))).otherwise(plain)
 
 

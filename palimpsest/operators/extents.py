@@ -3,7 +3,7 @@
 ``writes`` have ``seq, gfid, svr_rank, app_id, cli_id, file_pos, length,
 log_pos``; extents have ``gfid, start, end, svr_rank, app_id, cli_id, log_pos``
 with both ends included, and those of a file are disjoint. ``seq`` is the order
-of commits; no two writes to a file may share one, which ``check_order`` tests."""
+of commits; no two writes to a byte may share one, for which ``check_order`` looks."""
 
 from __future__ import annotations
 
@@ -24,7 +24,8 @@ def pieces(writes: DataFrame) -> DataFrame:
 
     Each write paints its dyadic blocks; a block keeps the write with the highest
     ``seq``, by partial aggregation; a piece then takes the highest among the
-    blocks over it. No write is compared with another.
+    blocks over it. No write is compared with another. Rows of a file that share a
+    ``seq`` must be disjoint, as are the pieces left of one write.
     """
     writes = writes.where("length > 0").withColumn("end", F.col("file_pos") + F.col("length") - 1)
     painted = writes.select("gfid", "seq", F.explode(blocks(F.col("file_pos"), F.col("end"))).alias("b"))
@@ -36,7 +37,7 @@ def pieces(writes: DataFrame) -> DataFrame:
     points = points.select("gfid", "start", "next", F.col("b.level").alias("level"), F.col("b.block").alias("block"))
     over = points.join(painted, ["gfid", "level", "block"]).groupBy("gfid", "start", "next").agg(F.max("seq").alias("seq"))
     log_pos = F.col("log_pos") + F.col("start") - F.col("file_pos")
-    held = over.join(writes.select("gfid", "seq", *OWNER, "file_pos", "log_pos"), ["gfid", "seq"])
+    held = over.join(writes.select("gfid", "seq", *OWNER, "file_pos", "end", "log_pos"), ["gfid", "seq"]).where("file_pos <= start and start <= end")
     return materialize(held.select("gfid", "start", (F.col("next") - 1).alias("end"), "seq", *OWNER, log_pos.alias("log_pos")))
 
 

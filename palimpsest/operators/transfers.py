@@ -210,6 +210,6 @@ def verify(source: DataFrame, copy: DataFrame) -> DataFrame:
 
 
 def write_out(parts: DataFrame, folder: str) -> None:
-    """Sink for staged bytes ``path, offset, data``: one Parquet row group order
-    per file, partitioned by nothing, so that no file passes through one task."""
+    """Sink for staged bytes ``path, offset, data``: Parquet in order of path and
+    offset, cut by ranges of both, so that no large file passes through one task."""
     parts.repartitionByRange("path", "offset").sortWithinPartitions("path", "offset").write.mode("overwrite").parquet(folder)

@@ -400,6 +400,9 @@ st AS (
   FROM (SELECT o.map_id, o.i, o.seq, o.push, o.ref, st.free, st.held, CASE WHEN o.push THEN list_filter(st.held, lambda h: h.s = o.ref)[1].id ELSE st.free[-1] END AS id
     FROM st JOIN o ON o.map_id = st.map_id AND o.i = st.i + 1))
 SELECT o.map_id, o.seq, CASE WHEN o.push THEN 'PUSH' ELSE 'POP' END AS op, o.count, st.start FROM o JOIN st ON st.map_id = o.map_id AND st.i = o.i""",
+    "stream_sizes": f"WITH {LOG} SELECT gfid, max(file_pos + length) AS size, count(*) AS n_writes FROM write_log GROUP BY gfid",
+    "write_out": """SELECT '/out/' || doc_id AS path, strlen(text)::BIGINT AS n_bytes, greatest(1, (strlen(text) + 63) // 64)::BIGINT AS n_parts,
+  (greatest(0, strlen(text) - 1) // 64 * 64)::BIGINT AS last FROM documents""",
     "stream_sync": f'WITH {EXTENTS} SELECT gfid, start, "end", svr_rank, 1 AS app_id, cli_id, log_pos FROM extents',
 }
 

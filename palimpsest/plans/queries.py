@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import evaluator as ev
 from ..functions import identity as ident
 from ..operators import calls, cluster, extents as ex, files as fl, logs, reads, transfers as tr, workloads
-from ..session import materialize
+from ..session import materialize, shared_folder
 from ..sources import tables as src
 from ..streaming import sync
 
@@ -860,3 +861,23 @@ def stage_run(spark: SparkSession, d: str) -> DataFrame:
 def stream_sync(spark: SparkSession, d: str) -> DataFrame:
     """The extent table after the write log has come as a stream of commits."""
     return sync.replay(src.write_log(spark, d), 4)
+
+
+@query
+def stream_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes and numbers of writes of the files, kept by a stream over the log."""
+    folder = f"{shared_folder(spark)}/sizes-{uuid.uuid4().hex}"
+    src.write_log(spark, d).repartitionByRange(4, "seq").write.parquet(f"{folder}/log")
+    name = f"sizes_{uuid.uuid4().hex}"
+    changes = sync.size_changes(sync.read_log(spark, f"{folder}/log"))
+    changes.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+@query
+def write_out(spark: SparkSession, d: str) -> DataFrame:
+    """What is read back of documents that were staged out in parts."""
+    folder = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
+    parts = src.payload(spark, d).select(F.format_string("/out/%d", "cli_id").alias("path"), F.col("log_start").alias("offset"), F.col("payload").alias("data"))
+    tr.write_out(parts, folder)
+    return spark.read.parquet(folder).groupBy("path").agg(F.sum(F.octet_length("data")).alias("n_bytes"), F.count("*").alias("n_parts"), F.max("offset").alias("last"))

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.utils import AnalysisException
 
-from ..operators.extents import as_writes, extents
-from ..session import materialize
+from ..operators.extents import OWNER, coalesce, extents, overlay
+from ..session import materialize, shared_folder
 
 LOG = "seq long, gfid int, svr_rank int, app_id int, cli_id int, file_pos long, length long, log_pos long"
+TABLE = "gfid int, start long, end long, seq long, svr_rank int, app_id int, cli_id int, log_pos long, epoch long, bucket int"
+BUCKETS = 64  # parts of the table by file, of which an epoch writes those that it touches
+ROWS_PER_FILE = 1_000_000
 
 
 def read_log(spark: SparkSession, folder: str, files_per_batch: int = 1) -> DataFrame:
@@ -19,27 +24,46 @@ def read_log(spark: SparkSession, folder: str, files_per_batch: int = 1) -> Data
     return spark.readStream.schema(LOG).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
+def bucket_of(file_id: Column) -> Column:
+    return F.pmod(F.xxhash64(file_id), F.lit(BUCKETS)).cast("int")
+
+
+def latest(spark: SparkSession, table: str, before: int | None = None) -> DataFrame | None:
+    """The rows of the table at ``table``, of each bucket those of its last epoch, or
+    its last one before ``before``; None where there is no table yet."""
+    try:
+        rows = spark.read.schema(TABLE).parquet(table)
+    except AnalysisException:
+        return None
+    rows = rows.where(F.col("epoch") < before) if before is not None else rows
+    last = rows.groupBy("bucket").agg(F.max("epoch").alias("epoch"))
+    return rows.join(F.broadcast(last), ["bucket", "epoch"])  # one row for each bucket
+
+
 def commit(before: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """The extent table after one more epoch. Only the files that the batch
-    touches are worked on; the others' extents pass through."""
-    if before is None:
-        return extents(batch)
-    touched = batch.select("gfid").distinct()
-    old = before.join(touched, "gfid", "left_semi")
-    return extents(as_writes(old).unionByName(batch)).unionByName(before.join(touched, "gfid", "left_anti"))
+    """The pieces of the buckets that ``batch`` touches after one more epoch. Pieces
+    keep the ``seq`` of their write, so a commit that comes late finds its place."""
+    batch = batch.select(*[c.split(" ")[0] for c in LOG.split(", ")])
+    if before is not None:
+        touched = batch.select(bucket_of(F.col("gfid")).alias("bucket")).distinct()
+        old = before.join(F.broadcast(touched), "bucket", "left_semi")  # BUCKETS rows at most
+        held = old.select("seq", "gfid", *OWNER, F.col("start").alias("file_pos"), (F.col("end") - F.col("start") + 1).alias("length"), "log_pos")
+        batch = held.unionByName(batch)
+    return overlay(batch).withColumn("bucket", bucket_of(F.col("gfid")))
 
 
 def maintain(log: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Keep the extent table at ``table/epoch=N`` up to date with the stream ``log``.
+    """Keep the table at ``table`` up to date with the stream ``log``.
 
-    An epoch is written under its own name from the one before it, so an epoch
-    that is run again after a failure overwrites itself: each write counts
-    once. Batches come in the order of commits, which is the order that counts."""
+    An epoch writes the buckets that it touches to ``table/epoch=N/bucket=B``, from
+    each one's last epoch before it, so an epoch that is run again after a failure
+    overwrites itself: each write counts once. What counts is the order of ``seq``,
+    whatever the batches."""
     spark = log.sparkSession
 
     def epoch(batch: DataFrame, number: int) -> None:
-        before = spark.read.parquet(f"{table}/epoch={number - 1}") if number else None
-        commit(before, batch).write.mode("overwrite").parquet(f"{table}/epoch={number}")
+        made = commit(latest(spark, table, number), batch)
+        made.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/epoch={number}")
 
     return log.writeStream.foreachBatch(epoch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -50,19 +74,16 @@ def size_changes(log: DataFrame) -> DataFrame:
 
 
 def replay(writes: DataFrame, epochs: int) -> DataFrame:
-    """The extent table after ``writes`` have come in ``epochs`` commits, by order of
-    ``seq``, through a stream; files are kept in the shared checkpoint folder. An
-    empty log gives an empty table."""
+    """The extent table after ``writes`` have come in about ``epochs`` commits, by order
+    of ``seq``, through a stream; files are kept in the shared folder, and have about
+    ROWS_PER_FILE rows in a large log. An empty log gives an empty table."""
     spark = writes.sparkSession
     writes = materialize(writes.select([c.split(" ")[0] for c in LOG.split(", ")]))
-    folder = f"{spark.sparkContext.getCheckpointDir()}/replay-{uuid.uuid4().hex}"
-    last = writes.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).first()
-    if last["lo"] is None:
+    folder = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
+    n = writes.count()
+    if not n:
         return extents(writes)
-    width = (last["hi"] - last["lo"]) // epochs + 1
-    for k in range(epochs):
-        lo = last["lo"] + k * width
-        part = writes.where((F.col("seq") >= lo) & (F.col("seq") < lo + width)).coalesce(1)
-        part.write.mode("append").parquet(f"{folder}/log")
-    maintain(read_log(spark, f"{folder}/log"), f"{folder}/table", f"{folder}/progress").awaitTermination()
-    return spark.read.parquet(f"{folder}/table/epoch={epochs - 1}")
+    per_epoch = max(1, math.ceil(n / epochs / ROWS_PER_FILE))
+    writes.repartitionByRange(epochs * per_epoch, "seq").write.parquet(f"{folder}/log")
+    maintain(read_log(spark, f"{folder}/log", per_epoch), f"{folder}/table", f"{folder}/progress").awaitTermination()
+    return coalesce(latest(spark, f"{folder}/table"))

@@ -81,3 +81,34 @@ def test_typed_ranges(spark):
     lines = spark.createDataFrame(list(enumerate(["0,10", "0x1F,010", "bad", " 7 , 8", "quit", "1,2"])), "line_no int, line string")
     got = {r["line_no"]: (r["offset"], r["length"]) for r in calls.range_requests(lines).collect()}
     assert got == {0: (0, 10), 1: (31, 8), 2: (None, None), 3: (7, 8)}
+
+
+def test_descriptors_of_a_shared_file(spark):
+    ops = [
+        (0, "OPEN", 0, 0), (0, "WRITE", 10, 0), (0, "DUP", 1, 0), (1, "WRITEV", 5, 0), (2, "OPEN", 0, 0), (2, "FREAD", 20, 0), (2, "FEOF", 0, 0), (2, "UNGETC", 65, 0),
+        (2, "FEOF", 0, 0), (2, "FREAD", 1, 0), (0, "SEEK", 0, 3), (1, "READ", 4, 0), (0, "PREAD", 9, 10), (0, "PWRITE", 4, 30), (0, "CLOSE", 0, 0), (0, "READ", 1, 0),
+        (1, "APPEND", 2, 0), (2, "FAIL", 0, 0), (2, "FERROR", 0, 0), (2, "CLEARERR", 0, 0), (2, "FERROR", 0, 0), (1, "FSYNC", 0, 0),
+    ]
+    table = spark.createDataFrame([(7, fd, i, op, n, at) for i, (fd, op, n, at) in enumerate(ops)], "gfid long, fd long, seq long, op string, n long, at long")
+    got = calls.shared_descriptors(table)
+    rows = {r["seq"]: r for r in got.collect()}
+    assert [rows[i]["ret"] for i in range(len(ops))] == [0, 10, 1, 5, 0, 15, 1, 65, 0, 1, 3, 4, 5, 4, 0, -9, 2, -1, 1, 0, 0, 0]
+    assert (rows[3]["offset"], rows[11]["offset"], rows[11]["length"], rows[16]["offset"], rows[21]["size"]) == (10, 3, 4, 34, 36)
+    seen = {r["seq"]: r["epoch"] for r in calls.synced_writes(got).collect()}
+    assert seen == {1: 14, 13: 14, 3: 21, 16: 21}
+
+
+def test_directory_cursors(spark):
+    ops = ["READ", "READ", "TELL", "READ", "READ", "TELL", "REWIND", "READ", "SEEK", "READ", "TELL"]
+    table = spark.createDataFrame([(1, i, op, 2) for i, op in enumerate(ops)] + [(2, 0, "READ", 0)], "dir long, seq long, op string, n long")
+    names = spark.createDataFrame([(1, x) for x in "cab"] + [(1, "a")], "dir long, name string")
+    got = {(r["dir"], r["seq"]): (r["pos"], r["name"]) for r in calls.directory_reads(table, names).collect()}
+    want = [(0, "a"), (1, "b"), (2, None), (2, "c"), (3, None), (3, None), (None, None), (0, "a"), (None, None), (2, "c"), (3, None)]
+    assert [got[1, i] for i in range(len(ops))] == want and got[2, 0] == (0, None)
+
+
+def test_scans_with_lengths_counts_and_bases(spark):
+    form = "%li %hho%n|%p %*d %3i"
+    lines = ["0x1f 17|0xAb 5 1234", "-12 8", "7 7| ff 1 0x12"]
+    got = [list(r[0]) for r in spark.createDataFrame([(x,) for x in lines], "x string").select(calls.scanned(F.col("x"), form)).collect()]
+    assert got == [["0x1f", "17", "7", "0xAb", "123"], ["-12", None, None, None, None], ["7", "7", "3", "ff", "0x12"]]

@@ -81,10 +81,125 @@ def test_lamination_rule(spark):
 
 def test_rename_and_unlink(spark):
     table = spark.createDataFrame([(1, "/a"), (2, "/b"), (3, "/c")], "gfid int, filename string")
-    moved = files.rename(table, spark.createDataFrame([("/a", "/b")], "src string, dst string"))
+    moved = files.rename(table, spark.createDataFrame([(1, "/a", "/b")], "seq long, src string, dst string"))
     assert sorted((r["gfid"], r["filename"]) for r in moved.collect()) == [(1, "/b"), (3, "/c")]
 
 
+def test_renames_one_after_another(spark):
+    import random
+
+    rng = random.Random(21)
+    for _ in range(4):
+        names = [f"/f{i}" for i in range(6)]
+        moves = [(i, rng.choice(names), rng.choice(names + ["/g", "/h"])) for i in range(8)]
+        want = {name: i for i, name in enumerate(names)}
+        for _, a, b in moves:
+            if a in want and a != b:
+                want[b] = want.pop(a)
+        table = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "gfid int, filename string")
+        got = files.rename(table, spark.createDataFrame(moves, "seq long, src string, dst string"))
+        assert {r["filename"]: r["gfid"] for r in got.collect()} == want, moves
+
+
+def test_creations_in_a_log_count(spark):
+    ops = spark.createDataFrame([(1, 1, "DATA"), (2, 1, "CREATE"), (3, 1, "DATA"), (4, 1, "CREATE"), (5, 2, "CREATE")], "seq long, gfid int, op string")
+    got = {r["seq"]: r["rc"] for r in files.dispatch(ops, spark.createDataFrame([(2,)], "gfid int")).collect()}
+    assert got == {1: "ENOENT", 2: "OK", 3: "OK", 4: "EEXIST", 5: "EEXIST"}
+
+
+def test_pieces_of_many_lengths_are_served(spark):
+    log = spark.createDataFrame([(0, 1, 7, 0, bytearray(b"0123456789")), (0, 1, 7, 14, bytearray(b"efghijklmn")), (0, 1, 7, 10, bytearray(b"abcd"))], "svr_rank int, app_id int, cli_id int, log_start long, payload binary")
+    parts = spark.createDataFrame([(1, 0, 24), (2, 9, 6), (3, 20, 9), (4, 12, 1)], "req_id long, log_offset long, length long")
+    parts = parts.selectExpr("req_id", "1 as gfid", "0L as offset", "length", "log_offset", "0 as svr_rank", "1 as app_id", "7 as cli_id")
+    got = {r["req_id"]: (r["read_rc"], r["data"] and bytes(r["data"])) for r in reads.serve(parts, log).collect()}
+    assert got == {1: (24, b"0123456789abcdefghijklmn"), 2: (6, b"9abcde"), 3: (-5, None), 4: (1, b"c")}
+    kept = logs.stored(log, 12)
+    asked = spark.createDataFrame([(1, 0, 24), (2, 11, 2), (3, 13, 3), (4, 30, 2)], "req_id long, log_offset long, length long").selectExpr("*", "0 as svr_rank", "1 as app_id", "7 as cli_id")
+    got = {r["req_id"]: r["data"] and bytes(r["data"]) for r in logs.fetched(kept, asked, 12).collect()}
+    assert got == {1: b"0123456789abcdefghijklmn", 2: b"bc", 3: b"def", 4: None}
+
+
+def test_arithmetic_of_settings(spark):
+    for text, want in {
+        "1+2*3": 7, "-2^2": 4, "2^3^2": 64, "(1,2,3)*2": 6, "pow(2,10)": 1024, "sqrt 16+1": 5, "-sqrt 4^2": 4, "10%4": 2, "--1": 1, "2*-3": -6, "1,2": 2,
+        "pi()-pi": 0, "fac(5)": 120, "npr(5,2)": 20, "1/0": float("inf"), "1+": None, "foo(1)": None, "pow(1)": None, "3 4": None, "(1": None, "1)": None, "": None,
+    }.items():
+        assert ev.arithmetic(text) == want, text
+    words = ["2 * (3 + 4)", "-7 / 2", "0x1F", "-017", "12UL", "1.5f", "2e3", "x", None]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select(ev.as_integer(F.col("w")), ev.as_float(F.col("w"))).collect()
+    assert [tuple(r) for r in rows] == [(14, 14.0), (-3, -3.5), (31, None), (-15, -17.0), (12, None), (None, 1.5), (2000, 2000.0), (None, None), (None, None)]
+
+
+def batch_model(rows, sizes):
+    """Requests one by one: results, and which request holds each byte."""
+    held, size, out = {}, dict(sizes), {}
+    for batch in sorted({r[0] for r in rows}):
+        mine = sorted(r for r in rows if r[0] == batch)
+        bad = any(r[2] not in (*transfers.PHASES, "NOP") for r in mine)
+        done = False
+        for phase in (1, 2, 3, 4):
+            for _, pos, op, g, at, n in mine:
+                if transfers.PHASES.get(op) != phase or bad:
+                    continue
+                acts, count, rc = True, 0, "OK"
+                if op == "SYNC_DATA":
+                    acts, done = not done, True
+                elif g not in size:
+                    acts, rc = False, "EINVAL"
+                elif op == "READ":
+                    count = max(0, min(n, size[g] - at))
+                elif op == "TRUNC":
+                    size[g] = at
+                    held = {k: v for k, v in held.items() if k[0] != g or k[1] < at}
+                elif phase == 2:
+                    count = n
+                    size[g] = max(size[g], at + n) if n else size[g]
+                    held |= {(g, at + i): (batch, pos, op == "ZERO") for i in range(n)}
+                out[batch, pos] = (rc, count, acts)
+        for _, pos, op, *_ in mine:
+            out.setdefault((batch, pos), ("EINVAL" if bad else "OK", 0, False))
+    return out, held
+
+
+def test_batches_against_requests_one_by_one(spark):
+    import random
+
+    rng = random.Random(22)
+    names = ["READ", "WRITE", "ZERO", "TRUNC", "SYNC_META", "SYNC_DATA", "NOP", "WRITE", "READ"]
+    rows = [(b, p, rng.choice(names) if rng.random() > 0.02 else "BAD", rng.randint(0, 4), rng.randint(0, 60), rng.randint(0, 30)) for b in range(25) for p in range(6)]
+    sizes = {0: 0, 1: 50, 2: 5, 3: 0}
+    table = spark.createDataFrame(rows, "batch long, pos long, op string, gfid int, offset long, nbytes long")
+    known = spark.createDataFrame(list(sizes.items()), "gfid int, size long")
+    want, held = batch_model(rows, sizes)
+    got = transfers.dispatch(table, known).collect()
+    assert {(r["batch"], r["pos"]): (r["rc"], r["count"], r["acts"]) for r in got} == want
+    turn = {(r["batch"], r["turn"]): r["pos"] for r in got if r["turn"] is not None}
+    log = transfers.batch_writes(table, known).selectExpr("seq", "gfid", "0 as svr_rank", "1 as app_id", "1 as cli_id", "file_pos", "length", "seq * 1000 as log_pos", "zero")
+    zero = {r["seq"]: r["zero"] for r in log.collect()}
+    left = {}
+    for r in ex.overlay(log.drop("zero")).collect():
+        for i in range(r["start"], r["end"] + 1):
+            batch = r["seq"] >> 20
+            left[r["gfid"], i] = (batch, turn[batch, r["seq"] & 0xFFFFF], zero[r["seq"]])
+    assert left == held
+
+
+def test_kinds_of_conflicts_against_all_pairs(spark):
+    import random
+    from collections import Counter
+
+    rng = random.Random(23)
+    rows = [(i, rng.randint(0, 1), rng.randint(1, 3), rng.choice(["READ", "WRITE", "WRITE", "SYNC"]), rng.randint(0, 40), rng.randint(1, 9)) for i in range(120)]
+    want = Counter()
+    for a in rows:
+        sync = min((x[0] for x in rows if x[1:3] == a[1:3] and x[3] == "SYNC" and x[0] >= a[0]), default=None)
+        for b in rows:
+            if a[0] < b[0] and a[1] == b[1] and a[2] != b[2] and "SYNC" not in (a[3], b[3]) and "WRITE" in (a[3], b[3]) and a[4] < b[4] + b[5] and b[4] < a[4] + a[5]:
+                want[a[1], f"{b[3][0]}A{a[3][0]}", sync is not None and sync < b[0]] += 1
+    table = spark.createDataFrame(rows, "seq long, gfid int, cli_id int, op string, offset long, length long")
+    assert {(r["gfid"], r["kind"], r["synced"]): r["n_pairs"] for r in workloads.conflict_kinds(table).collect()} == dict(want)
+
+
 def test_empty_directories(spark):
     dirs = spark.createDataFrame([("/w",), ("/w/a",), ("/w/ab",), ("/x",)], "path string")
     got = files.empty_directories(dirs, spark.createDataFrame([("/w/a/f",), ("/xy",)], "path string"))
