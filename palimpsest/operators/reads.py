@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from ..functions.identity import owner
 from ..session import materialize
 from .extents import chunks, coverage
-from .intervals import overlap_join
 
 RESPONSE = 4 << 20  # bytes of an answer to a client at most
+CELL = 12  # bits of the narrowest cells in which pieces of logs are looked up
 
 
 def ordered(requests: DataFrame) -> DataFrame:
@@ -65,14 +65,25 @@ def serve(parts: DataFrame, logs: DataFrame) -> DataFrame:
     any length. A chunk of which some byte is in no piece has ``read_rc`` -5 and no
     data.
 
-    Pieces meet chunks by their ranges, so no log is put together as a whole; only
-    the pieces of a chunk, which is bounded by its request, are concatenated.
+    A piece lies in one or two cells of a width that is its length rounded up to a
+    power of two, CELL at least; a chunk looks into the cells of each such width, so
+    that a log, which has no gaps, gives it few pieces that it does not need, and
+    bytes are sent once or twice. No log is put together as a whole; only the pieces
+    of a chunk, which is bounded by its request, are concatenated.
     """
     holder = ["svr_rank", "app_id", "cli_id"]
     pieces = logs.select(*holder, F.col("log_start").alias("_from"), (F.col("log_start") + F.octet_length("payload") - 1).alias("_to"), "payload")
-    pieces = materialize(pieces.where("_from <= _to"))
+    width = F.greatest(F.lit(CELL), F.ceil(F.log2(F.col("_to") - F.col("_from") + 1)).cast("int"))
+    pieces = materialize(pieces.where("_from <= _to").withColumn("_width", width))
+    widths = sorted(r[0] for r in pieces.select("_width").distinct().collect())  # fewer than 64
+    cell = lambda at, width: F.call_function("shiftright", at, width)
+    pieces = pieces.withColumn("_cell", F.explode(F.sequence(cell(F.col("_from"), F.col("_width")), cell(F.col("_to"), F.col("_width")))))
     wanted = materialize(parts.withColumn("_id", F.monotonically_increasing_id()).withColumn("_last", F.col("log_offset") + F.col("length") - 1))
-    met = overlap_join(wanted.select("_id", *holder, "log_offset", "_last"), "log_offset", "_last", pieces, "_from", "_to", holder)
+    asked = wanted.select("_id", *holder, "log_offset", "_last", F.explode(F.array(*[F.lit(w) for w in widths or [CELL]])).alias("_width"))
+    asked = asked.withColumn("_cell", F.explode(F.sequence(cell(F.col("log_offset"), F.col("_width")), cell(F.col("_last"), F.col("_width")))))
+    met = asked.join(pieces, [*holder, "_width", "_cell"]).where("_from <= _last and log_offset <= _to")
+    # A pair that meets in two cells counts in the later of the two first ones.
+    met = met.where(F.col("_cell") == cell(F.greatest("_from", "log_offset"), F.col("_width")))
     first = F.greatest("_from", "log_offset")
     cut = F.substring("payload", (first - F.col("_from") + 1).cast("int"), (F.least("_to", "_last") - first + 1).cast("int"))
     got = met.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct(first.alias("at"), cut.alias("bytes")))).alias("_p"))
