@@ -3,7 +3,6 @@ processing over Arrow batches, and cutting lineage in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,9 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
+
 # Fixed value: the white space that separates words, as a character class body.
 SPACE_CLASS = r"\x20\x09-\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
+BATCH_ROWS = 1000
 
 
 def word_count(text: Column) -> Column:
@@ -32,15 +34,8 @@ def words_of(text: str | None) -> list[bytes]:
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the folder that ``spark.checkpoint.dir`` names, so
-    that later rounds neither recompute it nor depend on an executor's disk. A
-    folder of our own is set only where the session has none, as in tests."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    that later rounds neither recompute it nor depend on an executor's disk."""
+    return materialize(df)
 
 
 def sent(table: DataFrame, most: int = 2_000_000) -> DataFrame:
@@ -57,6 +52,16 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def short_batches(df: DataFrame) -> DataFrame:
+    """``df``, after a session setting that lets no more than BATCH_ROWS rows go to
+    Python at a time. Texts are long, and a batch is held on both sides, before and
+    after it is worked on: the usual 10,000 rows take a good part of an executor."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def append_by_block(
     df: DataFrame,
     text: str,
@@ -90,8 +95,9 @@ def append_by_block(
                 )
         if at_end is not None:
             at_end()
+        pa.default_memory_pool().release_unused()  # the worker stays for other tasks
 
-    return df.mapInArrow(run, schema)
+    return short_batches(df).mapInArrow(run, schema)
 
 
 # Spark's types and Arrow's.

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .common import short_batches, word_count
 
 ORDER = 3
 BACKOFF = 0.4
@@ -137,6 +137,8 @@ def laid_out(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a column of binary values, end to end, and their lengths."""
     parts = []
     for chunk in column.chunks:
+        if not len(chunk):
+            continue
         offsets = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
         data = np.frombuffer(chunk.buffers()[2] or b"", np.uint8)
         parts.append((data[offsets[0] : offsets[-1]], np.diff(offsets)))
@@ -225,7 +227,7 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) ->
     n_words = docs.agg(F.sum(word_count(F.col("text"))).alias("words")).first()["words"] or 0
     bits = max(0, math.ceil(math.log2(max(1, order * n_words / GRAMS_PER_BUCKET))))
     # One exchange by block serves both uses below.
-    blocks = docs.select(F.col("doc_id").cast("string").alias("key"), "text").mapInArrow(block_rows, "block long, keys array<string>, ends array<long>, texts binary")
+    blocks = short_batches(docs.select(F.col("doc_id").cast("string").alias("key"), "text")).mapInArrow(block_rows, "block long, keys array<string>, ends array<long>, texts binary")
 
     pack = 1 << bits <= PACKED_BUCKETS
 

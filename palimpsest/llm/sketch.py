@@ -27,9 +27,9 @@ SLACK = 2.0  # standard deviations of the count of shared bytes
 LOOSE = 4.0  # the same, where sets of shingles decide: a pair of 0.8 is proposed with probability 0.9999
 SMALL_POSTING = 32
 TILE = 1024  # nodes of a part of a large posting, about
-TILE_CHARS = 16_000_000  # characters of their texts, likewise
+TILE_CHARS = 8_000_000  # characters of their texts, likewise
 FIRST = 8  # one in so many large postings goes first
-READ_AT_ONCE = 8_000_000  # elements of sets that a tile keeps in memory
+READ_AT_ONCE = 2_000_000  # elements of sets that a tile keeps in memory
 
 _RANDOM = np.random.default_rng(42)
 _FACTORS = _RANDOM.integers(1, 1 << 63, POSITIONS, np.uint64) * np.uint64(2) + np.uint64(1)

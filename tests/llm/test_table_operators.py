@@ -42,6 +42,7 @@ def naive_scores(docs, alpha=0.4):
 @pytest.mark.parametrize("per_block, per_bucket", [(8_000_000, 1_000_000), (1000, 500), (1000, 3)])
 def test_language_model_scores(spark, monkeypatch, per_block, per_bucket):
     monkeypatch.setattr(lm_score, "PACKED_BUCKETS", 64)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5" if per_bucket == 500 else "1000")
     monkeypatch.setattr(lm_score, "BLOCK_CHARS", per_block)
     monkeypatch.setattr(lm_score, "GRAMS_PER_BUCKET", per_bucket)
     rng = random.Random(1)
