@@ -22,7 +22,7 @@ MOST_STATES = 700_000
 MOST_HEADS = 100_000
 MOST_PAIRS = 1_000_000
 MOST_KEPT = 300_000  # in each of two generations
-SMALL_TABLES = 0.2  # of these bounds, where other work shares the memory
+SMALL_TABLES = 0.1  # of these bounds, where other work shares the memory
 EMIT_AFTER = 64  # bytes; shorter pre-tokens are emitted at their end
 HEAD = 6  # bytes of a pre-token whose walk is kept
 DECODE_STEP = 65_536

@@ -38,7 +38,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return materialize(df)
 
 
-def sent(table: DataFrame, most: int = 2_000_000) -> DataFrame:
+def sent(table: DataFrame, most: int = 500_000) -> DataFrame:
     """A written table of few numbers a row, to be sent to all tasks if it has
     ``most`` rows or fewer; otherwise joins shuffle both sides."""
     return F.broadcast(table) if table.count() <= most else table
